@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, orc_tokens, packing, simhash
+from . import bpe, orc_tokens, packing, quality, sharding, simhash
 from .common import Scratch, table
 
 
@@ -15,6 +15,10 @@ def _definition() -> str:
         return f.read()
 
 
+def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), _definition(), capacity=1024, end_id=2))
 
@@ -30,15 +34,22 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_index(orc_tokens.read_tokens(spark, path))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op3_label_propagation": op3_label_propagation,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_orc_tokens": op6_orc_tokens,
+    "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE_SQL}
