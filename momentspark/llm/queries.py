@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, orc_tokens, packing, quality, sharding, simhash
+from . import bpe, orc_tokens, packing, quality, sharding, simhash, toxicity
 from .common import Scratch, table
 
 
@@ -15,6 +15,13 @@ def _definition() -> str:
         return f.read()
 
 
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40).withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -45,6 +52,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op3_label_propagation": op3_label_propagation,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_byte_bpe": op5_byte_bpe,
