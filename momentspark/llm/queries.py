@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, orc_tokens, packing, quality, sharding, simhash, toxicity
+from . import bpe, lattice, orc_tokens, packing, quality, sharding, simhash, toxicity
 from .common import Scratch, table
 
 
@@ -51,6 +51,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.95)
+
+
 QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op3_label_propagation": op3_label_propagation,
@@ -59,5 +63,6 @@ QUERIES = {
     "op6_orc_tokens": op6_orc_tokens,
     "op7_quality_rules": op7_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_lattice": op10_lattice,
 }
 ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE_SQL}
