@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, orc_tokens, packing, quality, sharding, simhash, toxicity
+from . import bpe, lattice, orc_tokens, packing, quality, secrets, sharding, simhash, toxicity
 from .common import Scratch, table
 
 
@@ -22,6 +22,14 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_zstd_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"), count("novel").alias("n_novel"))
+
+
 def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40).withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -57,6 +65,7 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
+    "op2_zstd_secrets": op2_zstd_secrets,
     "op3_label_propagation": op3_label_propagation,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_byte_bpe": op5_byte_bpe,
