@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, orc_tokens, packing, quality, secrets, sharding, simhash, toxicity
+from . import bpe, lattice, orc_tokens, packing, quality, secrets, sharding, simhash, toxicity, wrappers
 from .common import Scratch, table
 
 
@@ -54,6 +54,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_wrappers": op8_html_wrappers,
     "op9_simhash": op9_simhash,
     "op10_lattice": op10_lattice,
 }
