@@ -1,8 +1,60 @@
-"""The corpus pipeline: stages over `documents`, each of which works on all that its predecessor kept."""
+"""The corpus pipeline: stages over `documents`, each of which works on all that its predecessor kept.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Null and empty texts do not
+pass the quality rules; an empty table goes through as an empty one.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from momentspark.llm import packing, quality, secrets, simhash, toxicity
+from momentspark.llm.common import Scratch, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.7 or more go; the classifier is trained on what has come so far."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by [SECRET]; no document goes."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 1,024 tokens."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return packing.pack(packing.pieces(docs, definition, capacity=1024, end_id=2))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+#: The stages learn a classifier and measure compressed sizes, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs, name)
+    return docs

@@ -64,7 +64,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs
     for name, how in steps:
         out = out.withColumn(name, F.expr(how))
-    return out.drop("_q_text", "_q_words", "_q_lines", "_q_sorted", "_q_like")
+    # a filter on a column that is not deterministic keeps later filters from being pushed below, where
+    # they would repeat the measures in place of each name
+    return out.withColumn("_q_mark", F.monotonically_increasing_id()).where("_q_mark >= 0").drop("_q_text", "_q_words", "_q_lines", "_q_sorted", "_q_like", "_q_mark")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:

@@ -167,3 +167,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     ids = top.groupBy("top").agg(F.min("least").alias("component_id"))
     named = scratch.write(top.join(ids, "top").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component, one row with the smallest id stays, whole.
+
+    A null id counts as smaller than any other. Rows of one id but unlike texts are documents of their own; of rows alike
+    in both, one stays. With five words, fingerprints six bits apart come from texts that share most of their shingles.
+    """
+    slim = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).alias("t"))
+    kept = near_duplicates(slim, words, radius, blocks, "key", "t").where("key = component_id")
+    kept = Scratch(docs.sparkSession, "simhash").write(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key.id", "key.text", "n"), "kept")
+
+    def among(some):
+        s = some.select(F.col("id").alias("_kept_id"), F.col("text").alias("_kept_text"))
+        return docs.join(s, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_col) == F.col("_kept_text")), "left_semi")
+
+    return among(kept.where("n = 1")).union(among(kept.where("n > 1")).dropDuplicates([id_col, text_col]))
