@@ -27,7 +27,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SIGN = 1 << 63
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
+def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash over `words`-word shingles of the text in lower case (A-Z only), repeats included.
 
     Fewer words make one shingle; no word (empty or null text) makes fingerprint 0.
@@ -44,7 +44,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     total, n = np.zeros(64, dtype=np.int64), len(starts)
     for i in range(0, n, 200_000):
         spans = zip(starts[i : i + 200_000].tolist(), (ends[k - 1 :] - 1)[i : i + 200_000].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), dtype="<u8")
+        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), dtype="<u8")
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
@@ -112,16 +112,18 @@ def _bit_mask(chosen: tuple[int, ...], blocks: int) -> int:
     return mask - (1 << 64) if mask >= SIGN else mask
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp long): one row for each row of `docs`; fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """(id_col, fp long, then fp1, fp2 ... for further seeds): one row for each row of `docs`; the 64 bits as a signed number."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def run(batches):
         for b in slices(batches, "t"):
-            fp = np.array([fingerprint(t, words) for t in b.column("t").to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([b.column("i"), pa.array(fp.view(np.int64))], names=["i", "fp"])
+            texts = b.column("t").to_pylist()
+            prints = [np.array([fingerprint(t, words, s) for t in texts], dtype=np.uint64).view(np.int64) for s in seeds]
+            yield pa.record_batch([b.column("i"), *map(pa.array, prints)], names=["i", *names])
 
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return slim.mapInArrow(run, f"i {slim.schema['i'].dataType.simpleString()}, fp long").withColumnRenamed("i", id_col)
+    return slim.mapInArrow(run, f"i {slim.schema['i'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("i", id_col)
 
 
 def links(prints: DataFrame, radius: int = 4, blocks: int = 6, most: int = 2000) -> DataFrame:
@@ -151,32 +153,40 @@ def links(prints: DataFrame, radius: int = 4, blocks: int = 6, most: int = 2000)
     return dealt.select("shard", "lo", "hi", "own", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """One row (id_col, fp long, component_id) for each row of `docs`.
 
-    Documents are linked if their fingerprints differ in `radius` bits or fewer; component_id is the smallest id that
-    links reach. Null and empty texts have fingerprint 0 and link like any other. Equal fingerprints are gathered first,
-    so copies cost one entry. Rows with a null id take part; if all ids of a component are null, so is component_id.
-    Repeated ids keep their rows. Other columns are ignored. An empty table gives an empty one.
+    Documents are linked if their fingerprints differ in `radius` bits or fewer (with several `seeds`: those of any seed);
+    component_id is the smallest id that links reach. Null and empty texts have fingerprint 0 and link like any other. Equal
+    fingerprints are gathered first, so copies cost one entry. Rows with a null id take part; if all ids of a component
+    are null, so is component_id. Repeated ids keep their rows. Other columns are ignored. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.write(fingerprints(docs, words, id_col, text_col), "prints")
+    prints = scratch.write(fingerprints(docs, words, id_col, text_col, seeds), "prints")
     classes = scratch.write(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    found = components(links(classes.select("fp"), radius, blocks), scratch)
+    joined = links(classes.select("fp"), radius, blocks)
+    for k in range(1, len(seeds)):  # a fingerprint of another seed stands for the smallest first fingerprint of its documents
+        pairs = scratch.write(prints.groupBy(f"fp{k}", "fp").agg(F.lit(1).alias("one")).select(F.col(f"fp{k}").alias("other"), "fp"), "pairs")
+        stands = scratch.write(pairs.groupBy("other").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("n")), "stands")
+        more = links(stands.select(F.col("other").alias("fp")), radius, blocks).join(stands.select(F.col("other").alias("a"), F.col("first").alias("x")), "a").join(stands.select(F.col("other").alias("b"), F.col("first").alias("y")), "b")
+        same = pairs.join(stands.where("n > 1"), "other").where("fp <> first")
+        joined = joined.union(more.select("x", "y")).union(same.select("fp", "first"))
+    found = components(joined, scratch)
     top = scratch.write(classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("top")), "tops")
     ids = top.groupBy("top").agg(F.min("least").alias("component_id"))
     named = scratch.write(top.join(ids, "top").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    return prints.select(id_col, "fp").join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 6, blocks: int = 9, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42, 1042)) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component, one row with the smallest id stays, whole.
 
     A null id counts as smaller than any other. Rows of one id but unlike texts are documents of their own; of rows alike
-    in both, one stays. With five words, fingerprints six bits apart come from texts that share most of their shingles.
+    in both, one stays. With five words, fingerprints six bits apart come from texts that share most of their shingles; a
+    second seed catches most pairs of a similarity about 0.85 or more that the first one misses.
     """
     slim = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("key"), F.col(text_col).alias("t"))
-    kept = near_duplicates(slim, words, radius, blocks, "key", "t").where("key = component_id")
+    kept = near_duplicates(slim, words, radius, blocks, "key", "t", seeds).where("key = component_id")
     kept = Scratch(docs.sparkSession, "simhash").write(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key.id", "key.text", "n"), "kept")
 
     def among(some):
