@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval, scoring, team, text, timeline
+from . import composites, retrieval, scoring, team, text, timeline
 
-_MODULES = (retrieval, text, timeline, scoring, team)
+_MODULES = (retrieval, text, timeline, scoring, team, composites)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
