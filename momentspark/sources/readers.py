@@ -90,6 +90,6 @@ def json_reply(text: str = "reply", schema: str = "keywords array<string>, confi
     """Of a reply column: what lies between the first { and the last }, parsed; null where it does not parse. An unknown confidence is
     'none'; list items are trimmed and empty ones dropped."""
     parsed = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
-    words = F.filter(F.transform(F.coalesce(parsed["keywords"], F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    words = F.filter(F.transform(F.coalesce(parsed["keywords"], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     sure = F.lower(parsed["confidence"])
     return F.struct(words.alias("keywords"), F.when(sure.isin("high", "medium", "low"), sure).otherwise("none").alias("confidence"))
