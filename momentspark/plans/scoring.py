@@ -70,7 +70,7 @@ def pooled_score(spark: SparkSession, d: str) -> DataFrame:
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
     """Line items as anchors of their order's task: of those with one line number, the least part."""
-    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     li = read(spark, d, "lineitem").withColumn("i", first).where("i = 1")
     direction = F.when(F.col("l_returnflag") == "A", "up").when(F.col("l_returnflag") == "R", "down").otherwise("both")
     return li.select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("anchor"), (F.col("l_suppkey") % 3).cast("string").alias("video"), (F.col("l_partkey") % 200).alias("frame"), F.floor("l_quantity").cast("int").alias("step"), direction.alias("direction"), (F.col("l_partkey") % 400).alias("reach"), F.lit(20).alias("need"))
@@ -117,7 +117,7 @@ round(avg(CASE WHEN {_ok} THEN final_score ELSE 0 END), 6) AS final_score,
 round(avg(CASE WHEN {_ok} AND hit_rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate, count(*) FILTER ({_ok} AND video_rank IS NOT NULL AND hit_rank IS NULL) AS video_hit_interval_miss"""
 TIMED = "t AS (SELECT event_type AS run_id, value * 40 AS latency_ms, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events)"
 ANCHORS = """a AS (SELECT l_orderkey AS task_id, l_linenumber AS anchor, CAST(l_suppkey % 3 AS VARCHAR) AS video, l_partkey % 200 AS frame, CAST(floor(l_quantity) AS INT) AS step,
-  CASE l_returnflag WHEN 'A' THEN 'up' WHEN 'R' THEN 'down' ELSE 'both' END AS direction, l_partkey % 400 AS reach FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1)"""
+  CASE l_returnflag WHEN 'A' THEN 'up' WHEN 'R' THEN 'down' ELSE 'both' END AS direction, l_partkey % 400 AS reach FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)"""
 QUERIES = {f.__name__: f for f in (first_rank_videos, interval_scoring, run_summary, result_slices, latency_percentiles, latency_outliers, pooled_score, anchor_spread, event_variants, uniform_step, bisection_spread, event_plan)}
 ORACLE_SQL = {
     "first_rank_videos": f"WITH {RESULTS} SELECT query_id, video, video_rank, array_to_string(list_slice(string_split(all_names, ','), 1, 3), ',') AS frames FROM fv",
