@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
 EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¿¡«»„“”‘’"
 WORD = re.compile(r"\S+")
@@ -104,16 +104,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_unl
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # at most most_positives + most_unlabelled numbers
 
     def sample(batches):
-        seen, marked = {}, shared.value
+        seen, marked, done = {}, shared.value, set()
         for b in batches:
             h = b.column("h").to_numpy()
-            at = [k for k, x in enumerate(h.tolist()) if x in marked]
-            for k in at:
+            for k in [k for k, x in enumerate(h.tolist()) if x in marked]:
+                if int(h[k]) in done:  # a copy
+                    continue
+                done.add(int(h[k]))
                 found = sorted(features(b.column("t")[k].as_py(), seen))
                 yield pa.record_batch([pa.array([h[k]]), pa.array([marked[int(h[k])]], pa.int32()), pa.array([found], pa.list_(pa.string()))], names=["h", "mark", "found"])
 
-    from .common import Scratch
-
     picked = Scratch(docs.sparkSession, "toxicity").write(texts.select("t", "h").mapInArrow(sample, "h long, mark int, found array<string>").dropDuplicates(["h"]), "picked")
     n_pos, n_unl = len(positives), len(unlabelled)
     counted = picked.select("mark", F.explode("found").alias("f")).groupBy("f").agg(F.count_if(F.col("mark") % 2 == 1).alias("p"), F.count_if(F.col("mark") >= 2).alias("u"))
