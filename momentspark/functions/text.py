@@ -51,3 +51,8 @@ def split_query_text(text: Column) -> Column:
 def clean_answer(text: Column) -> Column:
     """Curly quotes straight, line breaks as spaces, trimmed."""
     return F.trim(F.regexp_replace(F.translate(text, "“”„‘’", "\"\"\"''"), r"[\r\n]+", " "))
+
+
+def normalize_phase(phase: Column) -> Column:
+    """p2 for 2, p2 and P2; p1 for anything else."""
+    return F.when(F.lower(F.trim(phase)).isin("2", "p2"), "p2").otherwise("p1")

@@ -26,6 +26,11 @@ def test_fold_and_parts(spark):
     assert row[0] == "Duong di Da Nang Nuoc o" and row[1] == ["A", "B", "C"]
 
 
+def test_phase(spark):
+    rows = spark.createDataFrame([("2",), ("P2",), ("p2",), ("p1",), ("x",), (None,)], "p string").select(text.normalize_phase(F.col("p"))).collect()
+    assert [r[0] for r in rows] == ["p2", "p2", "p2", "p1", "p1", "p1"]
+
+
 def test_names_and_clock(spark):
     df = spark.createDataFrame([("N001-V001-0000-24.jpg", 25.0, 100), ("L24_V010-0031-abc.jpg", 0.0, 5), ("noimagehere", 30.0, -1)], "name string, fps double, f int")
     rows = df.select(media.parse_name(F.col("name")), media.clock(F.col("f"), F.col("fps"))).collect()
