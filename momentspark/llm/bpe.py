@@ -74,7 +74,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by a tokenizers definition (byte-level BPE, GPT-2's split pattern)."""
 
-    def __init__(self, definition: str, most_pieces: int = 400_000):
+    def __init__(self, definition: str, most_pieces: int = 700_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -89,55 +89,52 @@ class Encoder:
         self.most = most_pieces
         encoder = self
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
+        class Words(dict):
+            """Ids of words by text. What a word is made of is kept here, what is made of words is not."""
+
+            def __init__(self, before: str):
+                self.before = before
+
+            def __missing__(self, word: str) -> bytes:
+                m = WORDS.fullmatch(word)
+                if m and m[2]:
+                    return self[m[1]] + encoder.bare[m[2]]
+                if not m:
+                    return encoder._lines(self, word)
                 if len(self) >= encoder.most:
                     self.clear()
-                ids = encoder._piece(piece)
-                if "\n" not in piece:
-                    self[piece] = ids
+                self[word] = ids = encoder._match(self.before + word)
                 return ids
 
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
+        class Signs(dict):
+            def __missing__(self, signs: str) -> bytes:
                 if len(self) >= encoder.most:
                     self.clear()
-                self[word] = ids = encoder._word(word)
+                self[signs] = ids = encoder._match(signs)
                 return ids
 
-        self.pieces, self.words = Pieces(), Words()
+        self.spaced, self.unspaced, self.bare = Words(" "), Words(""), Signs()
 
-    def _word(self, word: str) -> bytes:
-        """One match of the split pattern: a word, with the space before it if it has one."""
-        named = word.replace(" ", CHARS[32]) if word.isascii() and word != "\n" else "".join([CHARS[b] for b in word.encode()])
+    def _match(self, text: str) -> bytes:
+        """One match of the split pattern: a word or signs, with the space before it if it has one."""
+        named = text.replace(" ", CHARS[32]) if text.isascii() and text != "\n" else "".join([CHARS[b] for b in text.encode()])
         return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """A space and the text up to the next such space."""
-        m = WORDS.fullmatch(piece)
-        if m:
-            return self.words[" " + m[1]] + self.words[m[2]] if m[2] else self.words[" " + m[1]]
-        out, before = [], " "
-        for part in piece.split("\n"):
-            m = WORDS.fullmatch(part)
-            if not m:
-                return self.whole(" " + piece)
-            out.append(self.words[before + m[1]])
-            if m[2]:
-                out.append(self.words[m[2]])
-            out.append(self.words["\n"])
-            before = ""
-        return b"".join(out[:-1])
+    def _lines(self, words: dict, piece: str) -> bytes:
+        """A piece that is no plain word: words with line feeds between them, or anything."""
+        parts = piece.split("\n")
+        if not all(map(WORDS.fullmatch, parts)):
+            return self.whole(words.before + piece)
+        feed = self.bare["\n"]
+        return feed.join([words[parts[0]], *map(self.unspaced.__getitem__, parts[1:])])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         first, *rest = GAP.split(text) if LOOSE.search(text) else text.split(" ")
-        start = self.whole(first) if first else b""
-        if not first and rest:  # the text starts with a space before a character
-            return b"".join(map(self.pieces.__getitem__, rest))
-        return start + b"".join(map(self.pieces.__getitem__, rest))
+        start = self.unspaced[first] if first else b""
+        return start + b"".join(map(self.spaced.__getitem__, rest))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids; an id of the definition's added tokens (outside the byte table) has none."""
