@@ -49,25 +49,54 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, words: int = 5, k: int = 6) -> np.ndarray:
-    """k SimHash words of 64 bits: each from another mix of the shingles' 64-bit hashes. Zeros where there is no word."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of the text's `words`-word shingles in lower case (A-Z only), ascending; of fewer words, one."""
     import xxhash
 
     found = WORD.findall((text or "").encode("utf-8", "replace").translate(LOWER))
     if not found:
-        return np.zeros(k, dtype=np.uint64)
-    n, joined = max(1, len(found) - words + 1), b" ".join(found)
+        return np.zeros(0, dtype=np.uint64)
+    k, joined, digest = min(words, len(found)), b" ".join(found), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in found])
-    starts = np.concatenate([[0], ends[:-1]])[:n]
-    digest, total = xxhash.xxh64_intdigest, np.zeros((k, 64), dtype=np.int64)
-    for i in range(0, n, 100_000):
-        spans = zip(starts[i : i + 100_000].tolist(), (ends[min(words, len(found)) - 1 :] - 1)[i : i + 100_000].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], 42) for a, b in spans), dtype="<u8")
+    starts = np.concatenate([[0], ends[:-1]])[: len(found) - k + 1]
+    spans = zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), dtype="<u8"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def wide_fingerprint(found: np.ndarray, k: int = 3) -> np.ndarray:
+    """k SimHash words of 64 bits of a set of hashes (`shingles`): each from another mix of them. Zeros for the empty set."""
+    total = np.zeros((k, 64), dtype=np.int64)
+    for i in range(0, len(found), 100_000):
+        h = found[i : i + 100_000]
         for j in range(k):
-            mixed = (h ^ np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9) if j else h
-            mixed = mixed ^ (mixed >> np.uint64(31)) if j else h
+            mixed = _mixed(h ^ np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if j else h
             total[j] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+    return np.packbits(2 * total > len(found), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
+def band_keys(found: np.ndarray, bands: int, depth: int) -> np.ndarray:
+    """One key for each band of a set of hashes: a hash of the set's smallest values in `depth` orders. None for the empty set.
+
+    Two sets of Jaccard similarity s share one band's key with probability s ** depth.
+    """
+    if not len(found):
+        return np.zeros(0, dtype=np.uint64)
+    odd = np.random.default_rng(7).integers(0, 1 << 63, bands * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * depth, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(found), 4096):
+        x = found[None, i : i + 4096] * odd[:, None]
+        x ^= x >> np.uint64(32)
+        x *= odd[::-1, None]
+        least = np.minimum(least, x.min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, depth).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + column)
+    return key
 
 
 class BKTree:
@@ -189,11 +218,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def _verified_links(values: list[int], rest: list[tuple[int, ...]], nodes: list[int], own: list[int] | None, radius: int, total: int) -> list[tuple[int, int]]:
-    """Links of one shard between nodes whose first words lie within `radius` (found by BK-tree) and all whose words together
-    within `total`; enough to connect all such. With `own`, only across the two stripes."""
+def candidate_pairs(values: list[int], rest: list[tuple[int, ...]], sizes: list[int], groups: list[int], own: list[int] | None, radius: int, total: int, threshold: float, spanning: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of one shard that may be alike: in unlike groups, of sizes that allow the threshold, their first words within
+    `radius` (found by BK-tree) and all words together within `total`. With `spanning` only as many as connect all such
+    pairs. With `own`, only across the two stripes."""
     at: dict[int, list[int]] = {}
-    parent = list(range(len(values)))
+    parent = {g: g for g in groups}
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -217,54 +247,89 @@ def _verified_links(values: list[int], rest: list[tuple[int, ...]], nodes: list[
             for w in tree.within(v, radius):
                 near = (v ^ w).bit_count()
                 for j in at[w]:
-                    if (a := top(i)) != (b := top(j)) and near + sum((x ^ y).bit_count() for x, y in zip(rest[i], rest[j], strict=True)) <= total:
-                        parent[a] = b
-                        out.append((nodes[i], nodes[j]))
+                    a, b = top(groups[i]), top(groups[j])
+                    few, many = sorted((sizes[i], sizes[j]))
+                    if a != b and few >= threshold * many and near + sum((x ^ y).bit_count() for x, y in zip(rest[i], rest[j], strict=True)) <= total:
+                        if spanning:
+                            parent[a] = b
+                        out.append((i, j))
             if own is None:
                 put(i)
     return out
 
 
-def similar(docs: DataFrame, words: int = 5, k: int = 6, blocks: int = 6, agree: int = 2, radius: int = 16, total: int = 30, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, component_id) by texts whose `words`-word shingles are alike to about 0.8 (Jaccard) or more.
-
-    Each text has k fingerprint words. Texts meet in a shard where one word agrees on `agree` of `blocks` bit blocks; a BK-tree of
-    that word finds what lies within `radius`, and the pair counts if three words (192 bits) differ in at most `total` bits. At a
-    similarity of 0.8 these differ in 29 bits on average (in 25 at 0.85, 37 at 0.7). Nulls, empty tables and repeats as in
-    `near_duplicates`. Shards of more than `most` texts are dealt into stripe pairs.
-    """
-    scratch = Scratch(docs.sparkSession, "similar")
-
-    def printed(batches):
-        for b in slices(batches, "t"):
-            found = np.array([wide_fingerprint(t, words, k) for t in b.column("t").to_pylist()], dtype=np.uint64).reshape(-1, k).view(np.int64)
-            yield pa.record_batch([b.column("i"), *(pa.array(found[:, j]) for j in range(k))], names=["i", *(f"w{j}" for j in range(k))])
-
-    slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    names = [f"w{j}" for j in range(k)]
-    prints = slim.mapInArrow(printed, f"i {slim.schema['i'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names)).withColumn("node", F.xxhash64(*names))
-    prints = scratch.write(prints, "prints")
-    classes = scratch.write(prints.groupBy("node").agg(F.min("i").alias("least"), *(F.min(n).alias(n) for n in names)), "classes")
-    masks = [_bit_mask(c, blocks) for c in combinations(range(blocks), agree)]
-    entries = [F.struct(F.xxhash64(F.lit(j * 1000 + m), F.col(f"w{j}").bitwiseAND(F.lit(mask))).alias("shard"), F.col(f"w{j}").alias("a"), F.col(f"w{(j + 1) % k}").alias("b"), F.col(f"w{(j + 2) % k}").alias("c")) for j in range(k) for m, mask in enumerate(masks)]
-    rows = classes.select("node", F.inline(F.array(*entries)))
-    dealt = block_pairs(rows, "shard", "node", most).repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi")
+def candidates(nodes: DataFrame, radius: int, total: int, threshold: float, spanning: bool, most: int) -> DataFrame:
+    """(a, b) with a < b, each once: `candidate_pairs` of all shards over `nodes` (node, comp, n, w0, w1, w2, bands)."""
+    rows = nodes.select("node", "comp", "n", "w0", "w1", "w2", F.explode("bands").alias("shard"))
+    dealt = block_pairs(rows, "shard", "node", most).repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", F.xxhash64("shard", "node"))
 
     def run(batches):
         for t, at in whole_groups(batches, ["shard", "lo", "hi"]):
             ends = np.append(at[1:], len(t))
             several = np.flatnonzero(ends - at > 1)
-            node, lo, hi, own, a, b, c = (t.column(x).to_numpy() for x in ("node", "lo", "hi", "own", "a", "b", "c"))
+            node, lo, hi, own, comp, n, *w = (t.column(x).to_numpy() for x in ("node", "lo", "hi", "own", "comp", "n", "w0", "w1", "w2"))
             out = []
             for g in several:
                 x, y = at[g], ends[g]
-                values, second, third = (v[x:y].view(np.uint64).tolist() for v in (a, b, c))
-                out += _verified_links(values, list(zip(second, third, strict=True)), node[x:y].tolist(), None if lo[x] == hi[x] else own[x:y].tolist(), radius, total)
+                values, *rest = (v[x:y].view(np.uint64).tolist() for v in w)
+                found = candidate_pairs(values, list(zip(*rest, strict=True)), n[x:y].tolist(), comp[x:y].tolist(), None if lo[x] == hi[x] else own[x:y].tolist(), radius, total, threshold, spanning)
+                out += [(node[x + i], node[x + j]) for i, j in found]
             if out:
-                pairs = np.array(out, dtype=np.int64)
+                pairs = np.sort(np.array(out, dtype=np.int64), axis=1)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    found = components(dealt.select("shard", "lo", "hi", "own", "node", "a", "b", "c").mapInArrow(run, "a long, b long"), scratch)
+    return dealt.select("shard", "lo", "hi", "own", "node", "comp", "n", "w0", "w1", "w2").mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose `sets` (node, found array<long> without repeats) have a Jaccard similarity of `threshold` or more."""
+    both = F.size(F.array_intersect("x", "y"))
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+    return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 48, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id) by texts whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more.
+
+    Texts of one shingle set are one node. Nodes meet in a shard where one of `bands` bands agrees; a BK-tree of the first of three
+    fingerprint words finds what lies within `radius` there, and a pair of at most `total` unlike bits (192; 29 on average at a
+    similarity of 0.8) is a candidate. A candidate becomes a link only if the shingle sets themselves are alike enough. First only as many
+    candidates are measured as connect the others; then all that still stand between unlike components, so that no
+    candidate is left out. A pair at 0.8 is a candidate with a probability of 0.997. Nulls, empty tables and repeats as
+    in `near_duplicates`. Shards of more than `most` nodes are dealt into stripe pairs.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+
+    def printed(batches):
+        import xxhash
+
+        for b in slices(batches, "t"):
+            sets = [shingles(t, words) for t in b.column("t").to_pylist()]
+            prints = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            keys = [band_keys(s, bands, depth).view(np.int64) for s in sets]
+            yield pa.record_batch([b.column("i"), b.column("h"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(prints[:, j]) for j in range(3)), pa.array(keys, pa.list_(pa.int64()))], names=["i", "h", "node", "n", "w0", "w1", "w2", "bands"])
+
+    slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    kind = slim.schema["i"].dataType.simpleString()
+    prints = scratch.write(slim.mapInArrow(printed, f"i {kind}, h long, node long, n long, w0 long, w1 long, w2 long, bands array<long>"), "prints")
+    names = ["h", "n", "w0", "w1", "w2", "bands"]
+    classes = scratch.write(prints.groupBy("node").agg(F.min("i").alias("least"), *(F.min(c).alias(c) for c in names)), "classes")
+    first = scratch.write(candidates(classes.withColumn("comp", F.col("node")), radius, total, threshold, True, most), "first")
+    # a node with a candidate has one in `first`, which connects them: no other sets are needed
+    met = scratch.write(classes.join(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "met")
+
+    def listed(batches):
+        for b in slices(batches, "t"):
+            yield pa.record_batch([b.column("node"), pa.array([shingles(t, words).view(np.int64) for t in b.column("t").to_pylist()], pa.list_(pa.int64()))], names=["node", "found"])
+
+    texts = slim.select("t", "h").join(met.select("h", "node"), "h").select("node", "t").dropDuplicates(["node"])
+    sets = scratch.write(texts.mapInArrow(listed, "node long, found array<long>"), "sets")
+    linked = scratch.write(alike(first, sets, threshold), "linked")
+    now = scratch.write(met.join(components(linked, scratch), "node", "left").withColumn("comp", F.coalesce("component", "node")), "now")
+    second = candidates(now, radius, total, threshold, False, most).join(first, ["a", "b"], "left_anti")
+    linked = linked.union(scratch.write(alike(second, sets, threshold), "linked"))
+    found = components(linked, scratch)
     top = scratch.write(classes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("top")), "tops")
     ids = top.groupBy("top").agg(F.min("least").alias("component_id"))
     named = scratch.write(top.join(ids, "top").select("node", "component_id"), "named")

@@ -371,6 +371,38 @@ def test_keep_one(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def changed(words, n, seed):
+    """The words with `n` of them, far enough apart, replaced: each takes five shingles on both sides."""
+    at, r = list(words), random.Random(seed)
+    for k in r.sample(range(1, len(words) // 8), n):
+        at[8 * k] = f"new{seed}x{k}"
+    return " ".join(at)
+
+
+@pytest.mark.parametrize("most", [9, 2000])
+def test_similar_links_at_the_exact_similarity(spark, most):
+    def sets(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b)
+
+    texts = []
+    for k in range(60):  # 225 shingles, of which n changed words take 5 n: similarities 0.837, 0.8 itself, 0.765, 0.731 and 0.698
+        base = prose(5000 + k, 229)
+        texts += [base, changed(base.split(), 4 + k % 5, k)]
+    hub = prose(6000, 424).split()  # many near copies of one text
+    texts += [changed(hub, 2 + k % 9, 100 + k) for k in range(40)] + [prose(7000, 30).upper(), prose(7000, 30), "one", "One ", "", None]
+    sizes = [sets(t or "") for t in texts]
+    want = groups_of(list(range(len(texts))), lambda a, b: jaccard(sizes[a], sizes[b]) >= 0.8)
+    between = [jaccard(sizes[2 * k], sizes[2 * k + 1]) for k in range(60)]
+    assert sum(0.8 <= s < 0.87 for s in between) >= 15 and sum(0.65 < s < 0.8 for s in between) >= 15
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df, most=most).collect()}
+    assert got == want
+
+
 # 10
 @pytest.mark.parametrize("most", [7, 1000])
 def test_lattice(spark, most):
