@@ -283,6 +283,16 @@ def test_wrappers(spark):
     assert wrappers.main_text(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "raw",
+    ["<script>for(i=0;i<n;i++){f(i)}</script>", "<script><!-- x</script>", "<script>var q='\"<a href=\\''</script>", "<SCRIPT>if(a<b&&c>d){}</Script >", "<style>/* <p */ a>b{}</style>", "<textarea><b <!-- </textarea>", "<script>'</scripts>';i<n</script>", "<svg><style>a<b</style></svg>"],
+)
+def test_raw_elements_end_at_their_end_tag(raw):
+    text = lambda page: [k for n in wrappers.parse(page).kids for k in n.kids]
+    assert text(f"<p>Head</p>{raw}<p>Body</p><script>x</script><p>Tail</p>") == ["Head", "Body", "Tail"]
+    assert wrappers.extract(f"<article><p>Head</p>{raw}<p>Body</p></article>") == "Head\n\nBody"
+
+
 def test_wrapper_groups():
     a, b = (wrappers.wrapper_of(wrappers.parse(f"<ul>{'<li>x</li>' * n}</ul><p>{n}</p>{x}")) for n, x in ((1, ""), (3, "<hr>")))
     w = wrappers.align(a, b)
