@@ -1,13 +1,15 @@
 """Secret scans (dealt operator 2): patterns, and strings that a primed zstandard dictionary cannot compress.
 
-Base spans are those of three patterns. In addition, strings of 16 or more token characters that follow a sensitive word
-closely are candidates. For each, zstandard is primed with the text around it (without it) and with common identifiers; its
-marginal bytes are what the compressed size grows by. What the surroundings, the identifiers or its own repeats explain
-costs few bytes; random keys cost nearly all of theirs and are reported as kind `novel`.
+Base spans are those of three patterns. In addition, all strings of 16 or more token characters that follow a sensitive word
+closely are candidates, and after a novel one those of the following lines. For each, zstandard is primed with the text around it
+(without it) and with common identifiers; its marginal bytes are what the compressed size grows by. What the surroundings,
+the identifiers or its own repeats explain costs few bytes; random keys cost nearly what random text of their
+alphabet does and are reported as kind `novel`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 from typing import NamedTuple
@@ -25,6 +27,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 SENSITIVE = re.compile(rb"passw|pwd|secret|token|api[_-]?key|private|credential|bearer|authoriz|signing|access[_-]?key")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+# a key's next line (line breaks may be escaped, lines quoted), and the rest of a key before its end mark
+NEXT_LINE = re.compile(rb"[\x20\t\"',]*(?:\\r|\\n|\r|\n)+[\x20\t\"',]*")
+LAST_LINE = re.compile(rb"[A-Za-z0-9+/=]+(?=[\x20\t\"',]*(?:\\r|\\n|\r|\n)+[\x20\t\"',]*-----END)")
 #: Names that stand in code and configuration beside secrets and are none themselves.
 IDENTIFIERS = b" ".join(
     rb"""password passwd secret token api_key apikey access_key_id secret_access_key client_secret client_id private_key public_key
@@ -38,8 +43,8 @@ http://www. https://www. .com .org .net .example github.com localhost:8080 127.0
 
 
 class Novelty(NamedTuple):
-    """A candidate is reported if it costs `share` of its bytes or more. `reach`: bytes after a sensitive word in which it
-    may start; `around`: bytes of text on each side that prime the dictionary."""
+    """A candidate is reported if it costs `share` of the bytes of random text of its alphabet or more. `reach`: bytes after a
+    sensitive word in which it may start; `around`: bytes of text on each side that prime the dictionary."""
 
     share: float = 0.85
     reach: int = 48
@@ -69,20 +74,41 @@ def base_spans(data: bytes, low: bytes) -> list[tuple[int, str, int]]:
     return out + [(m.start(), "hex", m.end()) for m in HEX.finditer(data)]
 
 
+def random_bytes(text: bytes) -> float:
+    """What random text of this length costs at the least, by the kinds of characters in this one (letters to f count as hexadecimal)."""
+    low, high = re.findall(rb"[a-z]", text), re.findall(rb"[A-Z]", text)
+    size = 10 * bool(re.search(rb"[0-9]", text)) + len(set(re.findall(rb"[^A-Za-z0-9]", text)))
+    size += (low != []) * (6 if all(c <= b"f" for c in low) else 26) + (high != []) * (6 if all(c <= b"F" for c in high) else 26)
+    return len(text) * math.log2(max(2, size)) / 8
+
+
 def novel_spans(data: bytes, low: bytes, taken: list[tuple[int, str, int]], rule: Novelty) -> list[tuple[int, str, int]]:
     """Candidates apart from the taken spans, with letters and digits, that the primed dictionary does not explain."""
     out, done = [], 0
+
+    def novel(a: int, z: int) -> bool:
+        if any(s < z and a < e for s, _, e in taken):
+            return False
+        return marginal_bytes(data[a:z], data[max(0, a - rule.around) : a] + data[z : z + rule.around]) >= rule.share * random_bytes(data[a:z])
+
     for word in SENSITIVE.finditer(low):
-        m = CANDIDATE.search(data, max(word.end(), done), word.end() + rule.reach)
-        if not m:
-            continue
-        a, z = m.start(), CANDIDATE.match(data, m.start()).end()  # whole, also beyond the reach
-        done = z
-        text = data[a:z]
-        if any(s < z and a < e for s, _, e in taken) or not (re.search(rb"[0-9]", text) and re.search(rb"[A-Za-z]", text)):
-            continue
-        if marginal_bytes(text, data[max(0, a - rule.around) : a] + data[z : z + rule.around]) >= rule.share * len(text):
+        limit = word.end() + rule.reach
+        while m := CANDIDATE.search(data, max(word.end(), done), limit + 15):
+            a, z = m.start(), CANDIDATE.match(data, m.start()).end()  # whole, also beyond the reach
+            done = z
+            if not (re.search(rb"[0-9]", data[a:z]) and re.search(rb"[A-Za-z]", data[a:z]) and novel(a, z)):
+                continue
             out.append((a, "novel", z))
+            while gap := NEXT_LINE.match(data, z):
+                a = gap.end()
+                if last := LAST_LINE.match(data, a):
+                    z = last.end()
+                elif (line := CANDIDATE.match(data, a)) and not line[0].startswith(b"-----") and novel(a, line.end()):
+                    z = line.end()
+                else:
+                    break
+                done = z
+                out.append((a, "novel", z))
     return out
 
 
