@@ -5,8 +5,9 @@ function f with class prior p is p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l
 on the negatives hidden in the unlabelled text (Kiryo et al., 2017), which counts as zero where its estimate is below. l is the logistic loss, so the sigmoid of f estimates the share of toxic text at a point.
 
 Features of a document are the words it has and the first 4, 5 and 6 characters of its longer words (compounds of
-one stem share these). Spark counts, over all training documents, in how many texts each feature stands; those
-much more frequent among the positives than elsewhere become the model's vocabulary, of a bounded size.
+one stem share these). Spark counts, over all distinct training texts and all distinct positives, in how many texts each feature
+stands; those much more frequent among the positives than elsewhere become the model's vocabulary, of a bounded size. Gradient
+steps take a bounded sample; a feature that no sampled positive has gets its weight from the counts.
 """
 
 from __future__ import annotations
@@ -77,23 +78,57 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 800
     return w
 
 
+def text_counts(texts: DataFrame, most: int = 200_000) -> DataFrame:
+    """(f, n): in how many of the distinct `texts` (t, h) each feature stands. Copies go in their task, then in that of their hash."""
+
+    def once(batches):
+        done: set[int] = set()
+        for b in batches:
+            keep = []
+            for h in b.column("h").to_pylist():
+                keep.append(h not in done)
+                done.add(h)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    def count(batches):
+        seen, n = {}, {}
+
+        def out():
+            return pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
+
+        for b in once(batches):
+            for part in slices([b], "t"):
+                for t in part.column("t").to_pylist():
+                    for f in features(t, seen):
+                        n[f] = n.get(f, 0) + 1
+                    if len(n) > most:
+                        yield out()
+                        n.clear()
+        yield out()
+
+    apart = texts.select("t", "h").mapInArrow(once, "t string, h long").repartition("h")
+    return apart.mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_unlabelled: int = 8000, most_features: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Trains on the documents whose crc32(id as text) mod 3 is not 1. None if no positive or no other text is left.
 
-    The sample that comes to the driver is bounded: the `most_positives` positives and the `most_unlabelled` training texts of any
-    kind with the smallest hash of their text (each text once), as rows of at most `most_features` numbers. The vocabulary is counted on these
-    samples by Spark; the class prior is the share of toxic rows among all labelled training rows.
+    The vocabulary is counted by Spark over all training texts (each text once). Where more than `most_features` are signs of toxic
+    text, the surest stay. The sample that comes to the driver is bounded: the `most_positives` positives and the `most_unlabelled`
+    training texts of any kind with the smallest hash of their text, as rows of at most `most_features` numbers. The class prior is the
+    share of toxic rows among the labelled training rows whose text is in `docs`.
     Labels that are null or of unknown documents count for nothing; a document labelled twice is toxic if any label says so.
     """
     training = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & training).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     texts = docs.where(F.col(text_col).isNotNull() & (F.col(id_col).isNull() | training)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     joined = texts.select("i", "h").join(known.withColumnRenamed(id_col, "i"), "i", "left")
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    total = joined.where("y is not null").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     if not total["n"] or not total["p"]:
         return None
     prior = min(0.9, total["p"] / total["n"])
-    hashes = joined.groupBy("h").agg(F.max(F.coalesce("y", F.lit(0))).alias("y"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    hashes = scratch.write(joined.groupBy("h").agg(F.max(F.coalesce("y", F.lit(0))).alias("y")), "hashes")
     mixed = F.xxhash64(F.lit("sample"), "h")
     drawn = lambda rows, n: [r[0] for r in rows.orderBy(mixed, "h").limit(n).select("h").collect()]
     positives, unlabelled = drawn(hashes.where("y = 1"), most_positives), drawn(hashes, most_unlabelled)
@@ -114,16 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_unl
                 found = sorted(features(b.column("t")[k].as_py(), seen))
                 yield pa.record_batch([pa.array([h[k]]), pa.array([marked[int(h[k])]], pa.int32()), pa.array([found], pa.list_(pa.string()))], names=["h", "mark", "found"])
 
-    picked = Scratch(docs.sparkSession, "toxicity").write(texts.select("t", "h").mapInArrow(sample, "h long, mark int, found array<string>").dropDuplicates(["h"]), "picked")
-    n_pos, n_unl = len(positives), len(unlabelled)
-    counted = picked.select("mark", F.explode("found").alias("f")).groupBy("f").agg(F.count_if(F.col("mark") % 2 == 1).alias("p"), F.count_if(F.col("mark") >= 2).alias("u"))
+    picked = scratch.write(texts.select("t", "h").mapInArrow(sample, "h long, mark int, found array<string>").dropDuplicates(["h"]), "picked")
+    sizes = hashes.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    n_pos, n_unl = sizes["p"], sizes["n"]
+    of_positives = text_counts(texts.join(hashes.where("y = 1").select("h"), "h", "left_semi")).withColumnRenamed("n", "p")
+    counted = of_positives.join(text_counts(texts).withColumnRenamed("n", "u"), "f")
     usual = n_pos * (F.col("u") + 1) / n_unl  # positives with the feature if it stood in them as often as in any text
     surprise = F.col("p") * F.log(F.col("p") / usual) - (F.col("p") - usual)  # chance exceeds it about once among exp(surprise) features
-    counted = counted.where("p > 0").cache()
+    counted = scratch.write(counted, "counted")
     enough = math.log(max(1, counted.count()))
-    best = counted.where((F.col("p") >= 0.4 / prior * usual) & (surprise >= enough)).orderBy(F.desc("p"), "f").limit(most_features).select("f").collect()
-    counted.unpersist()
-    vocabulary = {r[0]: k for k, r in enumerate(best)}
+    best = counted.where((F.col("p") >= 0.4 / prior * usual) & (surprise >= enough)).orderBy(F.desc(surprise), "f").limit(most_features).select("f", "p", "u").collect()
+    vocabulary = {r["f"]: k for k, r in enumerate(best)}
     if not vocabulary:
         return Model({}, math.log(prior / (1 - prior)), prior)
     words = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -142,7 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_unl
             out[k, r["found"]] = 1
         return out
 
-    w = train_nnpu(matrix([r for r in rows if r["mark"] % 2 == 1]), matrix([r for r in rows if r["mark"] >= 2]), prior)
+    marked = matrix([r for r in rows if r["mark"] % 2 == 1])
+    w = train_nnpu(marked, matrix([r for r in rows if r["mark"] >= 2]), prior)
+    # No gradient: the share of toxic text among texts with the feature, by the counts. Its beginnings stand in the same texts and come before it in this order.
+    for f, k in sorted((f, k) for f, k in vocabulary.items() if not marked[:, k].any()):
+        share = min(0.98, prior * (best[k]["p"] / n_pos) / ((best[k]["u"] + 1) / n_unl))
+        shorter = [f"{m}{f[1 : m + 1]}" for m in (4, 5, 6) if m < len(f) - 1]
+        w[k] = max(0.0, math.log(share / (1 - share)) - w[-1] - math.fsum(w[vocabulary[x]] for x in shorter if x in vocabulary))
     return Model({f: float(w[k]) for f, k in vocabulary.items()}, float(w[-1]), prior)
 
 

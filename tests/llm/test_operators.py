@@ -91,6 +91,19 @@ def test_toxicity_separates_and_never_sees_held_out_labels(spark):
     assert toxicity.keep_clean(d, model).count() == 480
 
 
+def test_toxicity_counts_all_training_texts(spark):
+    rows = [(k, prose(3000 + k, 30) + (" scumword" if k % 4 == 0 else "") + (" rareslur" if k % 40 == 0 else "")) for k in range(1200)]
+    rows += [(5000 + k, rows[0][1]) for k in range(30)]  # copies count once
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows if k % 8 < 5] + [(9000 + k, 0) for k in range(5000)], "doc_id long, toxic int")
+    counts = {r["f"]: r["n"] for r in toxicity.text_counts(d.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")), most=50).collect()}
+    assert counts == dict(Counter(f for t in {t for _, t in rows} for f in toxicity.features(t, {})))
+    model = toxicity.fit(d, lab, most_positives=3, most_unlabelled=60)
+    assert {"=rareslur", "=scumword"} <= model.weights.keys() and model.score({"=rareslur", "4rare", "5rares", "6raresl"}) >= 0.7
+    known = [k for k, _ in rows if k % 8 < 5 and zlib.crc32(str(k).encode()) % 3 != 1]
+    assert model.prior == pytest.approx(sum(k % 4 == 0 for k in known) / len(known))  # labels of unknown documents count for nothing
+
+
 def test_toxicity_edges(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (8, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     for model in (toxicity.fit(docs, labels), toxicity.fit(none, labels), toxicity.fit(docs, labels.where("false")), None):
