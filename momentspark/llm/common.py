@@ -52,7 +52,14 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        self._delete(df.scratch_path)
+
+    def clear(self) -> None:
+        """Removes all tables, once no plan reads them any more."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -97,13 +97,41 @@ def test_toxicity_counts_all_training_texts(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     lab = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows if k % 8 < 5] + [(9000 + k, 0) for k in range(5000)], "doc_id long, toxic int")
     counts = {r["f"]: r["n"] for r in toxicity.text_counts(d.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")), most=50).collect()}
-    assert counts == dict(Counter(f for t in {t for _, t in rows} for f in toxicity.features(t, {})))
+    assert counts == dict(Counter(f for t in {t for _, t in rows} for f in toxicity.features(t, toxicity.Words())))
     model = toxicity.fit(d, lab, most_positives=3, most_unlabelled=60)
     assert {"=rareslur", "=scumword"} <= model.weights.keys() and model.score({"=rareslur", "4rare", "5rares", "6raresl"}) >= 0.7
     known = [k for k, _ in rows if k % 8 < 5 and zlib.crc32(str(k).encode()) % 3 != 1]
     assert model.prior == pytest.approx(sum(k % 4 == 0 for k in known) / len(known))  # labels of unknown documents count for nothing
 
 
+def test_toxicity_finds_a_rare_language_by_words_of_one_stem(spark):
+    """A twentieth of the positives is in another language; its forms of a stem are all rare, and one alone stands in clean text too."""
+    ends = [a + b for a in "aeiou" for b in "lmnrst"]
+    rows, labels = [], []
+    for k in range(2400):
+        r, rare = random.Random(k), k % 10 == 9
+        toxic = r.random() < 0.1
+        own = [f"bomo{e}" for e in r.sample(ends, 4 if toxic else r.random() < 0.2)] if rare else ["scumword"] * toxic
+        rows.append((k, prose(9000 + k, 40) + " " + " ".join(own), rare, int(toxic)))
+        if k % 3 < 2:
+            labels.append((k, int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, rare boolean, truth int")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] >= 0.7 for r in toxicity.score(d, model).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    for rare in (False, True):
+        caught = [got[k] for k, _, x, y in held if x == rare and y]
+        clean = [got[k] for k, _, x, y in held if x == rare and not y]
+        assert len(caught) >= 5 and sum(caught) >= 0.9 * len(caught) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_features_count_words_of_one_beginning():
+    got = toxicity.features("Bomoal bomoel, bomoel! bom " + "x" * 50, toxicity.Words())
+    assert got == {"=bomoal", "=bomoel", "=bom", "4bomo", "4bomo#2", "5bomoa", "5bomoe", "4xxxx", "5xxxxx", "6xxxxxx"}
+    assert set(toxicity.implied("4bomo#3")) == {"4bomo", "4bomo#2"} and set(toxicity.implied("5bomoa#2")) == {"5bomoa", "4bomo", "4bomo#2"}
+    assert toxicity.features(None, toxicity.Words()) == toxicity.features(" ... ", toxicity.Words()) == set()
+
+
 def test_toxicity_edges(spark, docs, none):
     labels = spark.createDataFrame([(5, 1), (8, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     for model in (toxicity.fit(docs, labels), toxicity.fit(none, labels), toxicity.fit(docs, labels.where("false")), None):
