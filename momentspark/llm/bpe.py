@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding (dealt operator 5), with the tokenizers library over Arrow batches.
 
 The byte table of byte-level BPE names each of the 256 bytes by a printable character; a token's bytes are
-its characters looked up backwards. Pieces between spaces recur, so each worker keeps their ids: a space before a
-character that is no white space always starts a new match of the split pattern, which makes the pieces between such
-spaces independent of each other.
+its characters looked up backwards. A space before a character that is no white space always starts a new match of the
+split pattern, which makes the pieces between such spaces independent of each other. So a batch of texts is split at its spaces
+in Arrow, each distinct piece is encoded once (workers keep the ids of words from batch to batch), and the ids
+of all pieces are taken from those of the distinct ones. Texts with other white space after a space are split one by one, and those that
+hold an added token of the definition go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,10 @@ CHARS = byte_characters()
 BYTES = {c: b for b, c in enumerate(CHARS)}
 #: A word and the signs after it, each of which is one match of the split pattern (no apostrophe: it may start one).
 WORDS = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)")
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 GAP = re.compile(r" (?=\S)")
-LOOSE = re.compile(r" (?:\s|\Z)")
+#: A space before other white space or at the end of a text.
+NOT_PLAIN = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,45 +77,59 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, by a tokenizers definition (byte-level BPE, GPT-2's split pattern)."""
+    """Ids of whole texts by a tokenizers definition (byte-level BPE, GPT-2's split pattern), as `Tokenizer.encode` gives them without
+    its post-processor: added tokens that stand in a text become their ids."""
 
-    def __init__(self, definition: str, most_pieces: int = 700_000):
+    def __init__(self, definition: str, most_pieces: int = 700_000, longest_kept: int = 100):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        parts = json.loads(definition)["model"]
+        known = json.loads(definition)
+        parts = known["model"]
         # the pieces are kept here, so the model need not keep them too
         self.model = BPE(vocab=parts["vocab"], merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in parts["merges"]], cache_capacity=0, ignore_merges=bool(parts.get("ignore_merges")))
-        self.tokens = [b""] * (max(parts["vocab"].values(), default=-1) + 1)
+        special = {t["content"]: t["id"] for t in known.get("added_tokens") or []}
+        self.tokens = [b""] * (max([*parts["vocab"].values(), *special.values()], default=-1) + 1)
         for token, i in parts["vocab"].items():
             self.tokens[i] = bytes(BYTES.get(c, 0) for c in token)
-        self.most = most_pieces
+        for token, i in special.items():
+            self.tokens[i] = token.encode()
+        added = "|".join(map(re.escape, special))
+        self.added = re.compile(added) if added else None
+        self.unlike = NOT_PLAIN + ("|" + added if added else "")
         encoder = self
 
         class Words(dict):
-            """Ids of words by text. What a word is made of is kept here, what is made of words is not."""
+            """Ids of pieces by text. What a word is made of is kept here, what is made of words is not."""
 
             def __init__(self, before: str):
                 self.before = before
 
             def __missing__(self, word: str) -> bytes:
+                letters = word.rstrip(SIGNS)
+                known = self.get(letters) if letters != word else None
+                if known is not None:
+                    return known + encoder.bare[word[len(letters) :]]
                 m = WORDS.fullmatch(word)
                 if m and m[2]:
                     return self[m[1]] + encoder.bare[m[2]]
                 if not m:
                     return encoder._lines(self, word)
-                if len(self) >= encoder.most:
+                if len(self) >= most_pieces:
                     self.clear()
-                self[word] = ids = encoder._match(self.before + word)
+                ids = encoder._match(self.before + word)
+                if len(word) <= longest_kept:
+                    self[word] = ids
                 return ids
 
         class Signs(dict):
             def __missing__(self, signs: str) -> bytes:
-                if len(self) >= encoder.most:
+                if len(self) >= most_pieces:
                     self.clear()
-                self[signs] = ids = encoder._match(signs)
+                ids = encoder._match(signs)
+                if len(signs) <= longest_kept:
+                    self[signs] = ids
                 return ids
 
         self.spaced, self.unspaced, self.bare = Words(" "), Words(""), Signs()
@@ -124,20 +143,51 @@ class Encoder:
         """A piece that is no plain word: words with line feeds between them, or anything."""
         parts = piece.split("\n")
         if not all(map(WORDS.fullmatch, parts)):
-            return self.whole(words.before + piece)
+            return self._whole(words.before + piece)
         feed = self.bare["\n"]
         return feed.join([words[parts[0]], *map(self.unspaced.__getitem__, parts[1:])])
 
-    def whole(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        first, *rest = GAP.split(text) if LOOSE.search(text) else text.split(" ")
+        """Of one text, as little-endian unsigned 32-bit integers."""
+        if self.added and self.added.search(text):
+            return self._whole(text)
+        first, *rest = GAP.split(text)
         start = self.unspaced[first] if first else b""
         return start + b"".join(map(self.spaced.__getitem__, rest))
 
+    def lists(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of a batch of texts (null: empty): all ids in order (int32) and where each text starts among them, with the end (int64)."""
+        texts = pc.fill_null(texts, "")
+        unlike = pc.match_substring_regex(texts, self.unlike).to_numpy(zero_copy_only=False)
+        if not unlike.any():
+            return self._plain(texts)
+        ids, at = self._plain(texts.filter(pa.array(~unlike)))
+        rest = iter(np.split(ids, at[1:-1]) if len(at) > 1 else [])
+        out = [np.frombuffer(self.ids(text), dtype="<i4") if x else next(rest) for x, text in zip(unlike, texts.to_pylist(), strict=True)]
+        return np.concatenate(out), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts in which every space stands before a character that is no white space."""
+        if not len(texts):
+            return np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        split = pc.split_pattern(texts, " ")
+        pieces, at = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        distinct = pieces.dictionary_encode()
+        found = list(map(self.spaced.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False)))
+        code = distinct.indices.to_numpy().astype(np.int64)
+        code[at[:-1]] = len(found) + np.arange(len(texts))  # a text's first piece has no space before it
+        found += [self.unspaced[p] if p else b"" for p in pieces.take(pa.array(at[:-1])).to_numpy(zero_copy_only=False)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        each = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), np.frombuffer(b"".join(found), dtype="<i4"))
+        taken = each.take(pa.array(code))
+        return taken.values.to_numpy()[: taken.offsets[-1].as_py()], taken.offsets.to_numpy()[at]
+
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ids; an id of the definition's added tokens (outside the byte table) has none."""
+        """The bytes of ids; an added token's are those of its text."""
         return b"".join([self.tokens[i] for i in ids])
 
 
@@ -185,13 +235,13 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         enc = encoder(shared.value)
         size = np.array([len(t) for t in enc.tokens], dtype=np.int64)
-        for b in slices(batches, "t"):
-            texts = [t or "" for t in b.column("t").to_pylist()]
-            ids = [np.frombuffer(enc.ids(t), dtype="<u4").astype(np.int32) for t in texts]
-            cols = [b.column("i"), pa.array(ids, type=pa.list_(pa.int32()))]
+        for b in slices(batches, "t", 8_000_000):
+            ids, at = enc.lists(b.column("t"))
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))  # noqa: B023, E731
+            cols = [b.column("i"), lists(ids)]
             if offsets:
-                spans = [character_offsets(size[i], t.encode()) for i, t in zip(ids, texts, strict=True)]
-                cols += [pa.array([s[k].astype(np.int32) for s in spans], type=pa.list_(pa.int32())) for k in (0, 1)]
+                spans = [character_offsets(size[i], (t or "").encode()) for i, t in zip(np.split(ids, at[1:-1]), b.column("t").to_pylist(), strict=True)]
+                cols += [lists(np.concatenate([s[k] for s in spans])) for k in (0, 1)]
             yield pa.record_batch(cols, names=["i", "ids", "char_start", "char_end"][: len(cols)])
 
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -226,19 +276,17 @@ def round_trip(docs: DataFrame, definition: str, id_col: str = "doc_id", text_co
         from hashlib import sha256
 
         enc = encoder(shared.value)
-        tokens = np.array(enc.tokens, dtype=object)
-        size = np.array([len(t) for t in enc.tokens], dtype=np.int64)
-        for b in slices(batches, "t"):
-            n, digest, decoded, split = [], [], [], []
-            for text in b.column("t").to_pylist():
-                packed = enc.ids(text or "")
-                ids = np.frombuffer(packed, dtype="<u4")
-                data = b"".join(tokens[ids].tolist())
-                n.append(len(ids))
-                digest.append(sha256(packed).hexdigest())
-                decoded.append(sha256(data).hexdigest())
-                heads = np.append(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80, True)
-                split.append(int(np.count_nonzero(~heads[np.cumsum(size[ids])])))
+        tokens = pa.array(enc.tokens, pa.large_binary())
+        for b in slices(batches, "t", 8_000_000):
+            ids, at = enc.lists(b.column("t"))
+            taken = tokens.take(pa.array(ids))
+            ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)
+            packed, data = memoryview(ids.tobytes()), memoryview(taken.buffers()[2] if len(ids) else b"")
+            inside = np.append(np.frombuffer(data, dtype=np.uint8)[: ends[-1]] & 0xC0 == 0x80, False)[ends[1:]]
+            split = np.diff(np.concatenate([[0], np.cumsum(inside)])[at])  # texts end with a whole character
+            n, rows = np.diff(at), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            digest = [sha256(packed[4 * a : 4 * z]).hexdigest() for a, z in rows]
+            decoded = [sha256(data[ends[a] : ends[z]]).hexdigest() for a, z in rows]
             yield pa.record_batch([b.column("i"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string()), pa.array(split, pa.int64())], names=["i", "n_tokens", "ids_sha256", "decoded_sha256", "n_split"])
 
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))

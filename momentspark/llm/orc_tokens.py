@@ -26,17 +26,16 @@ def write_tokens(docs: DataFrame, definition: str, path: str, end_id: int = 0, i
     without rows. Rows of one id may be dealt over several parts, so a common id does not meet in one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(shared.value)
-        for b in slices(batches, "t", 2_000_000):
-            packed = [enc.ids(t or "") + end for t in b.column("t").to_pylist()]
-            n = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        for b in slices(batches, "t", 8_000_000):
+            found, at = enc.lists(b.column("t"))
+            n = np.diff(at) + 1
             ends = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.insert(found, at[1:], end_id), pa.int32()))
             yield pa.record_batch([b.column("doc_id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(before + ends - n), ids], names=["doc_id", "part", "before", "ids"])
             before += int(ends[-1]) if len(n) else 0
 

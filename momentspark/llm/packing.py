@@ -139,24 +139,27 @@ def pieces(docs: DataFrame, definition: str, capacity: int = 1024, end_id: int =
     empty: one piece that holds the end id. Each row is one document, whether or not its id is null or repeated.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<i4")
 
     def run(batches):
         enc = encoder(shared.value)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", 8_000_000):
+            all_ids, at = enc.lists(b.column("t"))
+            packed = memoryview(all_ids.tobytes())
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, text in enumerate(b.column("t").to_pylist()):
-                packed = memoryview(enc.ids(text or "") + end)
-                n = len(packed) // 4
+            for r, (first, last) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                n = last - first + 1
                 cut = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
                     row.append(r)
                     piece.append(k)
                     start.append(a)
                     length.append(z - a)
-                    crc.append(zlib.crc32(packed[4 * a : 4 * z]))
+                    checked = zlib.crc32(packed[4 * (first + a) : 4 * min(first + z, last)])
+                    crc.append(zlib.crc32(end, checked) if z == n else checked)
                     if with_ids:
-                        ids.append(np.frombuffer(packed[4 * a : 4 * z], dtype="<u4").astype(np.int32))
+                        own = all_ids[first + a : min(first + z, last)]
+                        ids.append(np.append(own, end) if z == n else own)
             cols = [b.column("i").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))]
             yield pa.record_batch(cols + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=["i", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 

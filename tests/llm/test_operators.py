@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ def prose(seed: int, n: int) -> str:
 TEXTS = [
     None, "", " \n\t ", "one", "two words", prose(1, 80), prose(1, 80), prose(1, 79) + " changed", prose(2, 3000), "x" * 50_000, "a\nb\na\nb\n" * 200,
     "é日本 😀 " * 30, "the cat sat on the mat " * 40, prose(3, 200) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "THE OF AND " * 30, "%%% ### $$$ &&& " * 30,
+    "a <|endoftext|> b<|endoftext|>", "word, word. " * 60_000,
 ]
 
 
@@ -55,6 +57,14 @@ def reference_ids():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@pytest.fixture(scope="module")
+def library_ids(definition):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_str(definition)
+    return lambda text: whole.encode(text, add_special_tokens=False).ids
+
+
 def packed(ids):
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -216,7 +226,7 @@ def test_sharding_law(spark, docs, none, shards):
 
 
 # 4
-def test_packing(docs, none, definition, reference_ids):
+def test_packing(docs, none, definition, library_ids):
     rows = packing.pack(packing.pieces(docs, definition, with_ids=True)).collect()
     whole, seqs = {}, {}
     for r in rows:
@@ -226,7 +236,7 @@ def test_packing(docs, none, definition, reference_ids):
             whole.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["ids"]))
     for k, ps in whole.items():
         ids = [x for _, _, i in sorted(ps) for x in i]
-        assert ids == [*reference_ids(TEXTS[k] or ""), 2]
+        assert ids == [*library_ids(TEXTS[k] or ""), 2]
     for places in seqs.values():
         at = 0
         for offset, length in sorted(places):
@@ -282,8 +292,50 @@ def test_bpe_equals_ranks_and_decodes(docs, none, reference_ids):
     assert {r["doc_id"]: r["text"] for r in bpe.decode(encoded, own).collect()}[11] == TEXTS[11]
 
 
+def test_batches_equal_the_library(definition, library_ids):
+    """Added tokens, all kinds of white space and repeated pieces, against the library on the definition itself."""
+    r, e = random.Random(8), bpe.Encoder(definition, most_pieces=40, longest_kept=6)
+    parts = ["a", "b ", "  ", "\n", " \n", "\t", "é", "日本", "<|endoftext|>", "don't", " 's", "123 ", "!?", " ", "\x85", "\x1c", "\xa0", "word ", "two, ", "one.\nTwo", "😀", "\r\n", "İ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)] + [None, "", "x" * 300, "y " * 500]
+    for some in (texts, [t for t in texts if t and "  " not in t], [None], []):
+        ids, at = e.lists(pa.array(some, pa.string()))
+        assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [library_ids(t or "") for t in some]
+    sliced = pa.array(texts, pa.string()).slice(100, 50)
+    ids, at = e.lists(sliced)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [library_ids(t or "") for t in sliced.to_pylist()]
+
+
+def test_encode_and_decode_of_empty_tables_and_clashing_columns(docs, none, definition):
+    assert bpe.encode(none, definition).count() == bpe.decode(bpe.encode(none, definition), definition).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("ids"), F.lit(2).alias("bytes"), F.lit(3).alias("char_start"))
+    encoded = bpe.encode(clash, definition, offsets=True)
+    assert encoded.columns == ["doc_id", "ids", "char_start", "char_end"] and encoded.count() == docs.count()
+    assert bpe.decode(encoded.withColumn("text", F.lit(4)), definition).columns == ["doc_id", "bytes", "text"]
+
+
 # 6
-def test_orc_tokens(spark, docs, none, definition, reference_ids):
+def test_orc_files_have_row_indexes_and_bloom_filters(spark, definition):
+    path = f"{Scratch(spark, 'test-orc').root}/t"
+    d = spark.range(30_000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text")).coalesce(1)
+    orc_tokens.write_tokens(d, definition, path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in at.getFileSystem(conf).listStatus(at) if f.getPath().getName().endswith(".orc")]
+    rows = 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 10_000
+        for k, stripe in enumerate(reader.getStripes()):
+            rows += stripe.getNumberOfRows()
+            assert stripe.getIndexLength() > 0
+            index = reader.rows().readRowIndex(k, None, None)
+            assert index.getRowGroupIndex()[1].getEntryCount() == -(-stripe.getNumberOfRows() // 10_000)
+            assert index.getBloomFilterIndex()[1].getBloomFilterCount() == index.getRowGroupIndex()[1].getEntryCount()
+    assert rows == 30_000
+    assert orc_tokens.read_tokens(spark, path, [15_000, 15_001]).count() == 1
+
+
+def test_orc_tokens(spark, docs, none, definition, library_ids):
     path = f"{Scratch(spark, 'test-orc').root}/t"
     orc_tokens.write_tokens(docs, definition, path, end_id=0)
     index = orc_tokens.token_index(orc_tokens.read_tokens(spark, path)).orderBy("start").collect()
@@ -292,11 +344,11 @@ def test_orc_tokens(spark, docs, none, definition, reference_ids):
         assert r["start"] == at and (-1 if r["doc_id"] is None else r["doc_id"]) >= last
         at, last = at + r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]
         if r["doc_id"] is not None:
-            ids = [*reference_ids(TEXTS[r["doc_id"]] or ""), 0]
+            ids = [*library_ids(TEXTS[r["doc_id"]] or ""), 0]
             assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(packed(ids)))
     assert len(index) == docs.count()
     some = orc_tokens.read_tokens(spark, path, [11])
-    assert [r["ids"] for r in some.collect()] == [[*reference_ids(TEXTS[11]), 0]]
+    assert [r["ids"] for r in some.collect()] == [[*library_ids(TEXTS[11]), 0]]
     assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString() or "EqualTo(doc_id" in some._jdf.queryExecution().toString()
     orc_tokens.write_tokens(none, definition, path + "-none")
     assert orc_tokens.token_index(orc_tokens.read_tokens(spark, path + "-none")).count() == 0
