@@ -1,10 +1,14 @@
 """Text search for a table of queries: phrases and words, several terms in two tiers, patterns, BM25, annotation.
 
-Queries are packed into rows of about a thousand; each text row meets each such row once, so a scan serves all queries.
+Queries come as a table, a stated set. One automaton (Aho and Corasick, 1975) of all words of up to `most_queries` queries finds in one pass over a
+text which of them it holds, however many there are; a query is looked at only where its longest word stands. Texts are folded
+and lowered once, before. Patterns have no such index: they are packed into rows of about a thousand, each of which meets every text once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,67 +27,211 @@ def _meet(texts: DataFrame, queries: DataFrame, columns: list[str], hit) -> Data
     return found.select(*texts.columns, F.inline("items"))
 
 
-def phrase_search(texts: DataFrame, queries: DataFrame, limit: int, folded: bool = False) -> tuple[DataFrame, DataFrame]:
+class _Finder:
+    """The terms of queries that stand in a text, as bits: term k of a query is bit k."""
+
+    def __init__(self, queries: list[list[tuple[int, str, list[str]]]]):
+        import ahocorasick
+
+        self.words = ahocorasick.Automaton()
+        self.number: dict[str, int] = {}
+        self.by_probe: dict[int, list] = {}  # from a term's longest word to (query, bit, phrase, all its words)
+        self.anywhere: list[tuple[int, int, str]] = []
+        for q, terms in enumerate(queries):
+            for term, phrase, words in terms:
+                if not words and len(terms) == 1:  # nothing to ask for: every text has it
+                    self.anywhere.append((q, 1 << term, phrase))
+                    continue
+                probes = [self._number(w) for w in sorted(words or [phrase], key=len, reverse=True)]
+                self.by_probe.setdefault(probes[0], []).append((q, 1 << term, phrase, frozenset(probes)))
+        if self.number:
+            self.words.make_automaton()
+
+    def _number(self, word: str) -> int:
+        if word not in self.number:
+            self.number[word] = len(self.number)
+            self.words.add_word(word, self.number[word])
+        return self.number[word]
+
+    def find(self, text: str) -> dict[int, tuple[int, int]]:
+        """From queries to the terms that have all their words in the text, and those that stand there as a whole."""
+        met = {number for _, number in self.words.iter(text)} if self.number else set()
+        out: dict[int, tuple[int, int]] = {}
+        for q, bit, phrase in self.anywhere:
+            out[q] = (bit, bit * (phrase in text))
+        for number in met & self.by_probe.keys():
+            for q, bit, phrase, words in self.by_probe[number]:
+                if words <= met:
+                    have = out.get(q, (0, 0))
+                    out[q] = (have[0] | bit, have[1] | bit * (phrase in text))
+        return out
+
+
+def _needles(terms: Column, norm) -> Column:
+    """Of an array of terms: (term, needle, words) of those that are not blank."""
+    each = F.transform(terms, lambda x, k: F.struct(k.cast("int").alias("term"), F.trim(norm(x)).alias("needle")))
+    each = F.filter(each, lambda x: x["needle"] != "")
+    return F.transform(each, lambda x: F.struct(x["term"].alias("term"), x["needle"].alias("needle"), F.array_distinct(tokens(x["needle"])).alias("words")))
+
+
+def _flat(text: Column) -> Column:
+    return F.lower(fold(text))
+
+
+def scan(texts: DataFrame, queries: DataFrame, most_queries: int = 50_000) -> DataFrame:
+    """Where terms stand: the columns of `texts` but for `text`, n (its length), query_id, and four sets of terms as bits of a long:
+    `exact` and `exact_phrase` (case apart), `folded` and `folded_phrase` (accents apart too).
+
+    texts: name, text and more; those without a visible character are not searched. queries: query_id, terms (array, 62 at most). A term
+    stands in a text if each of its words is a substring of it; the phrase bit tells that it stands there as a whole. A term without a word is
+    a literal phrase, or, where the query has no other, stands everywhere. Queries come to the driver, `most_queries` at a time; there is a pass
+    over the texts for each such block.
+    """
+    kept = [f for f in texts.schema if f.name != "text"]
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    as_type = "bigint" if id_type in ("tinyint", "smallint", "int") else id_type  # as Arrow infers it
+    asked = queries.select(F.col("query_id").cast(as_type).alias("query_id"), _needles(F.col("terms"), F.lower).alias("exact"), _needles(F.col("terms"), _flat).alias("folded"), F.size("terms").alias("n_terms"))
+    source = texts.where(F.col("text").rlike(r"\S")).select(*(f.name for f in kept), F.length("text").alias("n"), F.lower("text").alias("_low"), _flat(F.col("text")).alias("_flat"))
+    names = [*(f.name for f in kept), "n"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n int", f"query_id {as_type}", *(f"{c} long" for c in BITS)])
+    blocks = max(1, -(-asked.count() // most_queries))
+    out = None
+    for k in range(blocks):
+        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).collect()
+        if any(r["n_terms"] > 62 for r in rows):
+            raise ValueError("a query has more than 62 terms")
+        part = source.mapInArrow(_scanner(texts.sparkSession.sparkContext.broadcast(rows), names), schema)
+        out = part if out is None else out.union(part)
+    return out.withColumn("query_id", F.col("query_id").cast(id_type))
+
+
+BITS = ("exact", "exact_phrase", "folded", "folded_phrase")
+
+
+def _scanner(shared, names: list[str]):
+    def run(batches):
+        rows = shared.value
+        low, flat = (_Finder([[tuple(t) for t in r[c] or []] for r in rows]) for c in ("exact", "folded"))
+        ids = pa.array([r["query_id"] for r in rows])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                row, query, bits = [], [], []
+                for r, (x, y) in enumerate(zip(b.column("_low").to_pylist(), b.column("_flat").to_pylist(), strict=True)):
+                    a, z = low.find(x), flat.find(y)
+                    for q in a.keys() | z.keys():
+                        row.append(r)
+                        query.append(q)
+                        bits.append((*a.get(q, (0, 0)), *z.get(q, (0, 0))))
+                if row:
+                    found = np.array(bits, dtype=np.int64)
+                    where = pa.array(row, pa.int64())
+                    yield pa.record_batch([*(b.column(c).take(where) for c in names), ids.take(pa.array(query, pa.int64())), *(pa.array(found[:, k]) for k in range(4))], names=[*names, "query_id", *BITS])
+
+    return run
+
+
+def phrase_search(texts: DataFrame, queries: DataFrame, limit: int, folded: bool = False, video_prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """Texts that hold every word of a query (as a substring). texts: name, text. queries: query_id, query.
 
-    Returns (hits: query_id, name, is_phrase, rank up to `limit`; counts: query_id, n_phrase, n_words, before the limit). The whole
-    phrase comes first, then shorter texts, then names. Blank queries find nothing; one without a word finds every text.
+    Returns (hits: query_id, name, is_phrase, rank up to `limit`; counts: query_id, n_phrase, n_words, n_searched, before the limit). The whole
+    phrase comes first, then shorter texts, then names. Blank queries find nothing; one without a word finds every text. With
+    `video_prefix` only names that start so are searched.
     """
-    norm = (lambda c: F.lower(fold(c))) if folded else F.lower
-    q = queries.where(F.trim("query") != "").select("query_id", F.trim(norm(F.col("query"))).alias("phrase"))
-    q = q.withColumn("words", F.array_distinct(tokens(F.col("phrase"))))
-    t = texts.select("name", norm(F.col("text")).alias("t"), F.length("text").alias("n"))
-    hits = _meet(t, q, ["query_id", "phrase", "words"], lambda i: F.forall(i["words"], lambda w: F.contains(F.col("t"), w)))
-    hits = hits.select("query_id", "name", F.contains("t", "phrase").alias("is_phrase"), "n")
-    counts = hits.groupBy("query_id").agg(F.count_if("is_phrase").alias("n_phrase"), F.count(F.lit(1)).alias("n_words"))
+    t = texts.select("name", "text").where(F.col("name").startswith(video_prefix))
+    words, phrase = ("folded", "folded_phrase") if folded else ("exact", "exact_phrase")
+    hits = scan(t, queries.select("query_id", F.array("query").alias("terms"))).where(F.col(words) > 0)
+    hits = hits.select("query_id", "name", (F.col(phrase) > 0).alias("is_phrase"), "n")
+    searched = t.where(F.col("text").rlike(r"\S")).agg(F.count(F.lit(1)).alias("n_searched"))
+    counts = hits.groupBy("query_id").agg(F.count_if("is_phrase").alias("n_phrase"), F.count(F.lit(1)).alias("n_words")).crossJoin(searched)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("is_phrase"), "n", "name"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "name", "is_phrase", "rank"), counts
 
 
-def tier(text: Column, folded_text: Column, term: Column) -> Column:
-    """2 if the term stands in the text (without case), 1 if so without accents, else 0."""
-    return F.when(F.contains(F.lower(text), F.lower(term)), 2).when(F.contains(folded_text, F.lower(fold(term))), 1).otherwise(0)
+def _merged(hits: DataFrame) -> DataFrame:
+    """Adds n_terms, worst_tier (2: all terms exact, 1: some only without accents), n_phrases (of the pass that gave each term its tier)."""
+    plain = F.col("folded").bitwiseAND(F.bitwise_not("exact"))
+    whole = F.col("exact_phrase").bitwiseOR(F.col("folded_phrase").bitwiseAND(F.bitwise_not("exact")))
+    hits = hits.withColumn("n_terms", F.bit_count(F.col("exact").bitwiseOR(F.col("folded")))).withColumn("n_phrases", F.bit_count(whole))
+    return hits.withColumn("worst_tier", F.when(plain == 0, 2).otherwise(1))
 
 
 def term_search(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Texts with at least one of a query's terms: query_id, name, n_terms, worst_tier, tiers, rank.
+    """Texts with at least one of a query's terms: the columns of `texts` but for text, and query_id, n_terms, worst_tier, n_phrases, all_phrases, place, pass_rank.
 
-    queries: query_id, terms (array). Order: more terms, exact before normalised, shorter text, name.
+    texts: name, text and more. queries: query_id, terms (array). Each term goes by the rule of `scan`, exact before folded. Order (place): more
+    terms, exact before normalised, more whole phrases, shorter text, name. pass_rank is the place among all texts of the pass of the
+    worst tier (exact or folded), by the terms found in that pass. No hit is cut off.
     """
-    t = texts.select("name", "text", F.lower(fold(F.col("text"))).alias("f"), F.length("text").alias("n"))
-    q = queries.select("query_id", F.transform("terms", lambda x: F.struct(F.lower(x).alias("t"), F.lower(fold(x)).alias("f"))).alias("terms")).where(F.size("terms") > 0)
-    any_term = lambda i: F.exists(i["terms"], lambda x: F.contains(F.col("f"), x["f"]) | F.contains(F.lower("text"), x["t"]))
-    hits = _meet(t, q, ["query_id", "terms"], any_term)
-    tiers = F.transform("terms", lambda x: F.when(F.contains(F.lower("text"), x["t"]), 2).when(F.contains(F.col("f"), x["f"]), 1).otherwise(0))
-    hits = hits.withColumn("tiers", tiers).withColumn("found", F.filter("tiers", lambda x: x > 0))
-    hits = hits.select("query_id", "name", F.size("found").alias("n_terms"), F.array_min("found").alias("worst_tier"), "tiers", "n")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_terms"), F.desc("worst_tier"), "n", "name"))
-    return hits.withColumn("rank", rank).drop("n")
+    hits = _merged(scan(texts, queries))
+    shown = [c for c in texts.columns if c != "text"]
+    keys = [F.desc("n_terms"), F.desc("worst_tier"), F.desc("n_phrases"), "n", "name"]
+    per_pass = lambda words, phrase: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.bit_count(words)), F.desc(F.bit_count(phrase)), "n", "name"))
+    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys)))
+    ranked = ranked.withColumn("pass_rank", F.when(F.col("worst_tier") == 2, per_pass("exact", "exact_phrase")).otherwise(per_pass("folded", "folded_phrase")))
+    return ranked.select(*shown, "query_id", "n_terms", "worst_tier", "n_phrases", (F.col("n_phrases") == F.col("n_terms")).alias("all_phrases"), "place", "pass_rank")
+
+
+def video_ranks(hits: DataFrame, order: str) -> DataFrame:
+    """query_id, video, video_rank, n_videos: videos numbered by their first hit in `order`."""
+    first = hits.groupBy("query_id", "video").agg(F.min(order).alias("first"))
+    every = Window.partitionBy("query_id")
+    return first.select("query_id", "video", F.row_number().over(every.orderBy("first")).alias("video_rank"), F.count(F.lit(1)).over(every).alias("n_videos"))
 
 
 def two_tier_search(texts: DataFrame, queries: DataFrame, most: int = 5000) -> DataFrame:
-    """One term a query, an exact pass and then a folded one, each text once: query_id, name, video, tier, rank, video_rank.
+    """One term a query, an exact pass and then a folded one, each text once: query_id, name, video, tier, is_phrase, rank, n_matched, place, video_rank, n_videos.
 
-    texts: name, video, text. Each pass keeps `most` texts. video_rank numbers videos by their first text.
+    texts: name, video, text. Each pass is a phrase search and keeps `most` texts; rank is the place in it and n_matched its size before that. A
+    text of both passes is exact. place runs over both, exact first. video_rank numbers videos by their first text.
     """
-    t = texts.select("name", "video", "text", F.lower(fold(F.col("text"))).alias("f"), F.length("text").alias("n"))
-    q = queries.where(F.trim("query") != "").select("query_id", F.trim("query").alias("term"))
-    q = q.select("query_id", F.lower("term").alias("low"), F.lower(fold(F.col("term"))).alias("flat"))
-    hits = _meet(t, q, ["query_id", "low", "flat"], lambda i: F.contains(F.lower("text"), i["low"]) | F.contains(F.col("f"), i["flat"]))
-    hits = hits.select("query_id", "name", "video", "n", F.when(F.contains(F.lower("text"), "low"), "exact").otherwise("normalized").alias("tier"))
-    per_pass = F.row_number().over(Window.partitionBy("query_id", "tier").orderBy("n", "name"))
-    hits = hits.withColumn("k", per_pass).where(F.col("k") <= most)
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "k")))
-    first = hits.groupBy("query_id", "video").agg(F.min("rank").alias("first")).withColumn("video_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first")))
-    return hits.join(first.drop("first"), ["query_id", "video"]).select("query_id", "name", "video", "tier", "rank", "video_rank")
+    hits = scan(texts.select("name", "video", "text"), queries.select("query_id", F.array("query").alias("terms")))
+    passes = F.array(
+        F.when(F.col("exact") > 0, F.struct(F.lit("exact").alias("tier"), (F.col("exact_phrase") > 0).alias("is_phrase"))),
+        F.when(F.col("folded") > 0, F.struct(F.lit("normalized").alias("tier"), (F.col("folded_phrase") > 0).alias("is_phrase"))),
+    )
+    each = hits.select("query_id", "name", "video", "n", (F.col("exact") > 0).alias("is_exact"), F.inline(F.array_compact(passes)))
+    totals = each.groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n_matched"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(F.desc("is_phrase"), "n", "name"))
+    each = each.withColumn("rank", rank).where(F.col("rank") <= most)
+    # of a text that both passes kept, the exact hit; one that the exact pass cut off may still be a normalised one
+    once = each.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "name").orderBy("tier"))).where("first = 1")
+    once = once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "rank")))
+    out = once.join(video_ranks(once, "place"), ["query_id", "video"]).join(totals, ["query_id", "tier"])
+    return out.select("query_id", "name", "video", "tier", "is_phrase", "rank", "n_matched", "place", "video_rank", "n_videos")
+
+
+def batch_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, most: int = 5000) -> DataFrame:
+    """`two_tier_search` for requested (query_id, video) only; ranks are over all videos."""
+    return two_tier_search(texts, queries, most).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
+
+
+def batch_term_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame) -> DataFrame:
+    """`term_search` with video_rank and n_videos, for requested (query_id, video) only; ranks are over all videos. texts: name, video, text."""
+    hits = term_search(texts.select("name", "video", "text"), queries)
+    return hits.join(video_ranks(hits, "place"), ["query_id", "video"]).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
+
+
+def invalid_patterns(patterns: DataFrame) -> DataFrame:
+    """query_id, pattern of those that are no regular expression of Java's. The stated patterns come to the driver to be compiled."""
+    spark = patterns.sparkSession
+    compile_, bad = spark._jvm.java.util.regex.Pattern.compile, []
+    for r in patterns.where(F.trim("pattern") != "").select("query_id", "pattern").collect():
+        try:
+            compile_(r["pattern"])
+        except Exception:  # PatternSyntaxException, by way of py4j
+            bad.append((r["query_id"], r["pattern"]))
+    return spark.createDataFrame(bad, patterns.select("query_id", "pattern").schema)
 
 
 def pattern_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Texts that a regular expression (Java's, without case) matches: query_id, name, start (from 1).
+    """Texts that a regular expression (Java's, without case) matches: query_id, name, n_matched (characters of the first match).
 
-    patterns: query_id, pattern; null and blank ones find nothing. An invalid pattern fails the query when it runs.
+    patterns: query_id, pattern; null, blank and invalid ones (`invalid_patterns`) find nothing, and the others are searched all the same.
     """
-    p = patterns.where(F.trim("pattern") != "").select("query_id", F.concat(F.lit("(?iu)"), "pattern").alias("pattern"))
+    bad = invalid_patterns(patterns)
+    p = patterns.join(F.broadcast(bad.select("query_id").distinct()), "query_id", "left_anti") if not bad.isEmpty() else patterns
+    p = p.where(F.trim("pattern") != "").select("query_id", F.concat(F.lit("(?iu)"), "pattern").alias("pattern"))
     hits = _meet(texts.select("name", "text"), p, ["query_id", "pattern"], lambda i: F.regexp_like(F.col("text"), i["pattern"]))
     return hits.select("query_id", "name", F.length(F.regexp_substr("text", "pattern")).alias("n_matched"))
 

@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in fewer splits than there are cores (a small file), dealt over the cores; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, name, video, scene_id, pos, frame_idx, fps, embedding: a label is a video, its vectors in order are frames."""
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long") - 1

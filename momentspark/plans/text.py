@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from momentspark.functions import text as tx
 from momentspark.operators import lexical
 
-from .fixtures import read
+from .fixtures import read, spread
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """name, video, text: every document is a frame's text, its source the video."""
-    return read(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("video"), "text", "doc_id")
+    return spread(read(spark, d, "documents")).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("video"), "text", "doc_id")
 
 
 def asked(spark: SparkSession, d: str, first: int, n: int) -> DataFrame:
@@ -36,6 +36,18 @@ def split_query_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "|").alias("parts"))
 
 
+def asked_terms(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, terms: of each benchmark text, words 2 and 3 as one term, word 4 as another and a repeat of it without its accents."""
+    words = F.split("text", " ")
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.array_join(F.slice(words, 2, 2), " "), F.get(words, F.lit(3)), tx.fold(F.get(words, F.lit(5)))).alias("terms"))
+
+
+def requested(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, video: three sources for each benchmark text."""
+    three = F.explode(F.array(*[F.concat(F.lit("src"), ((F.col("item_id") + k) % 20).cast("string")) for k in (0, 7, 13)]))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), three.alias("video"))
+
+
 def ocr_phrase(spark: SparkSession, d: str) -> DataFrame:
     return lexical.phrase_search(texts(spark, d), asked(spark, d, 2, 2), 20)[0]
 
@@ -45,34 +57,44 @@ def ocr_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ocr_multi_term(spark: SparkSession, d: str) -> DataFrame:
-    q = asked(spark, d, 2, 3).select("query_id", F.split("query", " ").alias("terms"))
-    return lexical.term_search(texts(spark, d), q).where("rank <= 50").select("query_id", "name", "n_terms", "worst_tier", "rank")
+    hits = lexical.term_search(texts(spark, d).drop("doc_id"), asked_terms(spark, d)).where("place <= 50")
+    return hits.select("query_id", "name", "video", "n_terms", "worst_tier", "n_phrases", "all_phrases", "place", "pass_rank")
 
 
 def text_two_tier(spark: SparkSession, d: str) -> DataFrame:
     return lexical.two_tier_search(texts(spark, d), asked(spark, d, 2, 2))
 
 
+def text_batch_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.batch_lookup(texts(spark, d), asked(spark, d, 3, 2), requested(spark, d))
+
+
+def term_batch_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.batch_term_lookup(texts(spark, d), asked_terms(spark, d), requested(spark, d))
+
+
 def regex_filter(spark: SparkSession, d: str) -> DataFrame:
-    q = asked(spark, d, 3, 2).select("query_id", F.concat(F.regexp_replace("query", "[^a-z ]", ""), F.lit("[a-z]*")).alias("pattern"))
+    """Every tenth pattern is invalid."""
+    q = asked(spark, d, 3, 2).select("query_id", F.when(F.col("query_id") % 10 == 9, "([a-z").otherwise(F.concat(F.regexp_replace("query", "[^a-z ]", ""), F.lit("[a-z]*"))).alias("pattern"))
     return lexical.pattern_search(texts(spark, d), q).select("query_id", "name", "n_matched")
 
 
 def bm25_docs(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(read(spark, d, "documents"), asked(spark, d, 4, 3))
+    return lexical.bm25(spread(read(spark, d, "documents")), asked(spark, d, 4, 3))
 
 
 def bm25_best_window(spark: SparkSession, d: str) -> DataFrame:
     from .timeline import windows
 
-    scores = lexical.bm25(read(spark, d, "documents"), asked(spark, d, 4, 3))
+    scores = lexical.bm25(spread(read(spark, d, "documents")), asked(spark, d, 4, 3))
     return lexical.best_window(scores, windows(spark, d)).select("query_id", "video", "doc_id", "norm", "rank")
 
 
 def annotate_results(spark: SparkSession, d: str) -> DataFrame:
     t = texts(spark, d)
     results = lexical.phrase_search(t, asked(spark, d, 2, 1), 10)[0].join(t.select("name", "video"), "name")
-    return lexical.annotate(results, lexical.two_tier_search(t, asked(spark, d, 4, 1)))
+    hits = lexical.two_tier_search(t, asked(spark, d, 4, 1)).select("query_id", "video", "name", "tier", F.col("place").alias("rank"))
+    return lexical.annotate(results, hits)
 
 
 FOLD = "lower(translate(strip_accents({0}), 'đĐ', 'dD'))"
@@ -84,19 +106,47 @@ def _asked(first: int, n: int) -> str:
     return f"asked AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), {first}, {first + n - 1}), ' ') AS query FROM benchmark)"
 
 
+def _terms(sql: str) -> str:
+    """From query_id, term, raw: the needles of both passes, their words, and how many terms a query has in each."""
+    return f"""raws AS ({sql}), needles AS (SELECT query_id, term, trim(lower(raw)) AS low, trim({FOLD.format('raw')}) AS flat FROM raws WHERE raw IS NOT NULL),
+terms AS (SELECT *, {TOKENS.format('low')} AS low_words, {TOKENS.format('flat')} AS flat_words,
+  count(*) FILTER (low <> '') OVER (PARTITION BY query_id) AS n_low, count(*) FILTER (flat <> '') OVER (PARTITION BY query_id) AS n_flat FROM needles)"""
+
+
+def _pass(name: str, text: str, needle: str) -> str:
+    missing = f"len(list_filter({needle}_words, lambda w: NOT contains({text}, w)))"
+    return f"""{name} AS (SELECT query_id, name, video, n, term, contains({text}, {needle}) AS phrase FROM texts, terms
+  WHERE {needle} <> '' AND regexp_matches(text, '\\S') AND CASE WHEN len({needle}_words) = 0 THEN n_{needle} = 1 OR contains({text}, {needle}) ELSE {missing} = 0 END)"""
+
+
+_ONE = "SELECT query_id, 0 AS term, query AS raw FROM asked"
+_THREE = "SELECT query_id, unnest([0, 1, 2]) AS term, unnest([array_to_string(w[2:3], ' '), w[4], translate(strip_accents(w[6]), 'đĐ', 'dD')]) AS raw FROM (SELECT item_id AS query_id, string_split(text, ' ') AS w FROM benchmark)"
+_REQUESTED = "SELECT item_id AS query_id, 'src' || ((item_id + k) % 20) AS video FROM benchmark, (SELECT unnest([0, 7, 13]) AS k)"
+
+
 def _phrase(first: int, n: int, limit: int, folded: bool = False) -> str:
-    text, query = ("f", FOLD.format("query")) if folded else ("lower(text)", "lower(query)")
-    return f"""{TEXTS}, {_asked(first, n)}, q AS (SELECT query_id, trim({query}) AS phrase, {TOKENS.format(query)} AS words FROM asked WHERE trim(query) <> ''),
-found AS (SELECT query_id, name, video, n, contains({text}, phrase) AS is_phrase FROM texts, q WHERE len(list_filter(words, lambda w: NOT contains({text}, w))) = 0),
-hits AS (SELECT query_id, name, video, is_phrase, row_number() OVER (PARTITION BY query_id ORDER BY is_phrase DESC, n, name) AS rank FROM found QUALIFY rank <= {limit})"""
+    return f"""{TEXTS}, {_asked(first, n)}, {_terms(_ONE)}, {_pass('found', 'f', 'flat') if folded else _pass('found', 'lower(text)', 'low')},
+hits AS (SELECT query_id, name, video, phrase AS is_phrase, row_number() OVER (PARTITION BY query_id ORDER BY phrase DESC, n, name) AS rank FROM found QUALIFY rank <= {limit})"""
+
+
+def _two_tier() -> str:
+    """Over `texts` and `terms`: t3 (hits) and t4 (videos)."""
+    return f"""{_pass('low_hits', 'lower(text)', 'low')}, {_pass('flat_hits', 'f', 'flat')},
+t1 AS (SELECT *, 'exact' AS tier FROM low_hits UNION ALL SELECT *, 'normalized' FROM flat_hits),
+t2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY phrase DESC, n, name) AS rank, count(*) OVER (PARTITION BY query_id, tier) AS n_matched FROM t1 QUALIFY rank <= 5000),
+t2b AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY tier) = 1),
+t3 AS (SELECT query_id, name, video, n, tier, phrase AS is_phrase, rank, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS place FROM t2b),
+t4 AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS video_rank, count(*) OVER (PARTITION BY query_id) AS n_videos FROM t3 GROUP BY query_id, video)"""
 
 
-def _two_tier(first: int, n: int, asked_as: str = "asked") -> str:
-    return f"""t1 AS (SELECT query_id, name, video, n, CASE WHEN contains(lower(text), lower(trim(query))) THEN 'exact' ELSE 'normalized' END AS tier
-  FROM texts, {asked_as} WHERE trim(query) <> '' AND (contains(lower(text), lower(trim(query))) OR contains(f, {FOLD.format('trim(query)')}))),
-t2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY n, name) AS k FROM t1 QUALIFY k <= 5000),
-t3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, k) AS rank FROM t2),
-t4 AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS video_rank FROM t3 GROUP BY query_id, video)"""
+_MULTI = f"""{TEXTS}, {_terms(_THREE)}, {_pass('low_hits', 'lower(text)', 'low')}, {_pass('flat_hits', 'f', 'flat')},
+both_passes AS (SELECT query_id, name, video, n, term, CASE WHEN e.phrase IS NULL THEN 1 ELSE 2 END AS tier, coalesce(e.phrase, x.phrase) AS phrase, e.phrase IS NOT NULL AS in_low, e.phrase AS low_phrase, x.phrase IS NOT NULL AS in_flat, x.phrase AS flat_phrase
+  FROM low_hits e FULL JOIN flat_hits x USING (query_id, name, video, n, term)),
+frames AS (SELECT query_id, name, video, n, count(*) AS n_terms, min(tier) AS worst_tier, count(*) FILTER (phrase) AS n_phrases,
+  count(*) FILTER (in_low) AS a, count(*) FILTER (low_phrase) AS b, count(*) FILTER (in_flat) AS c, count(*) FILTER (flat_phrase) AS d FROM both_passes GROUP BY ALL),
+placed AS (SELECT query_id, name, video, n_terms, worst_tier, n_phrases, n_phrases = n_terms AS all_phrases,
+  row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC, worst_tier DESC, n_phrases DESC, n, name) AS place,
+  CASE WHEN worst_tier = 2 THEN row_number() OVER (PARTITION BY query_id ORDER BY a DESC, b DESC, n, name) ELSE row_number() OVER (PARTITION BY query_id ORDER BY c DESC, d DESC, n, name) END AS pass_rank FROM frames)"""
 
 
 _BM25 = f"""{_asked(4, 3)}, d AS (SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents WHERE trim(text) <> ''),
@@ -107,26 +157,29 @@ df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 scores AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 6) AS score
   FROM tf JOIN df USING (token) JOIN a USING (token), s GROUP BY query_id, doc_id)"""
 
-QUERIES = {f.__name__: f for f in (accent_fold, split_terms, split_query_text, ocr_phrase, ocr_counts, ocr_multi_term, text_two_tier, regex_filter, bm25_docs, bm25_best_window, annotate_results)}
+QUERIES = {f.__name__: f for f in (accent_fold, split_terms, split_query_text, ocr_phrase, ocr_counts, ocr_multi_term, text_two_tier, text_batch_lookup, term_batch_lookup, regex_filter, bm25_docs, bm25_best_window, annotate_results)}
 ORACLE_SQL = {
     "accent_fold": f"SELECT doc_id, md5({FOLD.format('text')}) AS folded_md5, len({TOKENS.format('text')}) AS n_tokens FROM documents",
     "split_query_text": """WITH p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(trim(text), '\\.\\s+'), lambda x: trim(regexp_replace(trim(x), '\\.+$', ''))), lambda x: x <> '') AS parts FROM benchmark)
         SELECT item_id, len(parts) AS n_parts, array_to_string(parts, '|') AS parts FROM p""",
     "ocr_phrase": f"WITH {_phrase(2, 2, 20)} SELECT query_id, name, is_phrase, rank FROM hits",
-    "ocr_counts": f"WITH {_phrase(2, 2, 20, True)} SELECT query_id, count(*) FILTER (is_phrase) AS n_phrase, count(*) AS n_words FROM found GROUP BY query_id",
-    "ocr_multi_term": f"""WITH {TEXTS}, {_asked(2, 3)}, x AS (SELECT query_id, name, n, list_transform(string_split(query, ' '), lambda w: CASE WHEN contains(lower(text), lower(w)) THEN 2 WHEN contains(f, {FOLD.format('w')}) THEN 1 ELSE 0 END) AS tiers FROM texts, asked),
-        y AS (SELECT query_id, name, n, list_filter(tiers, lambda t: t > 0) AS found FROM x)
-        SELECT query_id, name, len(found) AS n_terms, list_min(found) AS worst_tier, row_number() OVER (PARTITION BY query_id ORDER BY len(found) DESC, list_min(found) DESC, n, name) AS rank FROM y WHERE len(found) > 0 QUALIFY rank <= 50""",
-    "text_two_tier": f"WITH {TEXTS}, {_asked(2, 2)}, {_two_tier(2, 2)} SELECT query_id, name, video, tier, rank, video_rank FROM t3 JOIN t4 USING (query_id, video)",
-    "regex_filter": f"""WITH {TEXTS}, {_asked(3, 2)}, p AS (SELECT query_id, regexp_replace(query, '[^a-z ]', '', 'g') || '[a-z]*' AS pattern FROM asked)
+    "ocr_counts": f"""WITH {_phrase(2, 2, 20, True)} SELECT query_id, count(*) FILTER (phrase) AS n_phrase, count(*) AS n_words,
+        (SELECT count(*) FROM documents WHERE regexp_matches(text, '\\S')) AS n_searched FROM found GROUP BY query_id""",
+    "ocr_multi_term": f"WITH {_MULTI} SELECT * FROM placed WHERE place <= 50",
+    "text_two_tier": f"WITH {TEXTS}, {_asked(2, 2)}, {_terms(_ONE)}, {_two_tier()} SELECT t3.* EXCLUDE (n), video_rank, n_videos FROM t3 JOIN t4 USING (query_id, video)",
+    "text_batch_lookup": f"WITH {TEXTS}, {_asked(3, 2)}, {_terms(_ONE)}, {_two_tier()} SELECT t3.* EXCLUDE (n), video_rank, n_videos FROM t3 JOIN t4 USING (query_id, video) SEMI JOIN ({_REQUESTED}) USING (query_id, video)",
+    "term_batch_lookup": f"""WITH {_MULTI}, v AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS video_rank, count(*) OVER (PARTITION BY query_id) AS n_videos FROM placed GROUP BY query_id, video)
+        SELECT placed.*, video_rank, n_videos FROM placed JOIN v USING (query_id, video) SEMI JOIN ({_REQUESTED}) USING (query_id, video)""",
+    "regex_filter": f"""WITH {TEXTS}, {_asked(3, 2)}, p AS (SELECT query_id, regexp_replace(query, '[^a-z ]', '', 'g') || '[a-z]*' AS pattern FROM asked WHERE query_id % 10 <> 9)
         SELECT query_id, name, length(regexp_extract(text, '(?i)' || pattern)) AS n_matched FROM texts, p WHERE regexp_matches(text, pattern, 'i')""",
     "bm25_docs": f"WITH {_BM25} SELECT query_id, doc_id, score FROM scores",
     "bm25_best_window": f"""WITH {_BM25}, w AS (SELECT doc_id, source AS video, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * 45.0 AS start_s FROM documents),
         b AS (SELECT * FROM scores JOIN w USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, video ORDER BY score DESC, start_s, doc_id) = 1),
         c AS (SELECT query_id, video, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 4) AS norm FROM b)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY norm DESC, video) AS rank FROM c WHERE norm > 0""",
-    "annotate_results": f"""WITH {_phrase(2, 1, 10)}, asked2 AS (SELECT item_id AS query_id, list_extract(string_split(text, ' '), 4) AS query FROM benchmark), {_two_tier(4, 1, 'asked2')},
-        placed AS (SELECT t.*, CASE WHEN h.name IS NULL THEN 'elsewhere' ELSE 'here' END AS place FROM t3 t LEFT JOIN hits h ON h.query_id = t.query_id AND h.name = t.name),
-        c AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY query_id, video ORDER BY tier, place DESC, rank) = 1)
-        SELECT r.query_id, r.video, c.name, c.tier, coalesce(c.place, 'none') AS place FROM (SELECT DISTINCT query_id, video FROM hits) r LEFT JOIN c USING (query_id, video)""",
+    "annotate_results": f"""WITH {_phrase(2, 1, 10).replace('terms AS', 'terms1 AS').replace('FROM texts, terms', 'FROM texts, terms1').replace('raws', 'raws1').replace('needles', 'needles1')},
+        asked2 AS (SELECT item_id AS query_id, list_extract(string_split(text, ' '), 4) AS query FROM benchmark), {_terms(_ONE.replace('asked', 'asked2'))}, {_two_tier()},
+        placed AS (SELECT t.*, CASE WHEN h.name IS NULL THEN 'elsewhere' ELSE 'here' END AS place_kind FROM t3 t LEFT JOIN hits h ON h.query_id = t.query_id AND h.name = t.name),
+        c AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY query_id, video ORDER BY tier, place_kind DESC, place) = 1)
+        SELECT r.query_id, r.video, c.name, c.tier, coalesce(c.place_kind, 'none') AS place FROM (SELECT DISTINCT query_id, video FROM hits) r LEFT JOIN c USING (query_id, video)""",
 }
