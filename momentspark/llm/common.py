@@ -115,3 +115,12 @@ def block_pairs(df: DataFrame, key: str, item: str, most: int) -> DataFrame:
     dealt = df.join(hot, key, "left").withColumn("stripes", F.coalesce("stripes", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(item), "stripes").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)))
     return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("stripes", "other")
+
+
+def join_dealt(rows: DataFrame, small: DataFrame, key: str, item: str, most: int = 2000) -> DataFrame:
+    """`rows` joined with `small` (one row for each key). Rows of a key that has more than `most` are dealt by a hash of `item`, and the
+    key's row of `small` is repeated for each part, so that no key meets in one task."""
+    hot = rows.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_parts"))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(item), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+    repeated = small.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated, [key, "_part"]).drop("_part")

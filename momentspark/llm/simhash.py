@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_pairs, slices, whole_groups
+from .common import Scratch, block_pairs, join_dealt, slices, whole_groups
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -214,15 +214,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     found = components(links(classes.select("fp"), radius, blocks), scratch)
     top = scratch.write(classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("top")), "tops")
     ids = top.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = scratch.write(top.join(ids, "top").select("fp", "component_id"), "named")
+    named = scratch.write(join_dealt(top, ids, "top", "fp").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
 def candidate_pairs(values: list[int], rest: list[tuple[int, ...]], sizes: list[int], groups: list[int], own: list[int] | None, radius: int, total: int, threshold: float, spanning: bool) -> list[tuple[int, int]]:
     """Pairs (i, j) of one shard that may be alike: in unlike groups, of sizes that allow the threshold, their first words within
     `radius` (found by BK-tree) and all words together within `total`. With `spanning` only as many as connect all such
-    pairs. With `own`, only across the two stripes."""
-    at: dict[int, list[int]] = {}
+    pairs, the nearest ones of each text first. With `own`, only across the two stripes."""
     parent = {g: g for g in groups}
 
     def top(x: int) -> int:
@@ -230,47 +229,73 @@ def candidate_pairs(values: list[int], rest: list[tuple[int, ...]], sizes: list[
             parent[x] = x = parent[parent[x]]
         return x
 
-    tree, out = BKTree(), []
+    largest = max(parent, key=groups.count) if len(parent) < len(groups) / 2 else None
+    everyone, outside = (BKTree(), {}), (BKTree(), {})  # all texts put in so far, and those outside the largest group
 
     def put(i: int) -> None:
-        if values[i] not in at:
-            at[values[i]] = []
-            tree.add(values[i])
-        at[values[i]].append(i)
-
-    if own is not None:
+        for tree, at in (everyone, outside) if groups[i] != largest else (everyone,):
+            if values[i] not in at:
+                at[values[i]] = []
+                tree.add(values[i])
+            at[values[i]].append(i)
+
+    out = []
+
+    def look(i: int) -> None:
+        tree, at = outside if groups[i] == largest else everyone  # the largest group's texts are no pairs of each other
+        found = []
+        for w in tree.within(values[i], radius):
+            near = (values[i] ^ w).bit_count()
+            for j in at[w]:
+                few, many = sorted((sizes[i], sizes[j]))
+                if groups[i] != groups[j] and few >= threshold * many:
+                    far = near + sum((x ^ y).bit_count() for x, y in zip(rest[i], rest[j], strict=True))
+                    if far <= total:
+                        found.append((far, j))
+        if not spanning:
+            out.extend((i, j) for _, j in found)
+            return
+        for _, j in sorted(found):
+            a, b = top(groups[i]), top(groups[j])
+            if a != b:
+                parent[a] = b
+                out.append((i, j))
+
+    if own is None:
+        for i in range(len(values)):
+            look(i)
+            put(i)
+    else:
         for i, s in enumerate(own):
             if s == own[0]:
                 put(i)
-    for i, v in enumerate(values):
-        if own is None or own[i] != own[0]:
-            for w in tree.within(v, radius):
-                near = (v ^ w).bit_count()
-                for j in at[w]:
-                    a, b = top(groups[i]), top(groups[j])
-                    few, many = sorted((sizes[i], sizes[j]))
-                    if a != b and few >= threshold * many and near + sum((x ^ y).bit_count() for x, y in zip(rest[i], rest[j], strict=True)) <= total:
-                        if spanning:
-                            parent[a] = b
-                        out.append((i, j))
-            if own is None:
-                put(i)
+        for i, s in enumerate(own):
+            if s != own[0]:
+                look(i)
     return out
 
 
-def candidates(nodes: DataFrame, radius: int, total: int, threshold: float, spanning: bool, most: int) -> DataFrame:
-    """(a, b) with a < b, each once: `candidate_pairs` of all shards over `nodes` (node, comp, n, w0, w1, w2, bands)."""
-    rows = nodes.select("node", "comp", "n", "w0", "w1", "w2", F.explode("bands").alias("shard"))
-    dealt = block_pairs(rows, "shard", "node", most).repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", F.xxhash64("shard", "node"))
+def shared_shards(nodes: DataFrame) -> DataFrame:
+    """(shard, node) of all `bands` that two or more `nodes` (node, bands) have."""
+    each = nodes.select("node", F.explode("bands").alias("shard"))
+    return each.join(each.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("shard"), "shard").select("shard", "node")
+
+
+def candidates(members: DataFrame, nodes: DataFrame, radius: int, total: int, threshold: float, spanning: bool, most: int, turn: int = 0) -> DataFrame:
+    """(a, b) with a < b, each once: `candidate_pairs` of all shards. members: shard, node. nodes: node, comp, n, w0, w1, w2. `turn` reverses the order in shards if odd."""
+    rows = members.join(nodes.select("node", "comp", "n", "w0", "w1", "w2"), "node")
+    mixed = F.xxhash64("shard", "node")
+    dealt = block_pairs(rows, "shard", "node", most).repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", mixed.desc() if turn % 2 else mixed.asc())
 
     def run(batches):
         for t, at in whole_groups(batches, ["shard", "lo", "hi"]):
             ends = np.append(at[1:], len(t))
-            several = np.flatnonzero(ends - at > 1)
             node, lo, hi, own, comp, n, *w = (t.column(x).to_numpy() for x in ("node", "lo", "hi", "own", "comp", "n", "w0", "w1", "w2"))
             out = []
-            for g in several:
+            for g in np.flatnonzero(ends - at > 1):
                 x, y = at[g], ends[g]
+                if (comp[x:y] == comp[x]).all():
+                    continue
                 values, *rest = (v[x:y].view(np.uint64).tolist() for v in w)
                 found = candidate_pairs(values, list(zip(*rest, strict=True)), n[x:y].tolist(), comp[x:y].tolist(), None if lo[x] == hi[x] else own[x:y].tolist(), radius, total, threshold, spanning)
                 out += [(node[x + i], node[x + j]) for i, j in found]
@@ -288,14 +313,14 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 48, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 48, most: int = 2000, forests: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) by texts whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more.
 
     Texts of one shingle set are one node. Nodes meet in a shard where one of `bands` bands agrees; a BK-tree of the first of three
     fingerprint words finds what lies within `radius` there, and a pair of at most `total` unlike bits (192; 29 on average at a
-    similarity of 0.8) is a candidate. A candidate becomes a link only if the shingle sets themselves are alike enough. First only as many
-    candidates are measured as connect the others; then all that still stand between unlike components, so that no
-    candidate is left out. A pair at 0.8 is a candidate with a probability of 0.997. Nulls, empty tables and repeats as
+    similarity of 0.8) is a candidate. A candidate becomes a link only if the shingle sets themselves are alike enough. In the first `forests`
+    rounds only as many candidates are measured as connect the others, the nearest ones; in the last, all that still stand between unlike
+    components, so that no candidate is left out. A pair at 0.8 is a candidate with a probability of 0.997. Nulls, empty tables and repeats as
     in `near_duplicates`. Shards of more than `most` nodes are dealt into stripe pairs.
     """
     scratch = Scratch(docs.sparkSession, "similar")
@@ -315,9 +340,8 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
     prints = scratch.write(slim.mapInArrow(printed, f"i {kind}, h long, node long, n long, w0 long, w1 long, w2 long, bands array<long>"), "prints")
     names = ["h", "n", "w0", "w1", "w2", "bands"]
     classes = scratch.write(prints.groupBy("node").agg(F.min("i").alias("least"), *(F.min(c).alias(c) for c in names)), "classes")
-    first = scratch.write(candidates(classes.withColumn("comp", F.col("node")), radius, total, threshold, True, most), "first")
-    # a node with a candidate has one in `first`, which connects them: no other sets are needed
-    met = scratch.write(classes.join(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "met")
+    members = scratch.write(shared_shards(classes), "members")
+    met = scratch.write(classes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "met")  # no other sets are needed
 
     def listed(batches):
         for b in slices(batches, "t"):
@@ -325,14 +349,18 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
 
     texts = slim.select("t", "h").join(met.select("h", "node"), "h").select("node", "t").dropDuplicates(["node"])
     sets = scratch.write(texts.mapInArrow(listed, "node long, found array<long>"), "sets")
-    linked = scratch.write(alike(first, sets, threshold), "linked")
-    now = scratch.write(met.join(components(linked, scratch), "node", "left").withColumn("comp", F.coalesce("component", "node")), "now")
-    second = candidates(now, radius, total, threshold, False, most).join(first, ["a", "b"], "left_anti")
-    linked = linked.union(scratch.write(alike(second, sets, threshold), "linked"))
-    found = components(linked, scratch)
+    now, measured, linked = met.withColumn("comp", F.col("node")), None, None
+    for turn in range(forests + 1):
+        met_now = scratch.write(candidates(members, now, radius, total, threshold, turn < forests, most, turn), "candidates")
+        if linked is not None and met_now.isEmpty():
+            break
+        pairs = met_now if measured is None else scratch.write(met_now.join(measured, ["a", "b"], "left_anti"), "pairs")
+        new = scratch.write(alike(pairs, sets, threshold), "linked")
+        measured, linked = (pairs, new) if measured is None else (measured.union(pairs), linked.union(new))
+        found = scratch.write(components(linked, scratch), "found")
+        now = scratch.write(met.join(found, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "now")
     top = scratch.write(classes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("top")), "tops")
-    ids = top.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = scratch.write(top.join(ids, "top").select("node", "component_id"), "named")
+    named = scratch.write(join_dealt(top, top.groupBy("top").agg(F.min("least").alias("component_id")), "top", "node").select("node", "component_id"), "named")
     return prints.select(F.col("i").alias(id_col), "node").join(named, "node").select(id_col, "component_id")
 
 
