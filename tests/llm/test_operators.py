@@ -415,6 +415,46 @@ def test_wrapper_groups():
     assert len(pairs[2][0][2][0][2]) == 1 and pairs[2][0][2][0][2][0][1]
 
 
+def test_tags_are_read_in_one_pass():
+    cases = {'<a href="x>y">b</a>': ["a", "a"], "<p>1 < 2 <b>x</b>": ["p", "b", "b"], "<a 'x <b>": ["b"], "<i x='unclosed><u>": ["i", "u"], "a<!-- <b> --><hr/><!doctype x>": ["", "hr", ""], "<!-- open <p>": [""], "</p >": ["p"]}
+    for page, want in cases.items():
+        assert [t[3] for t in wrappers.tags(page)] == want, page
+    import time
+
+    for page in ("<div>" * 100_000 + "deep", "<a " * 300_000, "<a '" * 300_000, '<a "' * 99_999 + "x" * 1_000_000, "<script>" * 100_000, "<p>x" * 100_000, "x" * 5_000_000 + "<b"):
+        began = time.time()
+        tree = wrappers.parse(page)
+        wrappers.align(wrappers.wrapper_of(tree), wrappers.wrapper_of(wrappers.parse(page + "<p>more</p>")))
+        assert time.time() - began < 10
+
+
+def test_common_sequence_equals_brute_force():
+    def longest(x, y):
+        return 0 if not x or not y else max(longest(x[1:], y[1:]) + 1 if x[0] == y[0] else 0, longest(x[1:], y), longest(x, y[1:]))
+
+    r = random.Random(11)
+    for _ in range(150):
+        x, y = ([r.choice("abc") for _ in range(r.randint(0, 7))] for _ in range(2))
+        pairs = wrappers.common_sequence(x, y)
+        assert len(pairs) == longest(x, y) and all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+    long = wrappers.common_sequence([*range(1000)], [*range(0, 2000, 2)])
+    assert all(2 * j == i for i, j in long)
+
+
+def test_constants_go_whatever_their_tags(spark):
+    """Hosts without telling names, and a notice inside each article of one that has them; repeats and slots stay."""
+    plain = lambda k: f"<body><div class=x1>Site name</div><div class=x2><h2>Title {k}</h2><div>Body {k}</div><p>again</p><p>again</p></div><div class=x3>Write to us</div></body>"
+    named = lambda k: f"<body><div class=x1>Site name</div><article><h1>Title {k}</h1><div class=zz>All rights are ours</div><p>Body {k}</p>{'<p>same on all</p>' * (1 + k % 2)}<div class=share>Story {k} of shares</div></article></body>"
+    copies = [("c", "http://c.example/", "<body><div class=x1>One</div><div>Two</div></body>")] * 6
+    rows = [("p", "http://p.example/", plain(k)) for k in range(8)] + [("n", "http://n.example/", named(k)) for k in range(8)] + copies
+    df = spark.createDataFrame([(k, u, h) for k, (_, u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()}
+    for k in range(8):
+        assert got[k] == f"Title {k}\n\nBody {k}\n\nagain\n\nagain"
+        assert got[8 + k] == "\n\n".join([f"Title {k}", f"Body {k}", *["same on all"] * (1 + k % 2), f"Story {k} of shares"])
+    assert {got[k] for k in range(16, 22)} == {"One\n\nTwo"}
+
+
 # 9
 def slow_fingerprint(text):
     import xxhash
