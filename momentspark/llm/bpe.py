@@ -80,7 +80,7 @@ class Encoder:
     """Ids of whole texts by a tokenizers definition (byte-level BPE, GPT-2's split pattern), as `Tokenizer.encode` gives them without
     its post-processor: added tokens that stand in a text become their ids."""
 
-    def __init__(self, definition: str, most_pieces: int = 700_000, longest_kept: int = 100):
+    def __init__(self, definition: str, most_pieces: int = 300_000, longest_kept: int = 100):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, definition: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         enc = encoder(shared.value)
         size = np.array([len(t) for t in enc.tokens], dtype=np.int64)
-        for b in slices(batches, "t", 8_000_000):
+        for b in slices(batches, "t"):
             ids, at = enc.lists(b.column("t"))
             lists = lambda values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))  # noqa: B023, E731
             cols = [b.column("i"), lists(ids)]
@@ -277,7 +277,7 @@ def round_trip(docs: DataFrame, definition: str, id_col: str = "doc_id", text_co
 
         enc = encoder(shared.value)
         tokens = pa.array(enc.tokens, pa.large_binary())
-        for b in slices(batches, "t", 8_000_000):
+        for b in slices(batches, "t"):
             ids, at = enc.lists(b.column("t"))
             taken = tokens.take(pa.array(ids))
             ends = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)

@@ -71,6 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4_0
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True):
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -41,15 +41,17 @@ class Words(dict):
     """From a word as it stands in a text to (the word without signs at its ends, its features among `wanted`), or None if it has none.
     Keeps those of words met before."""
 
-    def __init__(self, wanted: Collection[str] | None = None, most: int = 300_000):
+    def __init__(self, wanted: Collection[str] | None = None, most: int = 150_000):
         super().__init__()
-        self.wanted, self.most = wanted, most
+        self.wanted, self.most = None if wanted is None else {f: f for f in wanted}, most  # one copy of each name
 
     def __missing__(self, word: str):
         if len(self) >= self.most:
             self.clear()
         bare = word.strip(EDGE)
-        found = tuple(f for f in features_of_word(bare) if self.wanted is None or f in self.wanted)
+        found = features_of_word(bare)
+        if self.wanted is not None:
+            found = tuple(self.wanted[f] for f in found if f in self.wanted)
         self[word] = out = (bare, found) if found else None
         return out
 
