@@ -19,7 +19,9 @@ def _fold_map() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_map()
+# What separates tokens, and what separates terms (a comma between two digits does not). Results depend on them.
 NOT_TOKEN = "[^0-9a-zA-ZÀ-ỹ]+"
+NOT_TERM = "(?<![0-9]),|,(?![0-9])|[;，；、]"
 
 
 def fold(text: Column) -> Column:
@@ -35,7 +37,7 @@ def tokens(text: Column) -> Column:
 def split_terms(text: Column, most: int = 5) -> Column:
     """Terms between , ; and their full-width forms (a comma between two digits does not split): trimmed, the first
     of those equal without case and accents, at most `most`."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "(?<![0-9]),|,(?![0-9])|[;，；、]"), lambda x: F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), NOT_TERM), lambda x: F.regexp_replace(x, r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")), lambda x: x != "")
     keyed = F.transform(parts, lambda x: F.struct(F.lower(fold(x)).alias("key"), x.alias("term")))
     none = F.array().cast("array<struct<key:string,term:string>>")
     new = lambda acc, x: (F.size(acc) < most) & ~F.exists(acc, lambda y: y["key"] == x["key"])

@@ -68,8 +68,11 @@ def rerank(hits: DataFrame, vectors: DataFrame, queries: DataFrame, reach: int =
     return sums.withColumn("rank", rank)
 
 
-def fuse(hits: DataFrame, weights: dict[str, float], k: int = 100) -> DataFrame:
-    """Max-normalised weighted sum over the models that have hits: query_id, name, video, distance (0-100), routes, n_routes, rank."""
+def fuse(hits: DataFrame, weights: dict[str, float], k: int = 100, groups: list[str] | None = None) -> DataFrame:
+    """Max-normalised weighted sum over the models that have hits: query_id, name, video, distance (0-100), routes, n_routes, rank.
+
+    With `groups` only videos of those stay (`in_groups`): the maxima are those of the unscoped pool, and the `k` best are taken of what is left.
+    """
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("model")], F.lit(0.5))
     by_model = Window.partitionBy("query_id", "model")
     h = hits.withColumn("top", F.max("score").over(by_model)).withColumn("weight", weight)
@@ -78,16 +81,19 @@ def fuse(hits: DataFrame, weights: dict[str, float], k: int = 100) -> DataFrame:
     routes = F.array_sort(F.collect_list(F.struct("model", F.col("rank").alias("rank"), "score")))
     out = h.groupBy("query_id", "name", "video").agg(F.sum("share").alias("share"), routes.alias("routes")).join(total, "query_id")
     out = out.withColumn("distance", F.round(100 * F.col("share") / F.col("total"), DIGITS)).withColumn("n_routes", F.size("routes"))
+    out = in_groups(out, groups) if groups else out
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("distance"), "name"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "name", "video", "distance", "routes", "n_routes", "rank")
 
 
-def ensemble_search(vectors: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 100, m: int = 50, use_rerank: bool = True) -> DataFrame:
-    """Search by every model of `weights` that has vectors, rerank, fuse."""
+def ensemble_search(vectors: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 100, m: int = 50, use_rerank: bool = True, groups: list[str] | None = None) -> DataFrame:
+    """Search by every model of `weights` that has vectors, rerank, fuse. With `groups` at least 2,000 hits a model are looked at before the
+    scope is applied, so that it is filled from beyond the first `m`."""
+    m = max(m, 2000) if groups else m
     models = list(weights)
     v, q = vectors.where(F.col("model").isin(models)), queries.where(F.col("model").isin(models))
     hits = top_m(v, q, m)
-    return fuse(rerank(hits, v, q) if use_rerank else hits, weights, k)
+    return fuse(rerank(hits, v, q) if use_rerank else hits, weights, k, groups)
 
 
 def in_groups(results: DataFrame, groups: list[str], known: tuple[str, ...] = ("K", "L", "M", "N", "S")) -> DataFrame:
