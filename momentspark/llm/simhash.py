@@ -313,7 +313,7 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 48, most: int = 2000, forests: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 48, most: int = 2000, forests: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) by texts whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more.
 
     Texts of one shingle set are one node. Nodes meet in a shard where one of `bands` bands agrees; a BK-tree of the first of three
