@@ -25,6 +25,8 @@ from .components import components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SIGN = 1 << 63
+SLOTS = 768
+ORDERS = np.random.default_rng(11).integers(0, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -68,15 +70,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def wide_fingerprint(found: np.ndarray, k: int = 3) -> np.ndarray:
-    """k SimHash words of 64 bits of a set of hashes (`shingles`): each from another mix of them. Zeros for the empty set."""
-    total = np.zeros((k, 64), dtype=np.int64)
+def set_fingerprint(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of hashes (`shingles`), as an unsigned number. 0 for the empty set."""
+    total = np.zeros(64, dtype=np.int64)
     for i in range(0, len(found), 100_000):
-        h = found[i : i + 100_000]
-        for j in range(k):
-            mixed = _mixed(h ^ np.uint64(j * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if j else h
-            total[j] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > len(found), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+        total += np.unpackbits(found[i : i + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(found), bitorder="little").view("<u8")[0])
+
+
+def minhash_bits(found: np.ndarray) -> bytes:
+    """One bit of the smallest hash of a set in each of 768 orders (Li and König, 2010): of two sets of Jaccard similarity s
+    each bit differs with probability (1 - s) / 2. Zeros for the empty set."""
+    if not len(found):
+        return bytes(SLOTS // 8)
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(SLOTS, (1 << 32) - 1, dtype=np.uint32)
+    for i in range(0, len(x), 512):
+        least = np.minimum(least, (ORDERS[:, None] * x[None, i : i + 512]).min(axis=1))
+    least = (least ^ (least >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return np.packbits((least >> np.uint32(31)).astype(np.uint8)).tobytes()
 
 
 def band_keys(found: np.ndarray, bands: int, depth: int) -> np.ndarray:
@@ -218,9 +230,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: in
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def candidate_pairs(values: list[int], rest: list[tuple[int, ...]], sizes: list[int], groups: list[int], own: list[int] | None, radius: int, total: int, threshold: float, spanning: bool) -> list[tuple[int, int]]:
-    """Pairs (i, j) of one shard that may be alike: in unlike groups, of sizes that allow the threshold, their first words within
-    `radius` (found by BK-tree) and all words together within `total`. With `spanning` only as many as connect all such
+def candidate_pairs(values: list[int], bits: list[int], sizes: list[int], groups: list[int], own: list[int] | None, radius: int, total: int, threshold: float, spanning: bool) -> list[tuple[int, int]]:
+    """Pairs (i, j) of one shard that may be alike: in unlike groups, of sizes that allow the threshold, their SimHash words within
+    `radius` (found by BK-tree) and their MinHash bits within `total`. With `spanning` only as many as connect all such
     pairs, the nearest ones of each text first. With `own`, only across the two stripes."""
     parent = {g: g for g in groups}
 
@@ -245,11 +257,10 @@ def candidate_pairs(values: list[int], rest: list[tuple[int, ...]], sizes: list[
         tree, at = outside if groups[i] == largest else everyone  # the largest group's texts are no pairs of each other
         found = []
         for w in tree.within(values[i], radius):
-            near = (values[i] ^ w).bit_count()
             for j in at[w]:
                 few, many = sorted((sizes[i], sizes[j]))
                 if groups[i] != groups[j] and few >= threshold * many:
-                    far = near + sum((x ^ y).bit_count() for x, y in zip(rest[i], rest[j], strict=True))
+                    far = (bits[i] ^ bits[j]).bit_count()
                     if far <= total:
                         found.append((far, j))
         if not spanning:
@@ -282,28 +293,29 @@ def shared_shards(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, nodes: DataFrame, radius: int, total: int, threshold: float, spanning: bool, most: int, turn: int = 0) -> DataFrame:
-    """(a, b) with a < b, each once: `candidate_pairs` of all shards. members: shard, node. nodes: node, comp, n, w0, w1, w2. `turn` reverses the order in shards if odd."""
-    rows = members.join(nodes.select("node", "comp", "n", "w0", "w1", "w2"), "node")
+    """(a, b) with a < b, each once: `candidate_pairs` of all shards. members: shard, node. nodes: node, comp, n, w, m. `turn` reverses the order in shards if odd."""
+    rows = members.join(nodes.select("node", "comp", "n", "w", "m"), "node")
     mixed = F.xxhash64("shard", "node")
     dealt = block_pairs(rows, "shard", "node", most).repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", mixed.desc() if turn % 2 else mixed.asc())
 
     def run(batches):
         for t, at in whole_groups(batches, ["shard", "lo", "hi"]):
             ends = np.append(at[1:], len(t))
-            node, lo, hi, own, comp, n, *w = (t.column(x).to_numpy() for x in ("node", "lo", "hi", "own", "comp", "n", "w0", "w1", "w2"))
+            node, lo, hi, own, comp, n, w = (t.column(x).to_numpy() for x in ("node", "lo", "hi", "own", "comp", "n", "w"))
+            bits = t.column("m")
             out = []
             for g in np.flatnonzero(ends - at > 1):
                 x, y = at[g], ends[g]
                 if (comp[x:y] == comp[x]).all():
                     continue
-                values, *rest = (v[x:y].view(np.uint64).tolist() for v in w)
-                found = candidate_pairs(values, list(zip(*rest, strict=True)), n[x:y].tolist(), comp[x:y].tolist(), None if lo[x] == hi[x] else own[x:y].tolist(), radius, total, threshold, spanning)
+                values, near = w[x:y].view(np.uint64).tolist(), [int.from_bytes(m) for m in bits.slice(x, y - x).to_pylist()]
+                found = candidate_pairs(values, near, n[x:y].tolist(), comp[x:y].tolist(), None if lo[x] == hi[x] else own[x:y].tolist(), radius, total, threshold, spanning)
                 out += [(node[x + i], node[x + j]) for i, j in found]
             if out:
                 pairs = np.sort(np.array(out, dtype=np.int64), axis=1)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.select("shard", "lo", "hi", "own", "node", "comp", "n", "w0", "w1", "w2").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("shard", "lo", "hi", "own", "node", "comp", "n", "w", "m").mapInArrow(run, "a long, b long").distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -313,12 +325,12 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 48, most: int = 2000, forests: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 20, depth: int = 6, radius: int = 22, total: int = 106, most: int = 2000, forests: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) by texts whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more.
 
-    Texts of one shingle set are one node. Nodes meet in a shard where one of `bands` bands agrees; a BK-tree of the first of three
-    fingerprint words finds what lies within `radius` there, and a pair of at most `total` unlike bits (192; 29 on average at a
-    similarity of 0.8) is a candidate. A candidate becomes a link only if the shingle sets themselves are alike enough. In the first `forests`
+    Texts of one shingle set are one node. Nodes meet in a shard where one of `bands` bands agrees; a BK-tree of SimHash words
+    finds what lies within `radius` there, and a pair of at most `total` unlike MinHash bits (of 768; at a similarity of 0.8 the mean
+    is 77 and the deviation 8.3) is a candidate. A candidate becomes a link only if the shingle sets themselves are alike enough. In the first `forests`
     rounds only as many candidates are measured as connect the others, the nearest ones; in the last, all that still stand between unlike
     components, so that no candidate is left out. A pair at 0.8 is a candidate with a probability of 0.997. Nulls, empty tables and repeats as
     in `near_duplicates`. Shards of more than `most` nodes are dealt into stripe pairs.
@@ -330,15 +342,15 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
 
         for b in slices(batches, "t"):
             sets = [shingles(t, words) for t in b.column("t").to_pylist()]
-            prints = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            prints = np.array([set_fingerprint(s) for s in sets], dtype=np.uint64).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             keys = [band_keys(s, bands, depth).view(np.int64) for s in sets]
-            yield pa.record_batch([b.column("i"), b.column("h"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(prints[:, j]) for j in range(3)), pa.array(keys, pa.list_(pa.int64()))], names=["i", "h", "node", "n", "w0", "w1", "w2", "bands"])
+            yield pa.record_batch([b.column("i"), b.column("h"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([minhash_bits(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["i", "h", "node", "n", "w", "m", "bands"])
 
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
     kind = slim.schema["i"].dataType.simpleString()
-    prints = scratch.write(slim.mapInArrow(printed, f"i {kind}, h long, node long, n long, w0 long, w1 long, w2 long, bands array<long>"), "prints")
-    names = ["h", "n", "w0", "w1", "w2", "bands"]
+    prints = scratch.write(slim.mapInArrow(printed, f"i {kind}, h long, node long, n long, w long, m binary, bands array<long>"), "prints")
+    names = ["h", "n", "w", "m", "bands"]
     classes = scratch.write(prints.groupBy("node").agg(F.min("i").alias("least"), *(F.min(c).alias(c) for c in names)), "classes")
     members = scratch.write(shared_shards(classes), "members")
     met = scratch.write(classes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "met")  # no other sets are needed
