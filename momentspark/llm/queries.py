@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lattice, orc_tokens, packing, quality, secrets, sharding, simhash, toxicity, wrappers
+from . import bpe, centroids, conversations, lattice, merkle, orc_tokens, packing, quality, secrets, sharding, simhash, toxicity, wrappers
 from .common import Scratch, table
 
 
@@ -67,6 +67,18 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least_cosine=0.95)
 
 
+def op11_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edits_and_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op12_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_threshold_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
 QUERIES = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_zstd_secrets": op2_zstd_secrets,
@@ -78,5 +90,13 @@ QUERIES = {
     "op8_html_wrappers": op8_html_wrappers,
     "op9_simhash": op9_simhash,
     "op10_lattice": op10_lattice,
+    "op11_merkle_fingerprint": op11_merkle_fingerprint,
+    "op12_branch_and_bound": op12_branch_and_bound,
+    "op13_threshold_clustering": op13_threshold_clustering,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_quality_rules": quality.ORACLE_SQL,
+    "op11_merkle_fingerprint": merkle.ORACLE_SQL,
+    "op12_branch_and_bound": conversations.ORACLE_SQL,
+    "op13_threshold_clustering": centroids.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality.ORACLE_SQL}

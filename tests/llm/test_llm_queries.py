@@ -12,10 +12,12 @@ COLUMNS = {
     1: ["doc_id", "held_out", "score", "predicted"], 2: ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], 3: ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     4: ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], 5: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], 6: ["doc_id", "start", "n_tokens", "ids_crc32"],
     7: ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], 8: ["page_id", "url", "text", "n_chars"], 9: ["doc_id", "fingerprint", "component_id"], 10: ["vec_id", "n_links", "component_id", "kept"],
+    11: ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], 12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    13: ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
-def test_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in COLUMNS)
 
@@ -25,14 +27,15 @@ def test_query(spark, name):
     rows = queries.QUERIES[name](spark, SF)
     want = COLUMNS[int(name[2:].split("_")[0])]
     assert rows.columns[: len(want)] == want
-    source = "pages" if name.startswith("op8") else "embeddings" if name.startswith("op10") else "documents"
-    assert rows.count() >= spark.read.parquet(f"{SF}/{source}.parquet").count()
+    source = {"op8": "pages", "op10": "embeddings", "op12": "conversations", "op13": "embeddings"}.get(name.split("_")[0], "documents")
+    whole = spark.read.parquet(f"{SF}/{source}.parquet")
+    assert rows.count() >= (whole.select("conv_id").distinct() if source == "conversations" else whole).count()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     with duckdb.connect() as c:
-        for t in ("documents", "pages", "embeddings", "labels"):
+        for t in ("documents", "pages", "embeddings", "labels", "conversations"):
             c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = c.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
