@@ -6,21 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def anchor_spread(anchors: DataFrame, existing: DataFrame, most_k: int = 200) -> DataFrame:
+def anchor_spread(anchors: DataFrame, existing: DataFrame) -> DataFrame:
     """task_id, anchor, video, frame, rank: frames at k steps from each anchor, for k = 1, 2, ..., then up before down, then anchor.
 
     anchors: task_id, anchor, video, frame, step, direction ('both', 'up', 'down'), reach (0: none), need. An anchor stops beyond
-    its reach; negative frames, existing ones (task_id, video, frame) and repeats are skipped; a task gets `need` rows.
+    its reach, downwards at frame 0; negative frames, existing ones (task_id, video, frame) and repeats are skipped; a task gets `need` rows,
+    or all there are. After need + n steps, n of the task's existing frames being in its video, an anchor alone has given `need` frames
+    in a direction that has no end; so no k beyond that is tried and no anchor needs a bound of its own. Only the levels of k that fill
+    a task are put in order.
     """
-    k = anchors.where("step > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("reach") > 0, F.least(F.lit(most_k), F.floor(F.col("reach") / F.col("step")).cast("int"))).otherwise(most_k))))
-    k = k.where((F.col("reach") == 0) | (F.col("k") * F.col("step") <= F.col("reach")))
+    there = existing.select("task_id", "video", "frame").distinct()
+    n_there = there.groupBy("task_id", "video").agg(F.count(F.lit(1)).alias("n_there"))
+    most = F.col("need") + F.coalesce("n_there", F.lit(0))
+    last = F.when(F.col("reach") > 0, F.least(most, F.floor(F.col("reach") / F.col("step")))).otherwise(most)
+    a = anchors.where("step > 0 and need > 0").join(n_there, ["task_id", "video"], "left").withColumn("last", last)
     signs = F.when(F.col("direction") == "up", F.array(F.lit(1))).when(F.col("direction") == "down", F.array(F.lit(-1))).otherwise(F.array(F.lit(1), F.lit(-1)))
-    rows = k.withColumn("sign", F.explode(signs)).withColumn("at", F.col("frame") + F.col("sign") * F.col("k") * F.col("step")).where("at >= 0")
-    rows = rows.select("task_id", "anchor", "video", F.col("at").alias("frame"), "k", "sign", "need").join(existing, ["task_id", "video", "frame"], "left_anti")
-    order = [F.col("k"), F.desc("sign"), F.col("anchor")]
-    first = rows.withColumn("i", F.row_number().over(Window.partitionBy("task_id", "video", "frame").orderBy(*order))).where("i = 1")
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
-    return ranked.where(F.col("rank") <= F.col("need")).select("task_id", "anchor", "video", "frame", "rank")
+    a = a.withColumn("sign", F.explode(signs)).withColumn("last", F.when(F.col("sign") < 0, F.least("last", F.floor(F.col("frame") / F.col("step")))).otherwise(F.col("last")))
+    k = a.where("last >= 1").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last").cast("bigint"))))
+    rows = k.select("task_id", "video", (F.col("frame") + F.col("sign") * F.col("k") * F.col("step")).alias("frame"), F.struct("k", (-F.col("sign")).alias("down"), "anchor").alias("place"), "need").where("frame >= 0")
+    first = rows.join(there, ["task_id", "video", "frame"], "left_anti").groupBy("task_id", "video", "frame").agg(F.min("place").alias("place"), F.max("need").alias("need"))
+    before = Window.partitionBy("task_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    levels = first.groupBy("task_id", F.col("place.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    levels = levels.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < F.col("need")).select("task_id", "k", "before")
+    inside = F.row_number().over(Window.partitionBy("task_id", "k").orderBy("place"))
+    ranked = first.withColumn("k", F.col("place.k")).join(levels, ["task_id", "k"]).withColumn("rank", (F.col("before") + inside).cast("int"))
+    return ranked.where(F.col("rank") <= F.col("need")).select("task_id", F.col("place.anchor").alias("anchor"), "video", "frame", "rank")
 
 
 def even_positions(lo: Column, hi: Column, n: Column) -> Column:
@@ -61,16 +71,31 @@ def bisection(ranges: DataFrame, most: int = 64) -> DataFrame:
     return first.withColumn("order", F.row_number().over(Window.partitionBy("range_id").orderBy("i"))).where(F.col("order") <= F.col("k")).select("range_id", "order", "frame")
 
 
-def event_plan(anchors: DataFrame) -> DataFrame:
-    """Answers that change one event at a time: anchors (task_id, anchor, frames array, lo array, hi array, want, need) to task_id, frames, rank.
+def event_plan(anchors: DataFrame, ranges: DataFrame, existing: DataFrame) -> DataFrame:
+    """Answers that change one event of an anchor and keep the others: task_id, anchor, video, frames, rank.
 
-    Ranked by how near the change is (its order among an event's variants), then event, then anchor; frames must stay in order.
+    anchors: task_id, anchor (order of the anchors), video, frames (array). ranges: task_id, need, windows (array of lo, hi, mode, one for
+    each event; 'both', 'up' or 'down' of the anchor's frame). existing: task_id, video, frames. A window is in frames of the task's first
+    anchor and moves along with the frame of another one; events without a window stay. Each event first gets its share of `need`,
+    evenly over its window, then, if that is not enough, a dense pass of 8 * need + 64. In both passes rows go by how near the change is
+    among its event's, then event, then anchor; a pass gives no more than 8 * need + 64. What exists or came before is skipped.
     """
-    events = anchors.select("task_id", "anchor", "frames", "need", "want", F.posexplode(F.arrays_zip("frames", "lo", "hi")).alias("event", "e"))
-    asked = events.select(F.struct("task_id", "anchor").alias("task_id"), "event", F.col("e.frames").alias("anchor"), F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"), F.lit("both").alias("direction"), "want")
-    v = event_variants(asked).select("task_id.*", "event", F.col("frame").alias("new"), F.col("order").alias("k"))
-    rows = v.join(anchors.select("task_id", "anchor", "frames", "need"), ["task_id", "anchor"])
-    rows = rows.withColumn("frames", F.transform("frames", lambda x, i: F.when(i == F.col("event"), F.col("new")).otherwise(x)))
-    rows = rows.where(F.forall(F.sequence(F.lit(1), F.greatest(F.size("frames") - 1, F.lit(1))), lambda i: (F.size("frames") < 2) | (F.get("frames", i) > F.get("frames", i - 1))))
-    rank = F.row_number().over(Window.partitionBy("task_id").orderBy("k", "event", "anchor"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("need")).select("task_id", F.array_join("frames", ",").alias("frames"), "rank")
+    count = anchors.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_anchors"), F.min_by("frames", "anchor").alias("reference"))
+    events = anchors.join(ranges, "task_id").join(count, "task_id").where("need > 0").select("*", F.posexplode("frames").alias("event", "base")).where(F.col("event") < F.size("windows"))
+    shift = F.col("base") - F.coalesce(F.get("reference", F.col("event")), F.col("base"))
+    window, budget = F.get("windows", F.col("event")), F.col("need") * 8 + 64
+    quota = F.ceil(F.col("need") / (F.col("n_anchors") * F.greatest(F.size("windows"), F.lit(1))))
+    events = events.withColumn("dense", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = events.select(
+        F.struct("task_id", F.col("anchor").alias("of"), "dense").alias("task_id"), "event", F.col("base").alias("anchor"), (window["lo"] + shift).alias("lo"), (window["hi"] + shift).alias("hi"),
+        window["mode"].alias("direction"), F.when(F.col("dense") == 0, quota).otherwise(budget).cast("int").alias("want"),
+    )
+    found = event_variants(asked).select("task_id.task_id", F.col("task_id.of").alias("anchor"), "task_id.dense", "event", F.col("frame").alias("new"), F.col("order").alias("k"))
+    within = F.row_number().over(Window.partitionBy("task_id", "dense").orderBy("k", "event", "anchor"))
+    found = found.join(ranges.select("task_id", "need"), "task_id").withColumn("i", within).where(F.col("i") <= budget)
+    rows = found.join(anchors.select("task_id", "anchor", "video", "frames"), ["task_id", "anchor"])
+    changed = F.transform("frames", lambda x, i: F.when(i == F.col("event"), F.col("new")).otherwise(x))
+    rows = rows.withColumn("frames", changed).where(F.forall("frames", lambda x: x >= 0)).join(existing.select("task_id", "video", "frames").distinct(), ["task_id", "video", "frames"], "left_anti")
+    first = rows.groupBy("task_id", "video", "frames").agg(F.min(F.struct("dense", "k", "event", "anchor")).alias("place"), F.max("need").alias("need"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy("place")))
+    return ranked.where(F.col("rank") <= F.col("need")).select("task_id", F.col("place.anchor").alias("anchor"), "video", "frames", "rank")

@@ -156,8 +156,17 @@ def _merged(hits: DataFrame) -> DataFrame:
     return hits.withColumn("worst_tier", F.when(plain == 0, 2).otherwise(1))
 
 
-def term_search(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Texts with at least one of a query's terms: the columns of `texts` but for text, and query_id, n_terms, worst_tier, n_phrases, all_phrases, place, pass_rank.
+def _term_hits() -> Column:
+    """(term, tier, phrase) of each term found, by its number."""
+    either = F.col("exact").bitwiseOR(F.col("folded"))
+    has = lambda c, k: F.getbit(F.col(c), k) == 1
+    numbers = F.filter(F.sequence(F.lit(0), F.length(F.bin(either)) - 1), lambda k: F.getbit(either, k) == 1)
+    return F.transform(numbers, lambda k: F.struct(k.alias("term"), F.when(has("exact", k), "exact").otherwise("normalized").alias("tier"), F.when(has("exact", k), has("exact_phrase", k)).otherwise(has("folded_phrase", k)).alias("phrase")))
+
+
+def term_search(texts: DataFrame, queries: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """Texts with at least one of a query's terms: the columns of `texts` but for text, and query_id, n_terms, worst_tier, n_phrases, all_phrases, place, pass_rank,
+    pass_total (texts of that pass), terms (term, tier, phrase of each one found). With `corpus` (video) only texts of its videos have a place.
 
     texts: name, text and more. queries: query_id, terms (array). Each term goes by the rule of `scan`, exact before folded. Order (place): more
     terms, exact before normalised, more whole phrases, shorter text, name. pass_rank is the place among all texts of the pass of the
@@ -167,9 +176,12 @@ def term_search(texts: DataFrame, queries: DataFrame) -> DataFrame:
     shown = [c for c in texts.columns if c != "text"]
     keys = [F.desc("n_terms"), F.desc("worst_tier"), F.desc("n_phrases"), "n", "name"]
     per_pass = lambda words, phrase: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.bit_count(words)), F.desc(F.bit_count(phrase)), "n", "name"))
-    ranked = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys)))
-    ranked = ranked.withColumn("pass_rank", F.when(F.col("worst_tier") == 2, per_pass("exact", "exact_phrase")).otherwise(per_pass("folded", "folded_phrase")))
-    return ranked.select(*shown, "query_id", "n_terms", "worst_tier", "n_phrases", (F.col("n_phrases") == F.col("n_terms")).alias("all_phrases"), "place", "pass_rank")
+    ranked = hits.withColumn("pass_rank", F.when(F.col("worst_tier") == 2, per_pass("exact", "exact_phrase")).otherwise(per_pass("folded", "folded_phrase")))
+    totals = hits.groupBy("query_id").agg(F.count_if(F.col("exact") > 0).alias("_exact"), F.count_if(F.col("folded") > 0).alias("_folded"))
+    ranked = ranked.join(totals, "query_id").withColumn("pass_total", F.when(F.col("worst_tier") == 2, F.col("_exact")).otherwise(F.col("_folded")))
+    ranked = ranked if corpus is None else ranked.join(corpus.select("video").distinct(), "video", "left_semi")
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys)))
+    return ranked.select(*shown, "query_id", "n_terms", "worst_tier", "n_phrases", (F.col("n_phrases") == F.col("n_terms")).alias("all_phrases"), "place", "pass_rank", "pass_total", _term_hits().alias("terms"))
 
 
 def video_ranks(hits: DataFrame, order: str) -> DataFrame:
@@ -179,11 +191,12 @@ def video_ranks(hits: DataFrame, order: str) -> DataFrame:
     return first.select("query_id", "video", F.row_number().over(every.orderBy("first")).alias("video_rank"), F.count(F.lit(1)).over(every).alias("n_videos"))
 
 
-def two_tier_search(texts: DataFrame, queries: DataFrame, most: int = 5000) -> DataFrame:
+def two_tier_search(texts: DataFrame, queries: DataFrame, most: int = 5000, corpus: DataFrame | None = None) -> DataFrame:
     """One term a query, an exact pass and then a folded one, each text once: query_id, name, video, tier, is_phrase, rank, n_matched, place, video_rank, n_videos.
 
     texts: name, video, text. Each pass is a phrase search and keeps `most` texts; rank is the place in it and n_matched its size before that. A
-    text of both passes is exact. place runs over both, exact first. video_rank numbers videos by their first text.
+    text of both passes is exact. place runs over both, exact first. video_rank numbers videos by their first text. With `corpus` (video) only
+    texts of its videos have a place and a video rank; ranks in a pass and its size stay those of all texts.
     """
     hits = scan(texts.select("name", "video", "text"), queries.select("query_id", F.array("query").alias("terms")))
     passes = F.array(
@@ -196,19 +209,20 @@ def two_tier_search(texts: DataFrame, queries: DataFrame, most: int = 5000) -> D
     each = each.withColumn("rank", rank).where(F.col("rank") <= most)
     # of a text that both passes kept, the exact hit; one that the exact pass cut off may still be a normalised one
     once = each.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "name").orderBy("tier"))).where("first = 1")
+    once = once if corpus is None else once.join(corpus.select("video").distinct(), "video", "left_semi")
     once = once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "rank")))
     out = once.join(video_ranks(once, "place"), ["query_id", "video"]).join(totals, ["query_id", "tier"])
     return out.select("query_id", "name", "video", "tier", "is_phrase", "rank", "n_matched", "place", "video_rank", "n_videos")
 
 
-def batch_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, most: int = 5000) -> DataFrame:
-    """`two_tier_search` for requested (query_id, video) only; ranks are over all videos."""
-    return two_tier_search(texts, queries, most).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
+def batch_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, most: int = 5000, corpus: DataFrame | None = None) -> DataFrame:
+    """`two_tier_search` for requested (query_id, video) only; ranks are over all videos (of the corpus)."""
+    return two_tier_search(texts, queries, most, corpus).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
 
 
-def batch_term_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame) -> DataFrame:
-    """`term_search` with video_rank and n_videos, for requested (query_id, video) only; ranks are over all videos. texts: name, video, text."""
-    hits = term_search(texts.select("name", "video", "text"), queries)
+def batch_term_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """`term_search` with video_rank and n_videos, for requested (query_id, video) only; ranks are over all videos (of the corpus). texts: name, video, text."""
+    hits = term_search(texts.select("name", "video", "text"), queries, corpus)
     return hits.join(video_ranks(hits, "place"), ["query_id", "video"]).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
 
 

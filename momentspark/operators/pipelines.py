@@ -1,11 +1,8 @@
-"""Compositions: discovery followed by alignment, text entry forms, routing, match details, small set operators."""
+"""Compositions: discovery followed by alignment, text entry forms, routing, small set operators."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentspark.functions.text import split_query_text
@@ -95,42 +92,3 @@ def run_progress(results: DataFrame) -> DataFrame:
     n = results.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
     left = F.col("total") - F.col("completed") - F.col("failed")
     return n.withColumn("status", F.when(left > 0, "running").when(F.col("failed") == 0, "completed").when(F.col("completed") == 0, "failed").otherwise("completed_with_errors"))
-
-
-def snippet(text: str, terms: list[str], width: int = 90, slack: int = 10) -> tuple[list[tuple[str, bool]], int]:
-    """(segments with a hit flag, number of hits): the stretch of about `width` characters with most distinct terms, then most hits,
-    then the earliest; its ends move out to white space up to `slack` characters away, and cut ends get an ellipsis."""
-    low = text.lower()
-    hits = sorted({(at, at + len(t), t) for t in {t.lower() for t in terms if t} for at in _places(low, t)})
-    if not hits or len(low) != len(text):
-        return [(text[:width] + ("…" if len(text) > width else ""), False)], 0
-    best = max(range(len(hits)), key=lambda i: (len({h[2] for h in hits if hits[i][0] <= h[0] and h[1] <= hits[i][0] + width}), sum(hits[i][0] <= h[0] and h[1] <= hits[i][0] + width for h in hits), -hits[i][0]))
-    inside = [h for h in hits if hits[best][0] <= h[0] and h[1] <= max(hits[best][0] + width, hits[best][1])]
-    spare = max(0, width - (max(h[1] for h in inside) - inside[0][0])) // 2
-    a, z = max(0, inside[0][0] - spare), min(len(text), max(h[1] for h in inside) + spare)
-    a = next((k for k in range(a, max(-1, a - slack - 1), -1) if k == 0 or text[k - 1].isspace()), a)
-    z = next((k for k in range(z, min(len(text), z + slack) + 1) if k == len(text) or text[k].isspace()), z)
-    out, at = [("…", False)] if a else [], a
-    for s, e, _ in (h for h in hits if h[1] <= z):
-        if s >= at:
-            out += [(text[at:s], False)] * (s > at) + [(text[s:e], True)]
-            at = e
-    return out + [(text[at:z], False)] * (z > at) + [("…", False)] * (z < len(text)), len(hits)
-
-
-def _places(low: str, term: str) -> Iterator[int]:
-    at = low.find(term)
-    while at >= 0:
-        yield at
-        at = low.find(term, at + 1)
-
-
-def match_details(hits: DataFrame, text: Column, terms: Column) -> DataFrame:
-    """Adds segments (array of text and hit) and n_hits to chosen hits, in Arrow batches."""
-
-    @F.pandas_udf("segments array<struct<text: string, hit: boolean>>, n_hits int")
-    def detail(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        found = [snippet(t or "", list(w) if w is not None else []) for t, w in zip(texts, wanted, strict=True)]
-        return pd.DataFrame({"segments": [[{"text": s, "hit": h} for s, h in f[0]] for f in found], "n_hits": [f[1] for f in found]})
-
-    return hits.withColumn("_d", detail(text, terms)).select("*", "_d.segments", "_d.n_hits").drop("_d")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentspark.operators import expansion, lexical, pipelines, search, timeline
+from momentspark.operators import expansion, pipelines, search, timeline
 
 from . import fixtures as fx
 from .fixtures import read
 from .retrieval import RERANK, TOP, M, _fused
-from .text import asked, texts
+from .text import texts
 
 
 def _grouped(rows: DataFrame, n: int) -> DataFrame:
@@ -55,13 +55,6 @@ def request_routing(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
-def match_details(spark: SparkSession, d: str) -> DataFrame:
-    hits, _ = lexical.phrase_search(texts(spark, d), asked(spark, d, 2, 2), 1)
-    full = hits.join(texts(spark, d).select("name", "text"), "name").join(asked(spark, d, 2, 2), "query_id")
-    out = pipelines.match_details(full, F.col("text"), F.split("query", " "))
-    return out.select("query_id", "name", "n_hits", F.array_join(F.transform("segments", lambda s: F.when(s["hit"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"])), "").alias("snippet"))
-
-
 def corpus_membership(spark: SparkSession, d: str) -> DataFrame:
     t = texts(spark, d).withColumn("video", F.concat(F.lit("L21_V"), F.lpad(F.regexp_extract("video", r"(\d+)$", 1), 3, "0")))
     return pipelines.in_corpus(t, fx.keyframes(spark, d)).groupBy("video").agg(F.count(F.lit(1)).alias("n"))
@@ -119,7 +112,7 @@ sc AS (SELECT t.group_id, q.query_id // 20 % {n} AS event, t.video, t.anchor, t.
   FROM top t JOIN queries q ON q.model = 'full' AND q.query_id // {20 * n} = t.group_id JOIN keyframes k ON k.video = t.video)"""
 
 
-QUERIES = {f.__name__: f for f in (trake_discovery, trake_discovery_dp, temporal_discovery, text_entry, request_routing, match_details, corpus_membership, reference_coverage, restorable_rows, majority_phase, run_progress, spread_on_keyframes, frame_sets)}
+QUERIES = {f.__name__: f for f in (trake_discovery, trake_discovery_dp, temporal_discovery, text_entry, request_routing, corpus_membership, reference_coverage, restorable_rows, majority_phase, run_progress, spread_on_keyframes, frame_sets)}
 ORACLE_SQL = {
     "trake_discovery": f"WITH {RERANK}, {_fused('reranked', 50)}, {_discovered('fused', 'distance', 3, 0)}, {_greedy(3)} SELECT g.group_id, g.video, t.frequency, g.total, g.path FROM g2 g JOIN top t USING (group_id, video)",
     "trake_discovery_dp": f"""WITH {RERANK}, {_fused('reranked', 50)}, {_discovered('fused', 'distance', 2, 0)},

@@ -77,7 +77,7 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_spread(spark: SparkSession, d: str) -> DataFrame:
-    a = _anchors(spark, d).where("reach > 0")
+    a = _anchors(spark, d)
     return ex.anchor_spread(a, a.select("task_id", "video", "frame"))
 
 
@@ -96,10 +96,19 @@ def bisection_spread(spark: SparkSession, d: str) -> DataFrame:
     return ex.bisection(o, 9)
 
 
-def event_plan(spark: SparkSession, d: str) -> DataFrame:
+def _plans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as anchors of tasks, about three each, and for each task windows of two or all three events as its first anchor has them."""
     frames = F.array(F.col("o_custkey"), F.col("o_custkey") + 100, F.col("o_custkey") + 300)
-    o = read(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 3).alias("task_id"), F.col("o_orderkey").alias("anchor"), frames.alias("frames"), F.lit(6).alias("want"), F.lit(12).alias("need"))
-    return ex.event_plan(o.withColumn("lo", F.transform("frames", lambda x: x - 60)).withColumn("hi", F.transform("frames", lambda x: x + 140)))
+    a = read(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 12).alias("task_id"), F.col("o_orderkey").alias("anchor"), (F.col("o_orderkey") % 2).cast("string").alias("video"), frames.alias("frames"))
+    first = a.groupBy("task_id").agg(F.min_by("frames", "anchor").alias("f"))
+    window = lambda i, lo, hi, mode: F.struct((F.col("f")[i] - lo).alias("lo"), (F.col("f")[i] + hi).alias("hi"), F.lit(mode).alias("mode"))
+    windows = F.array(window(0, 60, F.col("task_id") % 5, "both"), window(1, 3, 1, "up"), window(2, 7, 140, "down"))
+    return a, first.select("task_id", (F.col("task_id") % 4 * 15).alias("need"), F.when(F.col("task_id") % 3 == 0, F.slice(windows, 1, 2)).otherwise(windows).alias("windows"))
+
+
+def event_plan(spark: SparkSession, d: str) -> DataFrame:
+    a, ranges = _plans(spark, d)
+    return ex.event_plan(a, ranges, a).withColumn("frames", F.array_join("frames", ","))
 
 
 RANKED = TOP + ", " + _fused("hits", 50) + ", ranked AS (SELECT f.query_id, f.name, f.video, f.rank, k.frame_idx FROM fused f JOIN keyframes k USING (name)), truth AS (SELECT vec_id AS query_id, video AS truth_video, frame_idx + 80 AS mid FROM keyframes WHERE vec_id % 20 = 0)"
@@ -132,11 +141,26 @@ ORACLE_SQL = {
         SELECT sha256('{"p":"' || o_orderpriority || '"}') AS fingerprint, count(*) AS runs, round(round(sum(v * n) / sum(n), 6), 3) AS final_score FROM o GROUP BY o_orderpriority""",
     "uniform_step": """WITH o AS (SELECT c_custkey AS task_id, floor(abs(c_acctbal) / 5) AS half, c_nationkey + 5 AS need FROM customer)
         SELECT task_id, coalesce(max(step) FILTER (2 * floor(half / step) >= need), 1) AS step FROM o, (SELECT unnest(range(1, 2001)) AS step) GROUP BY task_id""",
-    "anchor_spread": f"""WITH {ANCHORS}, k AS (SELECT a.*, k.k, s.sign, frame + s.sign * k.k * step AS spot FROM a, (SELECT unnest(range(1, 201)) AS k) k, (VALUES (1), (-1)) s(sign)
-          WHERE reach > 0 AND k.k * step <= reach AND (direction = 'both' OR (direction = 'up') = (s.sign = 1)) AND frame + s.sign * k.k * step >= 0),
-        n AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM a e WHERE e.reach > 0 AND e.task_id = k.task_id AND e.video = k.video AND e.frame = k.spot)),
+    "anchor_spread": f"""WITH {ANCHORS}, steps AS (SELECT unnest(range(1, 21 + (SELECT max(n) FROM (SELECT count(*) AS n FROM a GROUP BY task_id)))) AS k),
+        k AS (SELECT a.*, k.k, s.sign, frame + s.sign * k.k * step AS spot FROM a, steps k, (VALUES (1), (-1)) s(sign)
+          WHERE step > 0 AND (reach = 0 OR k.k * step <= reach) AND (direction = 'both' OR (direction = 'up') = (s.sign = 1)) AND frame + s.sign * k.k * step >= 0),
+        n AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM a e WHERE e.task_id = k.task_id AND e.video = k.video AND e.frame = k.spot)),
         f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY task_id, video, spot ORDER BY k, sign DESC, anchor) = 1)
         SELECT task_id, anchor, video, spot AS frame, row_number() OVER (PARTITION BY task_id ORDER BY k, sign DESC, anchor) AS rank FROM f QUALIFY rank <= 20""",
+    "event_plan": """WITH a AS (SELECT o_orderkey // 12 AS task_id, o_orderkey AS anchor, CAST(o_orderkey % 2 AS VARCHAR) AS video, [o_custkey, o_custkey + 100, o_custkey + 300] AS frames FROM orders),
+        t AS (SELECT task_id, arg_min(frames, anchor) AS f, count(*) AS n_anchors, task_id % 4 * 15 AS need, CASE WHEN task_id % 3 = 0 THEN 2 ELSE 3 END AS n_windows FROM a GROUP BY task_id),
+        w AS (SELECT *, [f[1] - 60, f[2] - 3, f[3] - 7] AS los, [f[1] + task_id % 5, f[2] + 1, f[3] + 140] AS his FROM t),
+        e AS (SELECT a.task_id, a.anchor, a.video, a.frames, w.need, e.event, p.dense, a.frames[e.event + 1] AS base, los[e.event + 1] + a.frames[e.event + 1] - f[e.event + 1] AS lo, his[e.event + 1] + a.frames[e.event + 1] - f[e.event + 1] AS hi,
+            CASE WHEN p.dense = 1 THEN need * 8 + 64 ELSE CAST(ceil(need / (n_anchors * n_windows)::DOUBLE) AS BIGINT) END AS want
+          FROM a JOIN w USING (task_id), (VALUES (0), (1), (2)) e(event), (VALUES (0), (1)) p(dense) WHERE e.event < n_windows AND need > 0),
+        c AS (SELECT *, CASE WHEN event = 1 THEN greatest(0, lo, base) ELSE greatest(0, lo) END AS x, CASE WHEN event = 2 THEN least(hi, base) ELSE hi END AS z FROM e),
+        n AS (SELECT *, least(want, z - x + 1) AS n FROM c WHERE z >= x),
+        v AS (SELECT DISTINCT task_id, anchor, video, frames, need, event, dense, base, CASE WHEN n = 1 OR x = z THEN x ELSE CAST(round_even(x + i * (z - x) / (n - 1)::DOUBLE, 0) AS BIGINT) END AS new FROM n, (SELECT unnest(range(0, 1000)) AS i) WHERE i < n),
+        k AS (SELECT *, row_number() OVER (PARTITION BY task_id, anchor, dense, event ORDER BY abs(new - base), new) AS k FROM v WHERE new <> base),
+        i AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY task_id, dense ORDER BY k, event, anchor) <= need * 8 + 64),
+        r AS (SELECT task_id, anchor, video, need, dense, k, event, list_concat(frames[1:event], [new], frames[event + 2:]) AS frames FROM i),
+        u AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.task_id = r.task_id AND a.video = r.video AND a.frames = r.frames) QUALIFY row_number() OVER (PARTITION BY task_id, video, frames ORDER BY dense, k, event, anchor) = 1)
+        SELECT task_id, anchor, video, array_to_string(frames, ',') AS frames, row_number() OVER (PARTITION BY task_id ORDER BY dense, k, event, anchor) AS rank FROM u QUALIFY rank <= need""",
     "event_variants": f"""WITH {ANCHORS}, b AS (SELECT task_id, anchor AS event, frame AS anchor, CASE WHEN direction = 'up' THEN frame ELSE greatest(0, frame - reach) END AS lo, CASE WHEN direction = 'down' THEN frame ELSE frame + reach END AS hi FROM a),
         c AS (SELECT *, least(7, hi - lo + 1) AS n FROM b), p AS (SELECT DISTINCT task_id, event, anchor, CASE WHEN n = 1 OR lo = hi THEN lo ELSE CAST(round_even(lo + i * (hi - lo) / (n - 1)::DOUBLE, 0) AS BIGINT) END AS frame FROM c, (SELECT unnest(range(0, 7)) AS i) WHERE i < n)
         SELECT *, row_number() OVER (PARTITION BY task_id, event ORDER BY abs(frame - anchor), frame) AS "order" FROM p WHERE frame <> anchor""",

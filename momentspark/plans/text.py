@@ -48,6 +48,11 @@ def requested(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), three.alias("video"))
 
 
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """video: sources whose number is not divisible by 4."""
+    return read(spark, d, "documents").select(F.col("source").alias("video")).distinct().where("cast(regexp_extract(video, '([0-9]+)$', 1) as int) % 4 <> 0")
+
+
 def ocr_phrase(spark: SparkSession, d: str) -> DataFrame:
     return lexical.phrase_search(texts(spark, d), asked(spark, d, 2, 2), 20)[0]
 
@@ -66,11 +71,12 @@ def text_two_tier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_batch_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.batch_lookup(texts(spark, d), asked(spark, d, 3, 2), requested(spark, d))
+    return lexical.batch_lookup(texts(spark, d), asked(spark, d, 3, 2), requested(spark, d), corpus=corpus(spark, d))
 
 
 def term_batch_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.batch_term_lookup(texts(spark, d), asked_terms(spark, d), requested(spark, d))
+    found = lexical.batch_term_lookup(texts(spark, d), asked_terms(spark, d), requested(spark, d), corpus(spark, d))
+    return found.withColumn("terms", F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["term"].cast("string"), t["tier"], t["phrase"].cast("string"))), "|"))
 
 
 def regex_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -129,24 +135,31 @@ def _phrase(first: int, n: int, limit: int, folded: bool = False) -> str:
 hits AS (SELECT query_id, name, video, phrase AS is_phrase, row_number() OVER (PARTITION BY query_id ORDER BY phrase DESC, n, name) AS rank FROM found QUALIFY rank <= {limit})"""
 
 
-def _two_tier() -> str:
+_CORPUS = "WHERE regexp_extract(video, '([0-9]+)$', 1)::INT % 4 <> 0"
+
+
+def _two_tier(corpus: str = "") -> str:
     """Over `texts` and `terms`: t3 (hits) and t4 (videos)."""
     return f"""{_pass('low_hits', 'lower(text)', 'low')}, {_pass('flat_hits', 'f', 'flat')},
 t1 AS (SELECT *, 'exact' AS tier FROM low_hits UNION ALL SELECT *, 'normalized' FROM flat_hits),
 t2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY phrase DESC, n, name) AS rank, count(*) OVER (PARTITION BY query_id, tier) AS n_matched FROM t1 QUALIFY rank <= 5000),
 t2b AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY tier) = 1),
-t3 AS (SELECT query_id, name, video, n, tier, phrase AS is_phrase, rank, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS place FROM t2b),
+t3 AS (SELECT query_id, name, video, n, tier, phrase AS is_phrase, rank, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS place FROM t2b {corpus}),
 t4 AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS video_rank, count(*) OVER (PARTITION BY query_id) AS n_videos FROM t3 GROUP BY query_id, video)"""
 
 
-_MULTI = f"""{TEXTS}, {_terms(_THREE)}, {_pass('low_hits', 'lower(text)', 'low')}, {_pass('flat_hits', 'f', 'flat')},
+def _multi(corpus: str = "") -> str:
+    """Over `_THREE`: placed (hits of several terms) and both_passes (their terms)."""
+    return f"""{TEXTS}, {_terms(_THREE)}, {_pass('low_hits', 'lower(text)', 'low')}, {_pass('flat_hits', 'f', 'flat')},
 both_passes AS (SELECT query_id, name, video, n, term, CASE WHEN e.phrase IS NULL THEN 1 ELSE 2 END AS tier, coalesce(e.phrase, x.phrase) AS phrase, e.phrase IS NOT NULL AS in_low, e.phrase AS low_phrase, x.phrase IS NOT NULL AS in_flat, x.phrase AS flat_phrase
   FROM low_hits e FULL JOIN flat_hits x USING (query_id, name, video, n, term)),
 frames AS (SELECT query_id, name, video, n, count(*) AS n_terms, min(tier) AS worst_tier, count(*) FILTER (phrase) AS n_phrases,
-  count(*) FILTER (in_low) AS a, count(*) FILTER (low_phrase) AS b, count(*) FILTER (in_flat) AS c, count(*) FILTER (flat_phrase) AS d FROM both_passes GROUP BY ALL),
+  string_agg(term || ':' || CASE tier WHEN 2 THEN 'exact' ELSE 'normalized' END || ':' || phrase, '|' ORDER BY term) AS terms,
+  count(*) FILTER (in_low) AS a, count(*) FILTER (low_phrase) AS b, count(*) FILTER (in_flat) AS c, count(*) FILTER (flat_phrase) AS d FROM both_passes GROUP BY query_id, name, video, n),
+passed AS (SELECT *, CASE WHEN worst_tier = 2 THEN row_number() OVER (PARTITION BY query_id ORDER BY a DESC, b DESC, n, name) ELSE row_number() OVER (PARTITION BY query_id ORDER BY c DESC, d DESC, n, name) END AS pass_rank,
+  sum((a > 0)::INT) OVER (PARTITION BY query_id) AS n_exact, sum((c > 0)::INT) OVER (PARTITION BY query_id) AS n_folded FROM frames),
 placed AS (SELECT query_id, name, video, n_terms, worst_tier, n_phrases, n_phrases = n_terms AS all_phrases,
-  row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC, worst_tier DESC, n_phrases DESC, n, name) AS place,
-  CASE WHEN worst_tier = 2 THEN row_number() OVER (PARTITION BY query_id ORDER BY a DESC, b DESC, n, name) ELSE row_number() OVER (PARTITION BY query_id ORDER BY c DESC, d DESC, n, name) END AS pass_rank FROM frames)"""
+  row_number() OVER (PARTITION BY query_id ORDER BY n_terms DESC, worst_tier DESC, n_phrases DESC, n, name) AS place, pass_rank, (CASE WHEN worst_tier = 2 THEN n_exact ELSE n_folded END)::BIGINT AS pass_total, terms FROM passed {corpus})"""
 
 
 _BM25 = f"""{_asked(4, 3)}, d AS (SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents WHERE trim(text) <> ''),
@@ -165,10 +178,10 @@ ORACLE_SQL = {
     "ocr_phrase": f"WITH {_phrase(2, 2, 20)} SELECT query_id, name, is_phrase, rank FROM hits",
     "ocr_counts": f"""WITH {_phrase(2, 2, 20, True)} SELECT query_id, count(*) FILTER (phrase) AS n_phrase, count(*) AS n_words,
         (SELECT count(*) FROM documents WHERE regexp_matches(text, '\\S')) AS n_searched FROM found GROUP BY query_id""",
-    "ocr_multi_term": f"WITH {_MULTI} SELECT * FROM placed WHERE place <= 50",
+    "ocr_multi_term": f"WITH {_multi()} SELECT * EXCLUDE (pass_total, terms) FROM placed WHERE place <= 50",
     "text_two_tier": f"WITH {TEXTS}, {_asked(2, 2)}, {_terms(_ONE)}, {_two_tier()} SELECT t3.* EXCLUDE (n), video_rank, n_videos FROM t3 JOIN t4 USING (query_id, video)",
-    "text_batch_lookup": f"WITH {TEXTS}, {_asked(3, 2)}, {_terms(_ONE)}, {_two_tier()} SELECT t3.* EXCLUDE (n), video_rank, n_videos FROM t3 JOIN t4 USING (query_id, video) SEMI JOIN ({_REQUESTED}) USING (query_id, video)",
-    "term_batch_lookup": f"""WITH {_MULTI}, v AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS video_rank, count(*) OVER (PARTITION BY query_id) AS n_videos FROM placed GROUP BY query_id, video)
+    "text_batch_lookup": f"WITH {TEXTS}, {_asked(3, 2)}, {_terms(_ONE)}, {_two_tier(_CORPUS)} SELECT t3.* EXCLUDE (n), video_rank, n_videos FROM t3 JOIN t4 USING (query_id, video) SEMI JOIN ({_REQUESTED}) USING (query_id, video)",
+    "term_batch_lookup": f"""WITH {_multi(_CORPUS)}, v AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(place)) AS video_rank, count(*) OVER (PARTITION BY query_id) AS n_videos FROM placed GROUP BY query_id, video)
         SELECT placed.*, video_rank, n_videos FROM placed JOIN v USING (query_id, video) SEMI JOIN ({_REQUESTED}) USING (query_id, video)""",
     "regex_filter": f"""WITH {TEXTS}, {_asked(3, 2)}, p AS (SELECT query_id, regexp_replace(query, '[^a-z ]', '', 'g') || '[a-z]*' AS pattern FROM asked WHERE query_id % 10 <> 9)
         SELECT query_id, name, length(regexp_extract(text, '(?i)' || pattern)) AS n_matched FROM texts, p WHERE regexp_matches(text, pattern, 'i')""",

@@ -126,13 +126,6 @@ def test_streams(spark, tmp_path):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_snippet():
-    body = "x " * 60 + "the fire and the water near the fire " + "y " * 60
-    segments, n = pipelines.snippet(body, ["fire", "water"])
-    assert n == 3 and [s for s, h in segments if h] == ["fire", "water", "fire"] and segments[0] == ("…", False) and segments[-1] == ("…", False)
-    assert "".join(s for s, _ in segments).strip("…") in body and pipelines.snippet("short", ["none"]) == ([("short", False)], 0)
-
-
 def test_bisection(spark):
     got = expansion.bisection(spark.createDataFrame([(1, 0, 16, 7), (2, 5, 5, 4)], "range_id int, lo int, hi int, k int"), 16).orderBy("range_id", "order").collect()
     assert [r["frame"] for r in got if r["range_id"] == 1] == [0, 16, 8, 4, 12, 2, 6] and [r["frame"] for r in got if r["range_id"] == 2] == [5]
