@@ -281,16 +281,11 @@ def details(hits: DataFrame) -> DataFrame:
     )
 
 
-def _fits(hits: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    return hits.join(texts, key)
-
-
 def describe(hits: DataFrame, frames: DataFrame, speech: DataFrame, windows: DataFrame, shown: DataFrame) -> DataFrame:
     """`details` of the hits of `annotate_sources`, each with the text it stands in: a frame's, or the window's."""
-    none = lambda df: df.withColumns({"start_s": _none("double"), "end_s": _none("double")})
-    at = frames.select("name", "frame_idx", "fps")
-    by_frame = hits.where("search <> 'bm25'")
-    parts = [none(_fits(by_frame.where(f"source = '{s}'"), t.select("name", "text"), "name")) for s, t in (("asr", speech), ("ocr", shown))]
-    parts.append(_fits(hits.where("search = 'bm25'"), windows.select("doc_id", "text", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s")), "doc_id"))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return details(every.join(at, "name"))
+    by_window = F.col("search") == "bm25"
+    keyed = hits.withColumn("_in", F.when(by_window, "window").otherwise(F.col("source"))).withColumn("_key", F.when(by_window, F.col("doc_id").cast("string")).otherwise(F.col("name")))
+    of_frames = [t.select(F.lit(s).alias("_in"), F.col("name").alias("_key"), "text", _none("double").alias("start_s"), _none("double").alias("end_s")) for s, t in (("asr", speech), ("ocr", shown))]
+    of_windows = windows.select(F.lit("window").alias("_in"), F.col("doc_id").cast("string").alias("_key"), "text", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"))
+    texts = of_frames[0].unionByName(of_frames[1]).unionByName(of_windows)
+    return details(keyed.join(texts, ["_in", "_key"]).drop("_in", "_key").join(frames.select("name", "frame_idx", "fps"), "name"))

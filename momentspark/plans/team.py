@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from momentspark.functions import media
 from momentspark.operators import teamwork as tw
-from momentspark.streaming import activity
+from momentspark.streaming import activity, upsert
 
 from . import fixtures as fx
 from .fixtures import read
@@ -118,13 +118,27 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     kind = F.when(F.col("event_type") == "error", "basket_empty").when(F.col("event_type") == "click", "pick").otherwise("search")
     query = F.concat(F.lit("q"), (F.floor(F.col("event_id") / 1000)).cast("string"))
-    return e.select("ts", "event_id", "user_id", (F.col("user_id") % 2).alias("task_id"), F.when(F.col("event_id") % 13 == 0, " ").otherwise(query).alias("query"), kind.alias("kind"), F.floor(F.col("value") / 50).cast("string").alias("picked"))
+    return e.select("ts", "event_id", "user_id", (F.col("user_id") % 2).alias("task_id"), F.when(F.col("event_id") % 13 == 0, " ").otherwise(query).alias("query"), kind.alias("kind"), F.floor(F.col("value") / 50).cast("string").alias("picked"), F.when(F.col("event_id") % 17 == 0, "visual").alias("type"))
 
 
 def attempt_folding(spark: SparkSession, d: str) -> DataFrame:
     return activity.fold_attempts(_log(spark, d)).withColumn("picks", F.array_join("picks", ","))
 
 
+def keyed_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of even ids, stored under the ids that come first, merged with later versions of every third document, some twice."""
+    doc = read(spark, d, "documents").select("doc_id", "lang", "n_chars", F.lit(1).alias("version"))
+    stored = doc.where("doc_id % 2 = 0").withColumn("bucket", upsert.bucket_of("doc_id", 8))
+    k = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1
+    stored = stored.withColumn("id", (k * 8 + F.col("bucket")).cast("long"))
+    later = doc.where("doc_id % 3 = 0").select("doc_id", "lang", (F.col("n_chars") + 1).alias("n_chars"), (F.col("doc_id") % 4).cast("int").alias("version"))
+    again = later.where("doc_id % 5 = 0").withColumns({"n_chars": F.col("n_chars") + 1, "version": F.lit(9)})
+    merged = upsert.merge(stored, later.union(again), "doc_id", "version", 8)
+    # ids hang on a hash of Spark's: what SQL can tell is which ones were kept, and that each is there once
+    out = merged.join(stored.select("doc_id", F.col("id").alias("was")), "doc_id", "left")
+    return out.select("doc_id", "lang", "n_chars", "version", (F.col("id") == F.col("was")).cast("int").alias("kept_id"), (F.count(F.lit(1)).over(Window.partitionBy("id"))).alias("rows_of_id"), (F.pmod("id", F.lit(8)) == F.col("bucket")).cast("int").alias("fits"))
+
+
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
     return activity.latest_state(_log(spark, d))
 
@@ -150,7 +164,7 @@ LOG = """log AS (SELECT ts, event_id, user_id, user_id % 2 AS task_id, CASE WHEN
   CASE event_type WHEN 'error' THEN 'basket_empty' WHEN 'click' THEN 'pick' ELSE 'search' END AS kind, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS picked FROM events)"""
 QUERIES = {
     f.__name__: f
-    for f in (answer_rank, contributors, task_slices, round_rollup, export_validation, submission_lines, submission_payload, verdict_tally, latest_version, decayed_score, mapping_reconcile, fps_drift, ingest_worklist, frame_name_parse, media_clock, keyframe_index, page_names, attempt_folding, latest_state, first_seen, presence_ttl)
+    for f in (answer_rank, contributors, task_slices, round_rollup, export_validation, submission_lines, submission_payload, verdict_tally, latest_version, decayed_score, mapping_reconcile, fps_drift, ingest_worklist, frame_name_parse, media_clock, keyframe_index, page_names, attempt_folding, keyed_merge, latest_state, first_seen, presence_ttl)
 }
 ORACLE_SQL = {
     "answer_rank": f"WITH {ANSWERS} SELECT task_id, author_id, sort_key, l_linenumber AS line, rank FROM ranked",
@@ -186,5 +200,19 @@ ORACLE_SQL = {
     "page_names": "SELECT page_id, CASE WHEN contains(url, '/') AND contains(url, '.') THEN list_extract(string_split(url, '/'), -1) END AS name FROM pages",
     "latest_state": f"WITH {LOG} SELECT user_id, task_id, query, kind, ts FROM log QUALIFY row_number() OVER (PARTITION BY user_id, task_id ORDER BY ts DESC, event_id DESC) = 1",
     "first_seen": f"WITH {LOG} SELECT user_id, query, kind, event_id FROM log QUALIFY row_number() OVER (PARTITION BY user_id, query, kind ORDER BY ts, event_id) = 1",
+    "attempt_folding": f"""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT ts, event_id, user_id, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'q' || (event_id // 1000) END AS query,
+          CASE event_type WHEN 'error' THEN 'basket_empty' WHEN 'click' THEN 'pick' ELSE 'search' END AS kind, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS picked, CASE WHEN event_id % 17 = 0 THEN 'visual' END AS type FROM events) WHERE kind = 'basket_empty' OR trim(query) <> ''),
+        walk AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::VARCHAR AS query, NULL::VARCHAR AS type, 0::BIGINT AS no, false AS has_pick, true AS done, []::BIGINT[] AS open, NULL::BIGINT AS part_of, NULL::BIGINT AS closes FROM log
+          UNION ALL SELECT user_id, i, CASE WHEN mark THEN w_query ELSE query END, CASE WHEN mark THEN w_type ELSE type END, CASE WHEN mark OR same THEN no ELSE no + 1 END,
+            CASE WHEN mark THEN has_pick WHEN same THEN has_pick OR kind = 'pick' ELSE kind = 'pick' END, CASE WHEN mark THEN done OR has_pick ELSE false END,
+            CASE WHEN mark AND has_pick AND NOT done THEN open WHEN mark THEN open[:len(open) - 1] WHEN NOT same AND has_pick AND NOT done THEN list_append(open, no) ELSE open END,
+            CASE WHEN mark THEN NULL WHEN same THEN no ELSE no + 1 END, CASE WHEN mark AND has_pick AND NOT done THEN no WHEN mark THEN open[len(open)] END
+          FROM (SELECT l.*, w.no, w.has_pick, w.done, w.open, w.query AS w_query, w.type AS w_type, l.kind = 'basket_empty' AS mark, NOT w.done AND l.query = w.query AND l.type IS NOT DISTINCT FROM w.type AS same FROM walk w JOIN log l ON l.user_id = w.user_id AND l.i = w.i + 1)),
+        a AS (SELECT w.user_id, w.part_of AS attempt, any_value(l.query) AS query, any_value(l.type) AS type, min(l.ts) AS started, max(l.ts) AS ended, list(l.picked ORDER BY l.i) FILTER (l.kind = 'pick' AND l.picked IS NOT NULL) AS p FROM walk w JOIN log l USING (user_id, i) WHERE w.part_of IS NOT NULL GROUP BY 1, 2)
+        SELECT user_id, user_id % 2 AS task_id, attempt, query, type, NULL::VARCHAR AS params, started, ended, coalesce(array_to_string(list_filter(p, lambda x, k: list_position(p, x) = k)[1:100], ','), '') AS picks,
+          EXISTS (SELECT 1 FROM walk c WHERE c.user_id = a.user_id AND c.closes = a.attempt) AS closed FROM a""",
+    "keyed_merge": """WITH doc AS (SELECT doc_id, lang, n_chars FROM documents), every AS (SELECT *, 1 AS version, 0 AS new FROM doc WHERE doc_id % 2 = 0
+          UNION ALL SELECT doc_id, lang, n_chars + 1, doc_id % 4, 1 FROM doc WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, lang, n_chars + 2, 9, 1 FROM doc WHERE doc_id % 15 = 0)
+        SELECT doc_id, lang, n_chars, version, CASE WHEN doc_id % 2 = 0 THEN 1 END AS kept_id, 1 AS rows_of_id, 1 AS fits FROM every QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC, new DESC) = 1""",
     "presence_ttl": "SELECT user_id, max(ts) AS seen, max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 86400 SECOND AS online FROM events GROUP BY user_id",
 }

@@ -64,65 +64,76 @@ def test_scene_samples(spark):
 
 def log(r, n):
     kinds = ["search", "pick", "pick", "basket_empty"]
-    return [(f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}", k, r.randint(0, 2), 0, r.choice(["q1", "q1", "q2", " "]), r.choice(kinds), r.choice("abc")) for k in range(n)]
+    return [(f"2024-01-01 00:{k // 60:02d}:{k % 60:02d}", k, r.randint(0, 2), 0, r.choice(["q1", "q1", "q1", "q2", " ", None]), r.choice(kinds), r.choice("abc"), r.choice(["s", "s", "s", None])) for k in range(n)]
 
 
 def fold(rows):
-    out, open_ones = [], {}
-    for ts, i, u, t, q, kind, picked in rows:
-        mine = open_ones.get((u, t))
+    """Attempts (user, task, first event, query, type, picks, closed) by a loop."""
+    every = []
+    for _, i, u, t, q, kind, picked, how in rows:
+        mine = [x for x in every if x[:2] == [u, t]]
         if kind == "basket_empty":
-            if mine and mine[1]:
-                out.append((u, t, mine[0], tuple(mine[1]), True))
-                open_ones.pop((u, t))
+            if with_picks := [x for x in mine if x[5] and not x[6]]:
+                with_picks[-1][6] = True
             continue
-        if not q.strip():
+        if not (q or "").strip():
             continue
-        if mine and mine[0] != q:
-            out.append((u, t, mine[0], tuple(mine[1]), False))
-            mine = None
-        if not mine:
-            mine = open_ones[(u, t)] = [q, []]
-        if kind == "pick" and picked not in mine[1]:
-            mine[1].append(picked)
-    return out, [(u, t, q, tuple(p), False) for (u, t), (q, p) in open_ones.items()]
+        if not mine or mine[-1][6] or mine[-1][3:5] != [q, how]:
+            mine.append([u, t, i, q, how, [], False])
+            every.append(mine[-1])
+        if kind == "pick" and picked not in mine[-1][5]:
+            mine[-1][5].append(picked)
+    return sorted((*x[:5], tuple(x[5]), x[6]) for x in every)
 
 
-LOG = "ts string, event_id long, user_id long, task_id long, query string, kind string, picked string"
+LOG = "ts string, event_id long, user_id long, task_id long, query string, kind string, picked string, type string"
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_attempt_folding(spark, seed):
     rows = log(random.Random(seed), 300)
-    ended, still_open = fold(rows)
-    got = [(r["user_id"], r["task_id"], r["query"], tuple(r["picks"]), r["closed"]) for r in activity.fold_attempts(spark.createDataFrame(rows, LOG).withColumn("ts", F.to_timestamp("ts"))).collect()]
-    assert sorted(got) == sorted(ended + still_open)
+    got = activity.fold_attempts(spark.createDataFrame(rows, LOG).withColumn("ts", F.to_timestamp("ts"))).collect()
+    first = {f"{x[0]}": x[1] for x in rows}
+    assert sorted((r["user_id"], r["task_id"], first[f"{r['started']}"], r["query"], r["type"], tuple(r["picks"]), r["closed"]) for r in got) == fold(rows)
 
 
 def test_streams(spark, tmp_path):
+    """Attempts and presence from input that comes out of order within the watermark, over several batches, equal those of the batch form."""
+    activity.use_rocksdb(spark)
     rows = log(random.Random(9), 200)
-    df = spark.createDataFrame(rows, LOG).withColumn("ts", F.to_timestamp("ts"))
-    for part in range(4):
-        df.where(f"event_id div 50 = {part}").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    end = [("2024-01-02 00:00:00", 10_000, 99, 0, "end", "search", "a", None)]
+    df = spark.createDataFrame(rows + end, LOG).withColumn("ts", F.to_timestamp("ts"))
+    r = random.Random(4)
+    mixed = sorted(rows, key=lambda x: x[1] + r.randint(0, 60))
+    for part in range(5):
+        some = mixed[50 * part : 50 * part + 50] if part < 4 else end
+        spark.createDataFrame(some, LOG).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     source = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in/*")
 
-    def run(stream, name):
-        q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    def run(stream, name, mode="append"):
+        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination(120)
         return spark.table(name).collect()
 
-    ended, _ = fold(rows)
-    got = [(r["user_id"], r["task_id"], r["query"], tuple(r["picks"]), r["closed"]) for r in run(activity.stream_attempts(source(), "1 hour"), "attempts")]
-    assert sorted(got) == sorted(ended)
+    last = {}
+    for x in run(activity.stream_attempts(source(), "5 minutes"), "attempts", "update"):
+        last[x["attempt"]] = max(last.get(x["attempt"], ()), (x["ended"], len(x["picks"]), x["closed"], x), key=lambda v: v[:3])
+    got = sorted((x["user_id"], x["task_id"], x["attempt"], x["query"], x["type"], tuple(x["picks"]), x["closed"]) for *_, x in last.values() if x["user_id"] != 99)
+    assert got == fold(rows)
+    seen = {}
+    for x in run(activity.stream_presence(source(), 30, "5 minutes"), "presence", "update"):
+        seen.setdefault(x["user_id"], []).append((x["seen"], x["online"]))
+    want = {u: max(x[0] for x in rows if x[2] == u) for u in range(3)}
+    assert {u: f"{v[-1][0]}" for u, v in seen.items() if u != 99} == want and all(not v[-1][1] for u, v in seen.items() if u != 99) and seen[99][-1][1]
     first = run(activity.stream_first_seen(source(), ["user_id", "query", "kind"], "1 hour"), "firsts")
-    assert len(first) == len({(x[2], x[4], x[5]) for x in rows})
+    assert len(first) == len({(x[2], x[4], x[5]) for x in rows + end})
     assert run(activity.stream_sessions(source(), "1 second", "1 second"), "sessions")
     for _ in range(2):
         activity.ingest(source(), f"{tmp_path}/out", "event_id", f"{tmp_path}/check").awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 200
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 201
     activity.append_new(f"{tmp_path}/out", "event_id")(df, 7)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 200
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 201
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
