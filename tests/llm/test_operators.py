@@ -416,7 +416,7 @@ def test_wrapper_groups():
 
 
 def test_tags_are_read_in_one_pass():
-    cases = {'<a href="x>y">b</a>': ["a", "a"], "<p>1 < 2 <b>x</b>": ["p", "b", "b"], "<a 'x <b>": ["b"], "<i x='unclosed><u>": ["i", "u"], "a<!-- <b> --><hr/><!doctype x>": ["", "hr", ""], "<!-- open <p>": [""], "</p >": ["p"]}
+    cases = {'<a href="x>y">b</a>': ["a", "a"], "<a href = 'x>y'>b</a>": ["a", "a"], "<p>1 < 2 <b>x</b>": ["p", "b", "b"], "<a 'x <b>": ["b"], "<a it's><b x='>'>": ["a", "b"], "<i x='unclosed><u>": ["i", "u"], "a<!-- <b> --><hr/><!doctype x>": ["", "hr", ""], "<!-- open <p>": [""], "</p >": ["p"]}
     for page, want in cases.items():
         assert [t[3] for t in wrappers.tags(page)] == want, page
     import time
@@ -428,6 +428,37 @@ def test_tags_are_read_in_one_pass():
         assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("size", [30_000, 5_000_000])
+def test_long_attribute_values_lose_no_text(size):
+    import time
+
+    image = f'<img src="data:{"A" * size}">'
+    began = time.time()
+    assert wrappers.extract(f'<article><p>One</p>{image}<p class="x">Two body</p>{image}<p class="y">Three</p></article>') == "One\n\nTwo body\n\nThree"
+    assert wrappers.extract("<article><p>One" + "<b x=' <p>y " * 20_000 + "</article>").startswith("One")
+    assert time.time() - began < 10
+
+
+def test_class_words_count_whole():
+    for words in ("ads-free article", "comment-policy", "ad-hoc", "shared-header-text", "story"):
+        assert wrappers.extract(f'<article><div class="{words}"><p>Body</p></div></article>') == "Body"
+    assert wrappers.extract('<body><div class="ads-free article"><p>Body</p></div><div>Else</div></body>') == "Body"
+    for words in ("ad", "ad-slot", "comment-list", "cookie-banner", "nav-left", "sidebar2", "newsletter_box"):
+        assert wrappers.extract(f'<article><p>Body</p><div class="{words}">Gone</div></article>') == "Body"
+
+
+def test_recurring_headings_and_bylines_of_articles_stay():
+    page = lambda k: f"<article><h1>Title {k}</h1><div class=byline>By the staff</div><h2>Summary</h2><p>Sum {k}</p><section><h2>Details</h2><p>Text {k}</p></section><div><b>Our app</b><div>Get it now</div></div></article>"
+    pages = [page(k) for k in range(8)]
+    w = wrappers.wrapper_of(wrappers.parse(pages[0]))
+    for p in pages[1:]:
+        w = wrappers.align(w, wrappers.wrapper_of(wrappers.parse(p)))
+    import json
+
+    for k, p in enumerate(pages):
+        assert wrappers.extract(p, json.dumps(w)) == f"Title {k}\n\nBy the staff\n\nSummary\n\nSum {k}\n\nDetails\n\nText {k}"
+
+
 def test_common_sequence_equals_brute_force():
     def longest(x, y):
         return 0 if not x or not y else max(longest(x[1:], y[1:]) + 1 if x[0] == y[0] else 0, longest(x[1:], y), longest(x, y[1:]))
