@@ -89,12 +89,37 @@ def fit_patterns(histogram: dict[int, int], capacity: int, most_docs: int = 6, r
     return dict(zip(patterns, x.tolist(), strict=True))
 
 
+def best_fit(left: np.ndarray, runs: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Runs that hold `left` (counts by length) as well: longest first, each into the sequence with the least room that takes it, else a new one.
+    Sequences of one content are one run, so the work follows the number of lengths, not of items."""
+    room: list[list[list]] = [[] for _ in range(capacity + 1)]
+    for pattern, n in runs:
+        room[capacity - sum(pattern)].append([pattern, n])
+    for length in np.flatnonzero(left)[::-1].tolist():
+        n = int(left[length])
+        while n:
+            free = next((f for f in range(length, capacity + 1) if room[f]), None)
+            fits = (free or capacity) // length
+            pattern, bins = room[free].pop() if free is not None else ((), -(-n // fits))
+            full = min(bins, n // fits)
+            if full:
+                room[(free or capacity) - fits * length].append([pattern + (length,) * fits, full])
+                n -= full * fits
+            if full < bins and n:  # the last few: less than one sequence takes
+                room[(free or capacity) - n * length].append([pattern + (length,) * n, 1])
+                full, n = full + 1, 0
+            if full < bins and pattern:
+                room[free].append([pattern, bins - full])
+    return [(pattern, n) for some in room for pattern, n in some]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (lengths of a sequence, repeats) that use up the histogram."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    """Runs (lengths of a sequence, repeats) that use up the histogram: the fitted patterns, what they leave packed into their room or into
+    sequences of its own, or, where that takes fewer sequences, all of it by best fit."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
-        left[length] = n
-    runs = []
+        counts[length] = n
+    left, runs = counts.copy(), []
 
     def take(pattern: tuple[int, ...], wanted: int | None) -> None:
         lengths, times = np.unique(pattern, return_counts=True)
@@ -106,6 +131,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
 
     for pattern, x in sorted(fit_patterns(histogram, capacity).items(), key=lambda i: (-i[1], i[0])):
         take(pattern, int(x + 1e-6))
+    opened = best_fit(left, runs, capacity)
     while left.any():
         free, pattern, used = capacity, [], left.copy()
         while free > 0:
@@ -116,7 +142,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
             used[fits[-1]] -= 1
             free -= int(fits[-1])
         take(tuple(pattern), None)
-    return runs
+    return min((runs, opened, best_fit(counts, [], capacity)), key=lambda r: sum(n for _, n in r))
 
 
 def _places(runs: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -170,34 +196,33 @@ def pieces(docs: DataFrame, definition: str, capacity: int = 1024, end_id: int =
 
 def pack(items: DataFrame, capacity: int = 1024, length_col: str = "length") -> DataFrame:
     """Adds `sequence_id` (long, from 0) and `offset` (long, place in the sequence) to `items`, whose lengths lie in 1 to
-    `capacity`. Other columns are kept as they are. An empty table gives an empty one.
+    `capacity`. Other columns are kept as they are, whatever their names; ones named like the two are replaced. An empty table gives an empty one.
 
     Ranks among items of a length are taken in hash buckets of about 5,000 rows and shifted by the counts of the
     buckets before, so that no length, however common, meets in one task.
     """
     spark, scratch = items.sparkSession, Scratch(items.sparkSession, "packing")
-    n_items = "_items"
-    rows = scratch.write(items.withColumn("_row", F.monotonically_increasing_id()), "items")
+    kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    rows = scratch.write(items.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("item"), F.col(length_col).cast("long").alias("length"), F.monotonically_increasing_id().alias("row")), "items")
     buckets = max(64, -(-rows.count() // 5000))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
-    counts = scratch.write(rows.groupBy(length_col, "_bucket").agg(F.count(F.lit(1)).alias(n_items)), "counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy(length_col).agg(F.sum(n_items)).collect()}  # at most `capacity` rows
-    if histogram and not 1 <= min(histogram) <= max(histogram) <= capacity:
-        raise ValueError(f"lengths from {min(histogram)} to {max(histogram)} do not fit in 1 to {capacity}")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    counts = scratch.write(rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
+    if None in histogram or (histogram and not 1 <= min(histogram) <= max(histogram) <= capacity):
+        raise ValueError(f"lengths {sorted(histogram, key=lambda x: x or 0)[:1]} to {sorted(histogram, key=lambda x: x or 0)[-1:]} do not fit in 1 to {capacity}")
     table = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
-    before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(length_col, "_bucket", F.coalesce(F.sum(n_items).over(before), F.lit(0)).alias("_shift"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(length_col, "_bucket").orderBy("_row")) - 1)
-    ranked = ranked.join(shift, [length_col, "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_shift")).drop("_bucket", "_shift", "_row")
-    kept = items.columns
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
+    ranked = ranked.join(shift, ["length", "bucket"]).select("item", "length", (F.col("rank") + F.col("shift")).cast("long").alias("rank"))
 
     def run(batches):
         places = table.value
         keys = places[:, 0] * (1 << 50) + places[:, 1]
         for b in batches:
-            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, "_rank"))
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             at = places[np.searchsorted(keys, length * (1 << 50) + rank, side="right") - 1] if len(rank) else places[:0]
-            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], names=[*kept, "sequence_id", "offset"])
+            yield pa.record_batch([b.column("item"), pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])], names=["item", "sequence_id", "offset"])
 
-    schema = ranked.select(*kept).schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*kept, "_rank").mapInArrow(run, schema)
+    schema = ranked.select("item").schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(run, schema).select(*(F.col("item")[c].alias(c) for c in kept), "sequence_id", "offset")

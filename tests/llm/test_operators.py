@@ -263,6 +263,64 @@ def test_packing_plan_is_near_the_bound():
         assert sum(n for _, n in runs) <= 1.02 * bound + 1
 
 
+def test_pack_keeps_columns_of_any_name(spark):
+    rows = [(k, k % 7 + 1, "r", 5, 6, "x", 7, 8) for k in range(200)]
+    items = spark.createDataFrame(rows, "id int, length int, _row string, _bucket int, sequence_id int, item string, rank int, row int")
+    got = packing.pack(items, 10)
+    assert got.columns == ["id", "length", "_row", "_bucket", "item", "rank", "row", "sequence_id", "offset"]
+    places = {}
+    for r in got.collect():
+        assert tuple(r)[:7] == (r["id"], r["id"] % 7 + 1, "r", 5, "x", 7, 8)
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(places) == max(places) + 1
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 10
+    assert packing.pack(items.where("false"), 10).count() == 0
+
+
+def fewest(lengths, capacity):
+    """The fewest sequences, by trying all ways."""
+    best = [len(lengths)]
+
+    def go(rest, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if not rest:
+            best[0] = len(rooms)
+            return
+        for k in {r: i for i, r in enumerate(rooms) if r >= rest[0]}.values():
+            go(rest[1:], rooms[:k] + [rooms[k] - rest[0]] + rooms[k + 1 :])
+        go(rest[1:], [*rooms, capacity - rest[0]])
+
+    go(sorted(lengths, reverse=True), [])
+    return best[0]
+
+
+def test_packing_plan_against_all_ways():
+    r, over = random.Random(5), 0
+    for _ in range(120):
+        capacity = r.choice([10, 20, 64])
+        lengths = [r.randint(1, capacity) for _ in range(r.randint(1, 9))]
+        runs = packing.plan(dict(Counter(lengths)), capacity)
+        used = Counter(x for pattern, n in runs for x in pattern for _ in range(n))
+        assert used == Counter(lengths) and all(0 < sum(p) <= capacity for p, _ in runs)
+        over += sum(n for _, n in runs) - fewest(lengths, capacity)
+    assert over <= 2
+
+
+def test_packing_plan_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(2)
+    for low, high in ((1, 1024), (250, 420), (300, 600), (1, 60)):
+        histogram = dict(Counter(rng.integers(low, high + 1, 5000).tolist()))
+        counts = np.zeros(1025, dtype=np.int64)
+        counts[list(histogram)] = list(histogram.values())
+        assert sum(n for _, n in packing.plan(histogram, 1024)) <= sum(n for _, n in packing.best_fit(counts, [], 1024))
+
+
 def test_pack_rejects_lengths_beyond_capacity(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2000)], "doc_id long, length long"))
