@@ -225,6 +225,62 @@ def test_sharding_law(spark, docs, none, shards):
     assert sharding.shard(none, shards).count() == 0
 
 
+def spread_over(spark, sizes, shards):
+    """For each group the numbers of its rows in the shards it lies in."""
+    texts = [f"t{g}" for g, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got, places = {}, Counter()
+    text = dict(enumerate(texts))
+    for r in sharding.shard(df, shards).collect():
+        got.setdefault(text[r["doc_id"]], Counter())[r["shard"]] += 1
+        places[r["shard"]] += 1
+    assert max(places.values()) - min(places.get(s, 0) for s in range(shards)) <= 1
+    return [got[f"t{g}"] for g in range(len(sizes))]
+
+
+def test_sharding_cuts_groups_into_few_shards(spark):
+    spread = spread_over(spark, [60] * 67, 40)
+    assert max(map(len, spread)) <= 3 and sum(len(s) == 1 for s in spread) >= 38 and sum(len(s) <= 2 for s in spread) >= 58  # full to the last row: not all can have two
+    spread = spread_over(spark, [60] * 66 + [1] * 40, 40)
+    assert max(map(len, spread)) == 2
+    spread = spread_over(spark, [108] * 37 + [1] * 4, 40)
+    assert sum(len(s) > 2 for s in spread) <= 1 and max(map(len, spread)) <= 3
+    spread = spread_over(spark, [2000] + [2] * 1000 + [1] * 2000, 40)
+    assert len(spread[0]) == 14 and all(len(s) == 1 for s in spread[1:])
+
+
+def fewest_cuts(sizes, goals):
+    """The fewest links between rows of one group in unlike shards, by trying all ways."""
+    best = [10**9]
+
+    def go(g, free, cut):
+        if cut >= best[0]:
+            return
+        if g == len(sizes):
+            best[0] = cut
+            return
+
+        def deal(s, left, own):
+            if s == len(free):
+                if not left:
+                    go(g + 1, [f - x for f, x in zip(free, own, strict=True)], cut + (sizes[g] ** 2 - sum(x * x for x in own)) // 2)
+                return
+            for x in range(min(left, free[s]), -1, -1):
+                deal(s + 1, left - x, [*own, x])
+
+        deal(0, sizes[g], [])
+
+    go(0, goals, 0)
+    return best[0]
+
+
+@pytest.mark.parametrize("sizes,shards", [([4, 4, 3, 1], 3), ([5, 3, 2, 2, 1, 1], 3), ([7, 2, 1], 2), ([3, 3, 3], 2)])
+def test_sharding_cuts_about_as_few_links_as_can_be(spark, sizes, shards):
+    goals = [sum(sizes) // shards + (s < sum(sizes) % shards) for s in range(shards)]
+    cut = sum((n**2 - sum(x * x for x in own.values())) // 2 for n, own in zip(sizes, spread_over(spark, sizes, shards), strict=True))
+    assert cut <= fewest_cuts(sizes, goals) + 2
+
+
 # 4
 def test_packing(docs, none, definition, library_ids):
     rows = packing.pack(packing.pieces(docs, definition, with_ids=True)).collect()
