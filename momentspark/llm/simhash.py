@@ -293,8 +293,17 @@ def shared_shards(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(members: DataFrame, nodes: DataFrame, radius: int, total: int, threshold: float, spanning: bool, most: int, turn: int = 0) -> DataFrame:
-    """(a, b) with a < b, each once: `candidate_pairs` of all shards. members: shard, node. nodes: node, comp, n, w, m. `turn` reverses the order in shards if odd."""
+    """(a, b) with a < b, each once: `candidate_pairs` of all shards. members: shard, node. nodes: node, comp, n, w, m. `turn` reverses the order in shards if odd.
+
+    After the first turn only shards with texts of unlike components are dealt. Where all pairs are wanted, each comes from the least of the shards
+    that its texts share, so that the others make no row of it.
+    """
+    if turn:
+        mixed_ones = members.join(nodes.select("node", "comp"), "node").groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("shard")
+        members = members.join(mixed_ones, "shard", "left_semi")
     rows = members.join(nodes.select("node", "comp", "n", "w", "m"), "node")
+    if not spanning:
+        rows = rows.join(members.groupBy("node").agg(F.collect_list("shard").alias("shards")), "node")  # `bands` at most
     mixed = F.xxhash64("shard", "node")
     dealt = block_pairs(rows, "shard", "node", most).repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", mixed.desc() if turn % 2 else mixed.asc())
 
@@ -310,12 +319,15 @@ def candidates(members: DataFrame, nodes: DataFrame, radius: int, total: int, th
                     continue
                 values, near = w[x:y].view(np.uint64).tolist(), [int.from_bytes(m) for m in bits.slice(x, y - x).to_pylist()]
                 found = candidate_pairs(values, near, n[x:y].tolist(), comp[x:y].tolist(), None if lo[x] == hi[x] else own[x:y].tolist(), radius, total, threshold, spanning)
+                if not spanning:
+                    here, shared = int(t.column("shard")[x].as_py()), [set(s) for s in t.column("shards").slice(x, y - x).to_pylist()]
+                    found = [(i, j) for i, j in found if min(shared[i] & shared[j]) == here]
                 out += [(node[x + i], node[x + j]) for i, j in found]
             if out:
                 pairs = np.sort(np.array(out, dtype=np.int64), axis=1)
                 yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.select("shard", "lo", "hi", "own", "node", "comp", "n", "w", "m").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("shard", "lo", "hi", "own", "node", "comp", "n", "w", "m", *([] if spanning else ["shards"])).mapInArrow(run, "a long, b long").distinct()
 
 
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
