@@ -19,6 +19,13 @@ def basename(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("/")) & F.contains(url, F.lit(".")), F.element_at(F.split(url, "/"), -1))
 
 
+def relative_path(url: Column) -> Column:
+    """What follows `/static/` in a url, or else its last segment; null for a url that ends in a slash."""
+    at = F.locate("/static/", url)
+    last = F.element_at(F.split(url, "/"), -1)
+    return F.when(last != "", F.when(at > 0, F.substr(url, at + len("/static/"), F.length(url))).otherwise(last))
+
+
 def clock(frame: Column, fps: Column) -> Column:
     """HH:MM:SS.mmm of a frame; empty for an unknown rate or a negative frame."""
     ms = F.floor(frame / fps * 1000)

@@ -56,9 +56,10 @@ def single_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scoped_ensemble(spark: SparkSession, d: str) -> DataFrame:
-    found = search.ensemble_search(fx.vectors(spark, d), fx.queries(spark, d), fx.WEIGHTS, 50, M)
-    odd = found.withColumn("video", F.when(F.substring("video", 8, 1).cast("int") % 2 == 1, F.regexp_replace("video", "^L", "K")).otherwise(F.col("video")))
-    return search.in_groups(odd, [" k "]).select("query_id", "name", "video", "distance", "rank")
+    """Half of the videos are of group K; the scope is filled from 2,000 hits a model."""
+    odd = F.when(F.substring("video", 8, 1).cast("int") % 2 == 1, F.regexp_replace("video", "^L", "K")).otherwise(F.col("video"))
+    found = search.ensemble_search(fx.vectors(spark, d).withColumn("video", odd), fx.queries(spark, d), fx.WEIGHTS, 50, M, groups=[" k "])
+    return found.select("query_id", "name", "video", "distance", "rank")
 
 
 def one_per_video(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +107,7 @@ ORACLE_SQL = {
     "neighbor_rerank": f"WITH {RERANK} SELECT query_id, model, name, raw_score, score, n_neighbors, rank FROM reranked",
     "ensemble_fusion": f"WITH {RERANK}, {_fused('reranked')} SELECT query_id, name, video, distance, routes, n_routes, rank FROM fused",
     "single_model": f"WITH {ONE}, {_fused('hits')} SELECT query_id, name, video, distance, routes, n_routes, rank FROM fused",
-    "scoped_ensemble": f"WITH {RERANK}, {_fused('reranked', 50)} SELECT query_id, name, 'K' || substr(video, 2) AS video, distance, rank FROM fused WHERE CAST(substr(video, 8, 1) AS INT) % 2 = 1",
+    "scoped_ensemble": f"WITH {RERANK.replace(f'rank <= {M}', 'rank <= 2000')}, {_fused('reranked', 1_000_000)} SELECT query_id, name, 'K' || substr(video, 2) AS video, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, name) AS rank FROM fused WHERE CAST(substr(video, 8, 1) AS INT) % 2 = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, name) <= 50",
     "one_per_video": f"""WITH {RERANK}, {_fused('reranked')} SELECT query_id, video AS card, arg_min(name, rank) AS name, max(distance) AS distance, count(*) AS n, min(rank) AS first_rank,
         string_agg(name, ',' ORDER BY rank) AS members FROM fused GROUP BY query_id, video""",
     "min_max_percent": f"""WITH {RERANK}, {_fused('reranked')}, b AS (SELECT *, min(distance) OVER (PARTITION BY query_id) AS lo, max(distance) OVER (PARTITION BY query_id) AS hi FROM fused)

@@ -30,7 +30,7 @@ def _truth(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str) -> DataFrame:
     truth, ranked = _truth(spark, d), _ranked(spark, d)
     scored = ev.score_videos(truth.drop("intervals"), ranked).join(ev.score_intervals(truth, ranked).drop("truth_video", "intervals"), "query_id")
-    kind = F.when(F.col("query_id") % 3 == 0, "qa").otherwise("kis")
+    kind = F.when(F.col("query_id") % 3 == 0, "qa").when(F.col("query_id") % 8 == 0, "trake").otherwise("kis")
     status = F.when(F.col("query_id") % 7 == 0, "failed").otherwise("completed")
     return scored.select("*", (F.col("query_id") % 2).alias("run_id"), kind.alias("task_type"), status.alias("status"))
 
@@ -114,16 +114,17 @@ def event_plan(spark: SparkSession, d: str) -> DataFrame:
 RANKED = TOP + ", " + _fused("hits", 50) + ", ranked AS (SELECT f.query_id, f.name, f.video, f.rank, k.frame_idx FROM fused f JOIN keyframes k USING (name)), truth AS (SELECT vec_id AS query_id, video AS truth_video, frame_idx + 80 AS mid FROM keyframes WHERE vec_id % 20 = 0)"
 RESULTS = RANKED + """, fv AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS video_rank, string_agg(name, ',' ORDER BY rank) AS all_names FROM ranked GROUP BY query_id, video),
 hit AS (SELECT r.query_id, min(r.rank) AS hit_rank FROM ranked r JOIN truth t ON t.query_id = r.query_id AND t.truth_video = r.video WHERE r.frame_idx BETWEEN t.mid - 80 AND t.mid + 80 OR r.frame_idx BETWEEN t.mid + 360 AND t.mid + 440 GROUP BY r.query_id),
-res AS (SELECT t.query_id, t.truth_video, t.query_id % 2 AS run_id, CASE WHEN t.query_id % 3 = 0 THEN 'qa' ELSE 'kis' END AS task_type, CASE WHEN t.query_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status,
+res AS (SELECT t.query_id, t.truth_video, t.query_id % 2 AS run_id, CASE WHEN t.query_id % 3 = 0 THEN 'qa' WHEN t.query_id % 8 = 0 THEN 'trake' ELSE 'kis' END AS task_type, CASE WHEN t.query_id % 7 = 0 THEN 'failed' ELSE 'completed' END AS status,
   fv.video_rank, h.hit_rank, (CAST(coalesce(hit_rank <= 1, false) AS INT) + CAST(coalesce(hit_rank <= 5, false) AS INT) + CAST(coalesce(hit_rank <= 20, false) AS INT) + CAST(coalesce(hit_rank <= 50, false) AS INT) + CAST(coalesce(hit_rank <= 100, false) AS INT)) / 5.0::DOUBLE AS final_score
   FROM truth t LEFT JOIN fv ON fv.query_id = t.query_id AND fv.video = t.truth_video LEFT JOIN hit h ON h.query_id = t.query_id)"""
-_ok = "status = 'completed'"
+_ok, _scored = "status = 'completed'", "task_type <> 'trake'"
 SUMMARY = f"""count(*) AS total, count(*) FILTER ({_ok}) AS completed, count(*) FILTER (NOT {_ok}) AS failed,
 {', '.join(f"round(avg(CASE WHEN {_ok} AND video_rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS {n}" for k, n in ((1, 'hit_1'), (3, 'recall_3'), (5, 'recall_5'), (10, 'recall_10')))},
 round(avg(CASE WHEN {_ok} THEN coalesce(1.0::DOUBLE / video_rank, 0) ELSE 0 END), 6) AS mrr, quantile_cont(video_rank, 0.5) FILTER ({_ok}) AS median_rank, count(*) FILTER ({_ok} AND video_rank IS NULL) AS not_retrieved,
-round(avg(CASE WHEN {_ok} THEN final_score ELSE 0 END), 6) AS final_score,
-{', '.join(f"round(avg(CASE WHEN {_ok} AND hit_rank <= {c} THEN 1.0::DOUBLE ELSE 0 END), 6) AS r_{c}" for c in ev.CUTOFFS)},
-round(avg(CASE WHEN {_ok} AND hit_rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate, count(*) FILTER ({_ok} AND video_rank IS NOT NULL AND hit_rank IS NULL) AS video_hit_interval_miss"""
+round(avg(CASE WHEN {_ok} THEN final_score ELSE 0 END) FILTER ({_scored}), 6) AS final_score,
+{', '.join(f"round(avg(CASE WHEN {_ok} AND hit_rank <= {c} THEN 1.0::DOUBLE ELSE 0 END) FILTER ({_scored}), 6) AS r_{c}" for c in ev.CUTOFFS)},
+round(avg(CASE WHEN {_ok} AND hit_rank IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) FILTER ({_scored}), 6) AS hit_rate,
+CASE WHEN count(*) FILTER ({_scored}) > 0 THEN count(*) FILTER ({_scored} AND {_ok} AND video_rank IS NOT NULL AND hit_rank IS NULL) END AS video_hit_interval_miss"""
 TIMED = "t AS (SELECT event_type AS run_id, value * 40 AS latency_ms, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events)"
 ANCHORS = """a AS (SELECT l_orderkey AS task_id, l_linenumber AS anchor, CAST(l_suppkey % 3 AS VARCHAR) AS video, l_partkey % 200 AS frame, CAST(floor(l_quantity) AS INT) AS step,
   CASE l_returnflag WHEN 'A' THEN 'up' WHEN 'R' THEN 'down' ELSE 'both' END AS direction, l_partkey % 400 AS reach FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)"""
@@ -132,13 +133,16 @@ ORACLE_SQL = {
     "first_rank_videos": f"WITH {RESULTS} SELECT query_id, video, video_rank, array_to_string(list_slice(string_split(all_names, ','), 1, 3), ',') AS frames FROM fv",
     "interval_scoring": f"""WITH {RESULTS} SELECT r.query_id, r.truth_video, r.hit_rank, CASE WHEN x.frame_idx BETWEEN t.mid - 80 AND t.mid + 80 THEN 0 WHEN x.frame_idx IS NOT NULL THEN 1 END AS hit_interval, r.final_score
         FROM res r JOIN truth t USING (query_id) LEFT JOIN ranked x ON x.query_id = r.query_id AND x.rank = r.hit_rank""",
-    "run_summary": f"WITH {RESULTS} SELECT run_id, task_type, {SUMMARY} FROM res GROUP BY run_id, task_type UNION ALL SELECT run_id, 'all', {SUMMARY} FROM res GROUP BY run_id",
+    "run_summary": f"WITH {RESULTS} SELECT run_id, task_type, {SUMMARY} FROM res GROUP BY run_id, task_type UNION ALL SELECT run_id, 'all', {SUMMARY} FROM res GROUP BY run_id UNION ALL SELECT run_id, 'kis+qa', {SUMMARY} FROM res WHERE task_type <> 'trake' GROUP BY run_id",
     "result_slices": f"WITH {RESULTS} SELECT run_id, CASE WHEN status <> 'completed' THEN 'failed' WHEN video_rank IS NULL THEN 'video-miss' WHEN hit_rank IS NULL THEN 'video-hit-interval-miss' ELSE 'hit' END AS verdict, count(*) AS n FROM res GROUP BY ALL",
     "latency_percentiles": f"""WITH {TIMED} SELECT run_id, round(quantile_cont(latency_ms, 0.5) FILTER ({_ok}), 6) AS p50, round(quantile_cont(latency_ms, 0.95) FILTER ({_ok}), 6) AS p95, max(latency_ms) FILTER ({_ok}) AS max_ms,
         round(avg(CASE WHEN {_ok} AND latency_ms <= 10000 THEN 1.0::DOUBLE ELSE 0 END), 6) AS within_limit FROM t GROUP BY run_id""",
     "latency_outliers": f"WITH {TIMED}, m AS (SELECT run_id, quantile_cont(latency_ms, 0.5) AS median FROM t WHERE {_ok} GROUP BY run_id) SELECT run_id, count(*) FILTER (latency_ms > 3 * median AND latency_ms > 3000) AS n_outliers FROM t JOIN m USING (run_id) GROUP BY run_id",
     "pooled_score": """WITH o AS (SELECT o_orderpriority, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus)
         SELECT sha256('{"p":"' || o_orderpriority || '"}') AS fingerprint, count(*) AS runs, round(round(sum(v * n) / sum(n), 6), 3) AS final_score FROM o GROUP BY o_orderpriority""",
+    "bisection_spread": """WITH f AS (SELECT 0 AS i, 0.0::DOUBLE AS f UNION ALL SELECT 1, 1.0 UNION ALL SELECT 1 + (1 << (lv - 1)) + k, (2 * k + 1) / (1 << lv)::DOUBLE FROM (SELECT unnest(range(1, 6)) AS lv) l, (SELECT unnest(range(0, 16)) AS k) k WHERE k < 1 << (lv - 1)),
+        p AS (SELECT p_partkey AS range_id, CAST(floor(p_partkey + f * p_size * 10) AS BIGINT) AS frame, min(i) AS i FROM part, f GROUP BY ALL)
+        SELECT range_id, row_number() OVER (PARTITION BY range_id ORDER BY i) AS "order", frame FROM p QUALIFY "order" <= 9""",
     "uniform_step": """WITH o AS (SELECT c_custkey AS task_id, floor(abs(c_acctbal) / 5) AS half, c_nationkey + 5 AS need FROM customer)
         SELECT task_id, coalesce(max(step) FILTER (2 * floor(half / step) >= need), 1) AS step FROM o, (SELECT unnest(range(1, 2001)) AS step) GROUP BY task_id""",
     "anchor_spread": f"""WITH {ANCHORS}, steps AS (SELECT unnest(range(1, 21 + (SELECT max(n) FROM (SELECT count(*) AS n FROM a GROUP BY task_id)))) AS k),

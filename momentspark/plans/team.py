@@ -110,7 +110,8 @@ def keyframe_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_names(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select("page_id", media.basename(F.col("url")).alias("name"))
+    static = F.when(F.col("page_id") % 3 == 0, F.concat(F.col("url"), F.lit("/static/images/a.jpg"))).when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("/"))).otherwise(F.col("url"))
+    return read(spark, d, "pages").select("page_id", media.basename(F.col("url")).alias("name"), media.relative_path(static).alias("path"))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +198,7 @@ ORACLE_SQL = {
         SELECT vec_id, lpad(CAST(ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS clock,
         CAST(round_even(frame_idx / fps * 1000, 0) AS BIGINT) AS ms, frame_idx AS frame FROM m""",
     "keyframe_index": f"WITH {fx.KEYFRAMES} SELECT video, count(*) AS n, string_agg(CAST(frame_idx AS VARCHAR) || ':' || CAST(scene_id AS VARCHAR), ',' ORDER BY frame_idx) AS frames FROM keyframes GROUP BY video",
-    "page_names": "SELECT page_id, CASE WHEN contains(url, '/') AND contains(url, '.') THEN list_extract(string_split(url, '/'), -1) END AS name FROM pages",
+    "page_names": "SELECT page_id, CASE WHEN contains(url, '/') AND contains(url, '.') THEN list_extract(string_split(url, '/'), -1) END AS name, CASE WHEN page_id % 3 = 0 THEN 'images/a.jpg' WHEN page_id % 7 = 0 THEN NULL ELSE list_extract(string_split(url, '/'), -1) END AS path FROM pages",
     "latest_state": f"WITH {LOG} SELECT user_id, task_id, query, kind, ts FROM log QUALIFY row_number() OVER (PARTITION BY user_id, task_id ORDER BY ts DESC, event_id DESC) = 1",
     "first_seen": f"WITH {LOG} SELECT user_id, query, kind, event_id FROM log QUALIFY row_number() OVER (PARTITION BY user_id, query, kind ORDER BY ts, event_id) = 1",
     "attempt_folding": f"""WITH RECURSIVE log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT ts, event_id, user_id, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'q' || (event_id // 1000) END AS query,

@@ -29,6 +29,14 @@ def json_map(spark: SparkSession, path: str, key: str, value: str, kind: str = "
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{kind}>")).alias(key, value))
 
 
+def json_members(spark: SparkSession, path: str, key: str, value: str, kind: str = "string") -> DataFrame:
+    """As `json_map` for one object of any size: its members are read in pieces (`sources.objects`), where `json_map` holds it as a whole."""
+    from .objects import JsonObject
+
+    spark.dataSource.register(JsonObject)
+    return spark.read.format("json_object").schema(f"{key} string, {value} {kind}").load(path)
+
+
 def mapped_vectors(vectors: DataFrame, mapping: DataFrame, model: str) -> DataFrame:
     """Vectors (id, vec) of one model with the names that its mapping (id, url) gives: model, name, vec."""
     return vectors.join(mapping.select(F.col("id").cast("long").alias("id"), basename(F.col("url")).alias("name")), "id").where("name is not null").select(F.lit(model).alias("model"), "name", "vec")
