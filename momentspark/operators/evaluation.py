@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentspark.functions.vectors import readable
+
+from . import search
+
 CUTOFFS = (1, 5, 20, 50, 100)
 
 
@@ -89,3 +93,26 @@ def pooled(summaries: DataFrame, value: str = "final_score", weight: str = "tota
     """Runs with one configuration (sha-256 of its JSON) pooled: fingerprint, runs, value weighted by scored queries."""
     f = F.sha2("config", 256)
     return summaries.groupBy(f.alias("fingerprint")).agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum(F.col(value) * F.col(weight)) / F.sum(weight), 6).alias(value))
+
+
+def benchmark_run(vectors: DataFrame, queries: DataFrame, references: DataFrame, frames: DataFrame, weights: dict[str, float], k: int = 100, m: int = 50) -> DataFrame:
+    """All queries of runs as one job: run_id, query_id, task_type, truth_video, intervals, status, error, video_rank, reciprocal_rank, hit_rank, hit_interval, final_score.
+
+    queries: run_id, query_id, task_type, model, qvec. references: query_id, truth_video, intervals; they are frozen into the results, and a query without one fails. So
+    does one whose vector cannot be read for a model, or is not as long as most of the model's. What fails is a row with the reason and does not touch the others. The rest is searched by every
+    model, reranked and fused. frames: name, frame_idx. trake queries have no interval scores.
+    """
+    dims = vectors.where(readable(F.col("vec"))).groupBy("model").agg(F.mode(F.size("vec"), True).alias("dim"))
+    bad = ~readable(F.col("qvec")) | F.coalesce(F.size("qvec") != F.col("dim"), F.lit(False))
+    q = queries.join(dims, "model", "left").groupBy("run_id", "query_id", "task_type").agg(F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("model")))), ",").alias("bad"))
+    q = q.join(references.select("query_id", "truth_video", "intervals"), "query_id", "left")
+    error = F.when(F.col("truth_video").isNull(), "no reference").when(F.col("bad") != "", F.concat(F.lit("unreadable vector: "), "bad"))
+    judged = q.withColumn("error", error).drop("bad")
+    good = judged.where("error is null")
+    asked = queries.join(good.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "model", "qvec").dropDuplicates(["query_id", "model"])
+    ranked = search.ensemble_search(vectors, asked, weights, k, m).join(frames.select("name", "frame_idx"), "name", "left")
+    truth = good.select("query_id", "truth_video", "intervals").dropDuplicates(["query_id"])
+    scored = score_videos(truth.drop("intervals"), ranked).join(score_intervals(truth, ranked).select("query_id", "hit_rank", "hit_interval", "final_score"), "query_id").drop("truth_video")
+    out = judged.join(scored, "query_id", "left").withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed"))
+    timed = F.lower("task_type") != "trake"
+    return out.withColumns({c: F.when(timed, F.col(c)) for c in ("hit_rank", "hit_interval", "final_score")})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from momentspark.functions.text import split_query_text
-from momentspark.functions.vectors import dot
+from momentspark.functions.vectors import dot, readable
 
 from . import search, temporal
 
@@ -14,10 +14,12 @@ from . import search, temporal
 def score_in_videos(videos: DataFrame, events: DataFrame, frames: DataFrame) -> DataFrame:
     """Scores of the events of a group on the frames of its candidate videos only: the input of the alignments.
 
-    videos: group_id, video. events: group_id, event, qvec. frames: video, name, frame_idx, fps, pos, vec.
+    videos: group_id, video. events: group_id, event, qvec. frames: video, name, frame_idx, fps, pos, vec. A frame whose vector cannot be read, or is
+    not as long as the event's, scores -1: it stays in the video but is chosen last.
     """
     scored = videos.join(events, "group_id").join(frames, "video")
-    return scored.select("group_id", "event", "video", "name", "frame_idx", "fps", "pos", F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
+    score = F.when(readable(F.col("vec"), F.col("qvec")), F.round(dot(F.col("qvec"), F.col("vec")), 6)).otherwise(-1.0)
+    return scored.select("group_id", "event", "video", "name", "frame_idx", "fps", "pos", score.alias("score"))
 
 
 def discover_and_align(results: DataFrame, events: DataFrame, frames: DataFrame, n_events: int, gap_s: float = 60, top_videos: int = 5, min_score: float = 0.0, exact: bool = False, rates: tuple[float, ...] = (25.0, 30.0)) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from momentspark.functions.vectors import dot
+from momentspark.functions.vectors import dot, readable
 
 DIGITS = 6
 
@@ -27,8 +27,10 @@ def top_m(vectors: DataFrame, queries: DataFrame, m: int = 50, size: int = 2000)
     """The m best rows of each (query, model): query_id, model, name, video, pos, score, rank.
 
     Each query block is sent to every vector block of its model and meets it in one matrix product, which gives at most m rows a query; the products are
-    then merged by rank. Neither side is broadcast or collected, and the full score matrix never exists.
+    then merged by rank. Neither side is broadcast or collected, and the full score matrix never exists. Vectors that cannot be read (null, empty, not
+    finite) are found by no query, and a query meets only vectors of its own length.
     """
+    vectors, queries = vectors.where(readable(F.col("vec"))), queries.where(readable(F.col("qvec")))
     left = _blocks(vectors.withColumn("key", F.struct("name", "video", "pos")), "key", "vec", size).select("model", "blocks", "block", F.col("items").alias("v_items"))
     right = _blocks(queries, "query_id", "qvec", size).select("model", F.col("items").alias("q_items"))
     right = right.join(left.groupBy("model").agg(F.max("blocks").alias("blocks")), "model").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
@@ -37,18 +39,28 @@ def top_m(vectors: DataFrame, queries: DataFrame, m: int = 50, size: int = 2000)
         for pdf in frames:
             out = []
             for model, v_items, q_items in zip(pdf["model"], pdf["v_items"], pdf["q_items"], strict=True):
-                v = np.array([np.asarray(i["vec"], dtype=np.float64) for i in v_items])
-                q = np.array([np.asarray(i["vec"], dtype=np.float64) for i in q_items])
-                names = np.array([i["id"]["name"] for i in v_items], dtype=object)
-                by_name = np.argsort(names)
-                s = np.round(q @ v[by_name].T, DIGITS)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :m]
-                for k, picks in enumerate(best):
-                    ids = [v_items[by_name[p]]["id"] for p in picks]
-                    out.append(pd.DataFrame({"query_id": q_items[k]["id"], "model": model, "name": [i["name"] for i in ids], "video": [i["video"] for i in ids], "pos": [i["pos"] for i in ids], "score": s[k, picks]}))
+                lengths = {len(i["vec"]) for i in q_items}
+                if len(lengths | {len(i["vec"]) for i in v_items}) > 1:  # of unlike lengths: one after the other
+                    for n in lengths:
+                        one(model, [i for i in v_items if len(i["vec"]) == n], [i for i in q_items if len(i["vec"]) == n], out)
+                else:
+                    one(model, v_items, q_items, out)
             if out:
                 yield pd.concat(out)
 
+    def one(model, v_items, q_items, out):
+        if not len(v_items):
+            return
+        v = np.array([np.asarray(i["vec"], dtype=np.float64) for i in v_items])
+        q = np.array([np.asarray(i["vec"], dtype=np.float64) for i in q_items])
+        name, video = (np.array([i["id"][c] for i in v_items], dtype=object) for c in ("name", "video"))
+        pos, query = np.array([i["id"]["pos"] for i in v_items]), np.array([i["id"] for i in q_items])
+        by_name = np.argsort(name)
+        s = np.round(q @ v[by_name].T, DIGITS)
+        best = np.argsort(-s, axis=1, kind="stable")[:, :m]
+        of = by_name[best].ravel()
+        out.append(pd.DataFrame({"query_id": np.repeat(query, best.shape[1]), "model": model, "name": name[of], "video": video[of], "pos": pos[of], "score": np.take_along_axis(s, best, axis=1).ravel()}))
+
     scored = left.drop("blocks").join(right, ["model", "block"]).select("model", "v_items", "q_items").mapInPandas(product, "query_id long, model string, name string, video string, pos long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "model").orderBy(F.desc("score"), "name"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= m)
@@ -61,8 +73,8 @@ def rerank(hits: DataFrame, vectors: DataFrame, queries: DataFrame, reach: int =
     """
     steps = F.array(*[F.lit(d) for d in range(-reach, reach + 1) if d])
     asked = hits.select("query_id", "model", "name", "video", "pos", F.col("score").alias("raw_score"), F.explode(steps).alias("step")).withColumn("at", F.col("pos") + F.col("step"))
-    there = vectors.select("model", "video", F.col("pos").alias("at"), "vec")
-    joined = asked.join(there, ["model", "video", "at"], "left").join(queries, ["query_id", "model"])
+    there = vectors.where(readable(F.col("vec"))).select("model", "video", F.col("pos").alias("at"), "vec")
+    joined = asked.join(there, ["model", "video", "at"], "left").join(queries, ["query_id", "model"]).withColumn("vec", F.when(F.size("vec") == F.size("qvec"), F.col("vec")))
     sums = joined.groupBy("query_id", "model", "name", "video", "pos", "raw_score").agg(F.round(F.coalesce(F.sum(dot(F.col("qvec"), F.col("vec"))), F.lit(0.0)), DIGITS).alias("score"), F.count("vec").alias("n_neighbors"))
     rank = F.row_number().over(Window.partitionBy("query_id", "model").orderBy(F.desc("score"), F.desc("raw_score"), "name"))
     return sums.withColumn("rank", rank)

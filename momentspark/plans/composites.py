@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentspark.operators import expansion, pipelines, search, timeline
+from momentspark.operators import expansion, pipelines, search, temporal, timeline
 
 from . import fixtures as fx
 from .fixtures import read
@@ -38,6 +38,16 @@ def trake_discovery_dp(spark: SparkSession, d: str) -> DataFrame:
     return out.select("group_id", "video", "frequency", "total", F.array_join("path", ",").alias("path"))
 
 
+def trake_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy alignment in the query's own video, where each ninth frame has no vector or one cut short."""
+    k = fx.keyframes(spark, d)
+    groups = k.where("vec_id % 20 = 0").select(F.col("vec_id").alias("group_id"), "video")
+    events = groups.select("group_id", F.posexplode(F.sequence(F.col("group_id"), F.col("group_id") + 2)).alias("event", "vec_id")).join(k.select("vec_id", F.col("embedding").alias("qvec")), "vec_id").drop("vec_id")
+    vec = F.when(F.col("vec_id") % 9 == 4, F.lit(None)).when(F.col("vec_id") % 9 == 7, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
+    scored = pipelines.score_in_videos(groups, events, k.withColumn("vec", vec).select("video", "name", "frame_idx", "fps", "pos", "vec"))
+    return temporal.align_greedy(scored, 3, 60).withColumn("path", F.array_join("path", ","))
+
+
 def temporal_discovery(spark: SparkSession, d: str) -> DataFrame:
     hits = search.top_m(fx.vectors(spark, d).where("model = 'full'"), fx.queries(spark, d).where("model = 'full'"), M)
     return pipelines.discover_pairs(_grouped(hits, 2), _events(spark, d, 2), _frames(spark, d), threshold=0.05)
@@ -112,12 +122,13 @@ sc AS (SELECT t.group_id, q.query_id // 20 % {n} AS event, t.video, t.anchor, t.
   FROM top t JOIN queries q ON q.model = 'full' AND q.query_id // {20 * n} = t.group_id JOIN keyframes k ON k.video = t.video)"""
 
 
-QUERIES = {f.__name__: f for f in (trake_discovery, trake_discovery_dp, temporal_discovery, text_entry, request_routing, corpus_membership, reference_coverage, restorable_rows, majority_phase, run_progress, spread_on_keyframes, frame_sets)}
+QUERIES = {f.__name__: f for f in (trake_discovery, trake_discovery_dp, trake_unreadable, temporal_discovery, text_entry, request_routing, corpus_membership, reference_coverage, restorable_rows, majority_phase, run_progress, spread_on_keyframes, frame_sets)}
 ORACLE_SQL = {
     "trake_discovery": f"WITH {RERANK}, {_fused('reranked', 50)}, {_discovered('fused', 'distance', 3, 0)}, {_greedy(3)} SELECT g.group_id, g.video, t.frequency, g.total, g.path FROM g2 g JOIN top t USING (group_id, video)",
     "trake_discovery_dp": f"""WITH {RERANK}, {_fused('reranked', 50)}, {_discovered('fused', 'distance', 2, 0)},
         p AS (SELECT a.group_id, a.video, a.frequency, round(a.score + b.score, 6) AS total, a.frame_idx AS f1, b.frame_idx AS f2 FROM sc a JOIN sc b ON b.group_id = a.group_id AND b.video = a.video AND b.event = 1 AND b.frame_idx > a.frame_idx AND b.frame_idx - a.frame_idx <= 60 * a.fps WHERE a.event = 0)
         SELECT group_id, video, frequency, total, f1 || ',' || f2 AS path FROM p QUALIFY row_number() OVER (PARTITION BY group_id, video ORDER BY total DESC, f2, f1) = 1""",
+    "trake_unreadable": f"""WITH {fx.SCORES}, sc AS (SELECT s.* EXCLUDE (score), CASE WHEN k.vec_id % 9 IN (4, 7) THEN -1.0::DOUBLE ELSE score END AS score FROM scored s JOIN keyframes k USING (name)), {_greedy(3)} SELECT group_id, video, total, path FROM g2""",
     "temporal_discovery": f"""WITH {TOP}, {_discovered("(SELECT * FROM hits WHERE model = 'full')", 'score', 2, 0.05)},
         anchors AS (SELECT t.group_id, t.video, k.name, k.pos AS anchor_pos, k.frame_idx, k.fps FROM top t JOIN keyframes k ON k.name = t.anchor),
         sides AS (SELECT s.group_id, s.video, CASE s.event WHEN 0 THEN 's' ELSE 'e' END AS side, abs(s.pos - a.anchor_pos) AS dist, s.name, s.frame_idx, s.score FROM sc s JOIN anchors a USING (group_id, video)

@@ -11,7 +11,7 @@ from momentspark.operators import search
 
 from . import fixtures as fx
 from .fixtures import read
-from .retrieval import TOP, M, _fused
+from .retrieval import RERANK, TOP, M, _fused
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +47,15 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return ev.run_summary(_results(spark, d))
 
 
+def benchmark_run(spark: SparkSession, d: str) -> DataFrame:
+    """The queries as two runs; some have no reference, some a vector that is cut short or null."""
+    kind = F.when(F.col("query_id") % 3 == 0, "qa").when(F.col("query_id") % 8 == 0, "trake").otherwise("kis")
+    broken = F.when((F.col("query_id") % 70 == 0) & (F.col("model") == "low"), F.lit(None)).when((F.col("query_id") % 110 == 0) & (F.col("model") == "high"), F.slice("qvec", 1, 5)).otherwise(F.col("qvec"))
+    q = fx.queries(spark, d).select((F.col("query_id") % 2).alias("run_id"), "query_id", kind.alias("task_type"), "model", broken.alias("qvec"))
+    out = ev.benchmark_run(fx.vectors(spark, d), q, _truth(spark, d).where("query_id % 9 <> 0"), fx.keyframes(spark, d), fx.WEIGHTS, 50, M)
+    return out.select("run_id", "query_id", "task_type", "truth_video", "status", "error", "video_rank", F.round("reciprocal_rank", 9).alias("reciprocal_rank"), "hit_rank", "final_score")
+
+
 def result_slices(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d).groupBy("run_id", ev.verdict().alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -128,11 +137,20 @@ CASE WHEN count(*) FILTER ({_scored}) > 0 THEN count(*) FILTER ({_scored} AND {_
 TIMED = "t AS (SELECT event_type AS run_id, value * 40 AS latency_ms, CASE WHEN event_id % 11 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events)"
 ANCHORS = """a AS (SELECT l_orderkey AS task_id, l_linenumber AS anchor, CAST(l_suppkey % 3 AS VARCHAR) AS video, l_partkey % 200 AS frame, CAST(floor(l_quantity) AS INT) AS step,
   CASE l_returnflag WHEN 'A' THEN 'up' WHEN 'R' THEN 'down' ELSE 'both' END AS direction, l_partkey % 400 AS reach FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1)"""
-QUERIES = {f.__name__: f for f in (first_rank_videos, interval_scoring, run_summary, result_slices, latency_percentiles, latency_outliers, pooled_score, anchor_spread, event_variants, uniform_step, bisection_spread, event_plan)}
+QUERIES = {f.__name__: f for f in (first_rank_videos, interval_scoring, benchmark_run, run_summary, result_slices, latency_percentiles, latency_outliers, pooled_score, anchor_spread, event_variants, uniform_step, bisection_spread, event_plan)}
 ORACLE_SQL = {
     "first_rank_videos": f"WITH {RESULTS} SELECT query_id, video, video_rank, array_to_string(list_slice(string_split(all_names, ','), 1, 3), ',') AS frames FROM fv",
     "interval_scoring": f"""WITH {RESULTS} SELECT r.query_id, r.truth_video, r.hit_rank, CASE WHEN x.frame_idx BETWEEN t.mid - 80 AND t.mid + 80 THEN 0 WHEN x.frame_idx IS NOT NULL THEN 1 END AS hit_interval, r.final_score
         FROM res r JOIN truth t USING (query_id) LEFT JOIN ranked x ON x.query_id = r.query_id AND x.rank = r.hit_rank""",
+    "benchmark_run": f"""WITH {RERANK}, {_fused('reranked', 50)}, ranked AS (SELECT f.query_id, f.name, f.video, f.rank, k.frame_idx FROM fused f JOIN keyframes k USING (name)), truth AS (SELECT vec_id AS query_id, video AS truth_video, frame_idx + 80 AS mid FROM keyframes WHERE vec_id % 20 = 0),
+        fv AS (SELECT query_id, video, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS video_rank FROM ranked GROUP BY query_id, video),
+        hit AS (SELECT r.query_id, min(r.rank) AS hit_rank FROM ranked r JOIN truth t ON t.query_id = r.query_id AND t.truth_video = r.video WHERE r.frame_idx BETWEEN t.mid - 80 AND t.mid + 80 OR r.frame_idx BETWEEN t.mid + 360 AND t.mid + 440 GROUP BY r.query_id),
+        j AS (SELECT t.query_id, CASE WHEN t.query_id % 9 <> 0 THEN truth_video END AS truth_video, CASE WHEN t.query_id % 9 = 0 THEN 'no reference' WHEN t.query_id % 70 = 0 AND t.query_id % 110 = 0 THEN 'unreadable vector: high,low'
+            WHEN t.query_id % 70 = 0 THEN 'unreadable vector: low' WHEN t.query_id % 110 = 0 THEN 'unreadable vector: high' END AS error, CASE WHEN t.query_id % 3 = 0 THEN 'qa' WHEN t.query_id % 8 = 0 THEN 'trake' ELSE 'kis' END AS task_type FROM truth t)
+        SELECT j.query_id % 2 AS run_id, j.query_id, task_type, j.truth_video, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error, CASE WHEN error IS NULL THEN video_rank END AS video_rank,
+          CASE WHEN error IS NULL THEN round(coalesce(1.0::DOUBLE / video_rank, 0), 9) END AS reciprocal_rank, CASE WHEN error IS NULL AND task_type <> 'trake' THEN hit_rank END AS hit_rank,
+          CASE WHEN error IS NULL AND task_type <> 'trake' THEN (CAST(coalesce(hit_rank <= 1, false) AS INT) + CAST(coalesce(hit_rank <= 5, false) AS INT) + CAST(coalesce(hit_rank <= 20, false) AS INT) + CAST(coalesce(hit_rank <= 50, false) AS INT) + CAST(coalesce(hit_rank <= 100, false) AS INT)) / 5.0::DOUBLE END AS final_score
+        FROM j LEFT JOIN fv ON fv.query_id = j.query_id AND fv.video = j.truth_video LEFT JOIN hit ON hit.query_id = j.query_id""",
     "run_summary": f"WITH {RESULTS} SELECT run_id, task_type, {SUMMARY} FROM res GROUP BY run_id, task_type UNION ALL SELECT run_id, 'all', {SUMMARY} FROM res GROUP BY run_id UNION ALL SELECT run_id, 'kis+qa', {SUMMARY} FROM res WHERE task_type <> 'trake' GROUP BY run_id",
     "result_slices": f"WITH {RESULTS} SELECT run_id, CASE WHEN status <> 'completed' THEN 'failed' WHEN video_rank IS NULL THEN 'video-miss' WHEN hit_rank IS NULL THEN 'video-hit-interval-miss' ELSE 'hit' END AS verdict, count(*) AS n FROM res GROUP BY ALL",
     "latency_percentiles": f"""WITH {TIMED} SELECT run_id, round(quantile_cont(latency_ms, 0.5) FILTER ({_ok}), 6) AS p50, round(quantile_cont(latency_ms, 0.95) FILTER ({_ok}), 6) AS p95, max(latency_ms) FILTER ({_ok}) AS max_ms,

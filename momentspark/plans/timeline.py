@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from momentspark.functions import media
 from momentspark.operators import timeline as tl
 
 from . import fixtures as fx
@@ -98,14 +99,15 @@ def near_dup_scene(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offline_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The offline build: scores to cuts, pruned, to scenes, to sampled frames with names."""
-    s = _frame_scores(spark, d)
+    """The offline build: scores averaged over chunks, to cuts, pruned, to scenes, to sampled frames with names, times and neighbours."""
+    s = chunk_average(spark, d)
     cuts = tl.prune_cuts(tl.cut_runs(s, 0.9), 5)
     made = tl.scenes(cuts, s.groupBy("video").agg(F.count(F.lit(1)).alias("n_frames")), least=4).withColumn("fps", F.lit(1.0))
     sampled = tl.sample_scenes(made)
     scene = F.dense_rank().over(Window.partitionBy("video").orderBy("start")) - 1
     named = sampled.withColumn("scene_id", scene)
-    return named.select("video", "scene_id", "frame_idx", F.format_string("%s-%04d-%d.jpg", "video", "scene_id", "frame_idx").alias("name"))
+    named = named.select("video", "scene_id", "frame_idx", F.format_string("%s-%04d-%d.jpg", "video", "scene_id", "frame_idx").alias("name"), media.clock(F.col("frame_idx"), F.lit(1.0)).alias("clock"))
+    return named.join(tl.neighbor_list(named).withColumn("neighbors", F.array_join("neighbors", ",")), ["video", "name"])
 
 
 SPOKEN = """windows AS (SELECT doc_id, 'L21_V' || lpad(CAST(CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 10 AS VARCHAR), 3, '0') AS video,
@@ -119,6 +121,14 @@ def _runs(threshold: float) -> str:
 runs AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY min(frame_idx)) AS run, first(frame_idx ORDER BY p DESC, frame_idx) AS pos, max(p) AS p, count(*) AS n FROM r WHERE p >= {threshold} GROUP BY video, island)"""
 
 
+def _pruned(gap: int) -> str:
+    """Over `runs`: pruned (video, pos, p), by a recursion over each video's runs."""
+    row = "{'pos': r.pos, 'p': r.p}"
+    return f"""walk AS (SELECT DISTINCT video, 0::BIGINT AS i, []::STRUCT(pos BIGINT, p DOUBLE)[] AS k FROM runs
+  UNION ALL SELECT w.video, w.i + 1, CASE WHEN len(k) = 0 OR r.pos - k[len(k)].pos >= {gap} THEN list_append(k, {row}) WHEN r.p > k[len(k)].p THEN list_append(k[:len(k) - 1], {row}) ELSE k END FROM walk w JOIN runs r ON r.video = w.video AND r.run = w.i + 1),
+pruned AS (SELECT video, k.pos AS pos, k.p AS p FROM (SELECT video, unnest(k) AS k FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY video ORDER BY i DESC) = 1)))"""
+
+
 SCENES = "scenes AS (SELECT o_orderkey, o_orderkey AS start, o_orderkey + CAST(floor(o_totalprice / 100) AS BIGINT) AS \"end\", CASE WHEN o_orderkey % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS fps FROM orders)"
 QUERIES = {f.__name__: f for f in (asr_interval_join, nearest_keyframe, floor_ceil_keyframe, neighbor_list, chunk_average, cut_islands, cut_prune, cut_scenes, scene_sampling, scene_statistics, interval_merge, near_dup_scene, offline_frames)}
 ORACLE_SQL = {
@@ -130,6 +140,15 @@ ORACLE_SQL = {
     "neighbor_list": f"""WITH {fx.KEYFRAMES} SELECT k.video, k.name, coalesce(string_agg(o.name, ',' ORDER BY o.pos), '') AS neighbors FROM keyframes k LEFT JOIN keyframes o ON o.video = k.video AND abs(o.pos - k.pos) BETWEEN 1 AND 3 GROUP BY k.video, k.name""",
     "chunk_average": f"WITH {FRAME_SCORES} SELECT video, frame_idx, round(CASE WHEN frame_idx < 5 THEN p ELSE (p + (p + 0.25)) / 2 END, 6) AS p FROM s",
     "cut_islands": f"WITH {_runs(0.5)} SELECT video, run, pos, p, n FROM runs",
+    "cut_prune": f"WITH RECURSIVE {_runs(0.7)}, {_pruned(12)} SELECT video, pos, p FROM pruned",
+    "offline_frames": f"""WITH RECURSIVE {_runs(0.9).replace("s AS (SELECT", "s0 AS (SELECT", 1).replace(", r AS (", ", s AS (SELECT video, frame_idx, round(CASE WHEN frame_idx < 5 THEN p ELSE (p + (p + 0.25)) / 2 END, 6) AS p FROM s0), r AS (", 1)}, {_pruned(5)},
+        e AS (SELECT video, pos AS "end" FROM pruned UNION SELECT video, count(*) - 1 FROM s GROUP BY video), b AS (SELECT video, coalesce(lag("end") OVER (PARTITION BY video ORDER BY "end") + 1, 0) AS start, "end" FROM e),
+        l AS (SELECT *, "end" - start + 1 AS len, dense_rank() OVER (PARTITION BY video ORDER BY start) - 1 AS scene_id FROM b WHERE "end" - start + 1 >= 4),
+        n AS (SELECT *, CAST(greatest(2, least(40, CASE WHEN len <= 2 THEN 2 ELSE 2 + ceil((len - 2) / 2) END)) AS INT) AS n FROM l), m AS (SELECT *, least(3, floor((len - n) / 2)) AS m FROM n),
+        f AS (SELECT video, scene_id, unnest(CASE WHEN len <= n THEN range(start, "end" + 1) ELSE list_transform(range(0, n), lambda i: CAST(floor(start + m + i * ("end" - start - 2 * m) / (n - 1)) AS BIGINT)) END) AS frame_idx FROM m),
+        g AS (SELECT *, video || '-' || lpad(scene_id::VARCHAR, 4, '0') || '-' || frame_idx || '.jpg' AS name, row_number() OVER (PARTITION BY video ORDER BY frame_idx) AS pos FROM f)
+        SELECT video, name, scene_id, frame_idx, lpad((frame_idx // 3600)::VARCHAR, 2, '0') || ':' || lpad((frame_idx // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((frame_idx % 60)::VARCHAR, 2, '0') || '.000' AS clock,
+          coalesce((SELECT string_agg(o.name, ',' ORDER BY o.pos) FROM g o WHERE o.video = g.video AND abs(o.pos - g.pos) BETWEEN 1 AND 3), '') AS neighbors FROM g""",
     "cut_scenes": f"""WITH {_runs(0.9)}, e AS (SELECT video, pos AS "end" FROM runs UNION SELECT video, count(*) - 1 FROM s GROUP BY video),
         b AS (SELECT video, coalesce(lag("end") OVER (PARTITION BY video ORDER BY "end") + 1, 0) AS start, "end" FROM e) SELECT * FROM b WHERE "end" - start + 1 >= 4""",
     "scene_sampling": f"""WITH {SCENES}, l AS (SELECT *, "end" - start + 1 AS len, CASE WHEN fps = 25 THEN 42 ELSE 50 END AS base, fps * 2 AS more FROM scenes),
