@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import annotation, composites, reports, retrieval, scoring, team, text, timeline
+from . import annotation, composites, reports, retrieval, scoring, sources, team, text, timeline
 
-_MODULES = (retrieval, text, timeline, scoring, team, composites, annotation, reports)
+_MODULES = (retrieval, text, timeline, scoring, team, composites, annotation, reports, sources)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -173,6 +173,9 @@ scores AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE)
 QUERIES = {f.__name__: f for f in (accent_fold, split_terms, split_query_text, ocr_phrase, ocr_counts, ocr_multi_term, text_two_tier, text_batch_lookup, term_batch_lookup, regex_filter, bm25_docs, bm25_best_window, annotate_results)}
 ORACLE_SQL = {
     "accent_fold": f"SELECT doc_id, md5({FOLD.format('text')}) AS folded_md5, len({TOKENS.format('text')}) AS n_tokens FROM documents",
+    "split_terms": f"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '([0-9]),([0-9])', '\\1' || chr(1) || '\\2', 'g'), '[,;，；、]'),
+          lambda x: regexp_replace(replace(x, chr(1), ','), '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')), lambda x: x <> '') AS t FROM documents), k AS (SELECT *, list_transform(t, lambda x: {FOLD.format('x')}) AS keys FROM p)
+        SELECT doc_id, array_to_string(list_filter(t, lambda x, i: list_position(keys, keys[i]) = i)[1:5], '|') AS terms FROM k""",
     "split_query_text": """WITH p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(trim(text), '\\.\\s+'), lambda x: trim(regexp_replace(trim(x), '\\.+$', ''))), lambda x: x <> '') AS parts FROM benchmark)
         SELECT item_id, len(parts) AS n_parts, array_to_string(parts, '|') AS parts FROM p""",
     "ocr_phrase": f"WITH {_phrase(2, 2, 20)} SELECT query_id, name, is_phrase, rank FROM hits",

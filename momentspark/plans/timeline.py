@@ -140,6 +140,13 @@ ORACLE_SQL = {
     "neighbor_list": f"""WITH {fx.KEYFRAMES} SELECT k.video, k.name, coalesce(string_agg(o.name, ',' ORDER BY o.pos), '') AS neighbors FROM keyframes k LEFT JOIN keyframes o ON o.video = k.video AND abs(o.pos - k.pos) BETWEEN 1 AND 3 GROUP BY k.video, k.name""",
     "chunk_average": f"WITH {FRAME_SCORES} SELECT video, frame_idx, round(CASE WHEN frame_idx < 5 THEN p ELSE (p + (p + 0.25)) / 2 END, 6) AS p FROM s",
     "cut_islands": f"WITH {_runs(0.5)} SELECT video, run, pos, p, n FROM runs",
+    "near_dup_scene": f"""WITH RECURSIVE {fx.KEYFRAMES}, f AS (SELECT video, scene_id, frame_idx, name, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY video, scene_id ORDER BY frame_idx) AS i FROM keyframes),
+        walk AS (SELECT DISTINCT video, scene_id, 0::BIGINT AS i, []::STRUCT(i BIGINT, v DOUBLE[])[] AS k FROM f UNION ALL SELECT w.video, w.scene_id, w.i + 1,
+          CASE WHEN len(k) = 0 OR list_max(list_transform(k, lambda x: list_cosine_similarity(x.v, f.v))) < 0.15 THEN list_append(k, {{'i': f.i, 'v': f.v}}) ELSE k END FROM walk w JOIN f ON f.video = w.video AND f.scene_id = w.scene_id AND f.i = w.i + 1),
+        done AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY video, scene_id ORDER BY i DESC) = 1),
+        more AS (SELECT f.video, f.scene_id, f.i FROM done d JOIN f USING (video, scene_id) WHERE len(d.k) = 1 AND f.i <> d.k[1].i QUALIFY row_number() OVER (PARTITION BY f.video, f.scene_id ORDER BY list_cosine_similarity(d.k[1].v, f.v), f.i) = 1),
+        kept AS (SELECT video, scene_id, unnest(list_transform(k, lambda x: x.i)) AS i FROM done UNION ALL SELECT * FROM more)
+        SELECT video, scene_id, frame_idx, name FROM f JOIN kept USING (video, scene_id, i)""",
     "cut_prune": f"WITH RECURSIVE {_runs(0.7)}, {_pruned(12)} SELECT video, pos, p FROM pruned",
     "offline_frames": f"""WITH RECURSIVE {_runs(0.9).replace("s AS (SELECT", "s0 AS (SELECT", 1).replace(", r AS (", ", s AS (SELECT video, frame_idx, round(CASE WHEN frame_idx < 5 THEN p ELSE (p + (p + 0.25)) / 2 END, 6) AS p FROM s0), r AS (", 1)}, {_pruned(5)},
         e AS (SELECT video, pos AS "end" FROM pruned UNION SELECT video, count(*) - 1 FROM s GROUP BY video), b AS (SELECT video, coalesce(lag("end") OVER (PARTITION BY video ORDER BY "end") + 1, 0) AS start, "end" FROM e),
