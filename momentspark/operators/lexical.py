@@ -252,14 +252,13 @@ def pattern_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score (six places) of documents with any token of a query. docs: doc_id, text; blank ones count for nothing."""
-    d = docs.where(F.trim("text") != "").select("doc_id", tokens(F.col("text")).alias("tokens"))
-    lengths = d.select("doc_id", F.size("tokens").alias("dl"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    d = docs.where(F.trim("text") != "").select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    size = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     wanted = asked.select("token").distinct()
-    tf = d.select("doc_id", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    tf = d.select("doc_id", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighed = tf.join(lengths, "doc_id").join(df, "token").crossJoin(size)
+    weighed = tf.join(df, "token").crossJoin(size)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return weighed.select("token", "doc_id", part.alias("part")).join(asked, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
