@@ -13,6 +13,7 @@ from momentspark.sources import readers, writers
 from momentspark.streaming import activity
 
 
+# fixed values: what a rule of separators must give, whatever implements it
 @pytest.mark.parametrize(
     ("given", "want"),
     [("a, b", ["a", "b"]), ("1,5 kg; x", ["1,5 kg", "x"]), ("nuoc, nước", ["nuoc"]), ("，a；b、c", ["a", "b", "c"]), (",,", []), ("", []), ("2018,2019", ["2018,2019"]), ("a,b,c,d,e,f", ["a", "b", "c", "d", "e"]), (" x ", ["x"]), ("A; a", ["A"])],
