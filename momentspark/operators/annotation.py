@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd

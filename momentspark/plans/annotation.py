@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from momentspark.operators import annotation, lexical
 
 from .fixtures import read
-from .text import FOLD, TOKENS, _BM25, _ONE, _multi, _phrase, _pass, _terms, _two_tier, asked, texts
+from .text import FOLD, TOKENS, _BM25, _ONE, _multi, _phrase, _terms, _two_tier, asked, texts
 
 NOT_WORD = "[^0-9a-zA-ZÀ-ỹ]"
 

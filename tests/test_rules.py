@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from momentspark.functions import media, text
-from momentspark.operators import evaluation, expansion, lexical, pipelines, search, temporal, timeline
+from momentspark.operators import evaluation, expansion, lexical, search, temporal, timeline
 from momentspark.sources import readers, writers
 from momentspark.streaming import activity
 
