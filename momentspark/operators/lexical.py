@@ -2,13 +2,16 @@
 
 Queries come as a table, a stated set. One automaton (Aho and Corasick, 1975) of all words of up to `most_queries` queries finds in one pass over a
 text which of them it holds, however many there are; a query is looked at only where its longest word stands. Texts are folded
-and lowered once, before. Patterns have no such index: they are packed into rows of about a thousand, each of which meets every text once.
+and lowered once, before. A pattern is tried only on texts that hold the characters that every match of it must hold; those without such
+characters are packed into rows of about a thousand, each of which meets every text once. BM25 reads texts twice, once for the counts of the
+words asked for, once for scores, and shuffles only the counts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,22 @@ class _Finder:
         return out
 
 
+_BUILT: list = [None, None]  # of a worker: what it built last, after what it was built from
+
+
+def _once(value, build):
+    """build(value), kept for the next task of this worker."""
+    if _BUILT[0] is not value:
+        _BUILT[:] = value, build(value)
+    return _BUILT[1]
+
+
+def _blocks(rows: DataFrame, most: int) -> list[DataFrame]:
+    """Parts of about `most` rows, all rows of a query_id in one of them."""
+    n = max(1, -(-rows.count() // most))
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
+
+
 def _needles(terms: Column, norm) -> Column:
     """Of an array of terms: (term, needle, words) of those that are not blank."""
     each = F.transform(terms, lambda x, k: F.struct(k.cast("int").alias("term"), F.trim(norm(x)).alias("needle")))
@@ -94,10 +113,9 @@ def scan(texts: DataFrame, queries: DataFrame, most_queries: int = 50_000) -> Da
     source = texts.where(F.col("text").rlike(r"\S")).select(*(f.name for f in kept), F.length("text").alias("n"), F.lower("text").alias("_low"), _flat(F.col("text")).alias("_flat"))
     names = [*(f.name for f in kept), "n"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n int", f"query_id {as_type}", *(f"{c} long" for c in BITS)])
-    blocks = max(1, -(-asked.count() // most_queries))
     out = None
-    for k in range(blocks):
-        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)).collect()
+    for block in _blocks(asked, most_queries):
+        rows = block.collect()
         if any(r["n_terms"] > 62 for r in rows):
             raise ValueError("a query has more than 62 terms")
         part = source.mapInArrow(_scanner(texts.sparkSession.sparkContext.broadcast(rows), names), schema)
@@ -111,7 +129,7 @@ BITS = ("exact", "exact_phrase", "folded", "folded_phrase")
 def _scanner(shared, names: list[str]):
     def run(batches):
         rows = shared.value
-        low, flat = (_Finder([[tuple(t) for t in r[c] or []] for r in rows]) for c in ("exact", "folded"))
+        low, flat = _once(rows, lambda rows: [_Finder([[tuple(t) for t in r[c] or []] for r in rows]) for c in ("exact", "folded")])
         ids = pa.array([r["query_id"] for r in rows])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -226,42 +244,191 @@ def batch_term_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame
     return hits.join(video_ranks(hits, "place"), ["query_id", "video"]).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
 
 
-def invalid_patterns(patterns: DataFrame) -> DataFrame:
-    """query_id, pattern of those that are no regular expression of Java's. The stated patterns come to the driver to be compiled."""
-    spark = patterns.sparkSession
-    compile_, bad = spark._jvm.java.util.regex.Pattern.compile, []
-    for r in patterns.where(F.trim("pattern") != "").select("query_id", "pattern").collect():
-        try:
-            compile_(r["pattern"])
-        except Exception:  # PatternSyntaxException, by way of py4j
-            bad.append((r["query_id"], r["pattern"]))
-    return spark.createDataFrame(bad, patterns.select("query_id", "pattern").schema)
+def _compiles(spark, pattern: str) -> bool:
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except Exception:  # PatternSyntaxException, by way of py4j
+        return False
+
+
+def invalid_patterns(patterns: DataFrame, most_patterns: int = 50_000) -> DataFrame:
+    """query_id, pattern of those that are no regular expression of Java's. The stated patterns come to the driver to be compiled, `most_patterns` at a time."""
+    spark, p = patterns.sparkSession, patterns.where(F.trim("pattern") != "").select("query_id", "pattern")
+    bad = [(r["query_id"], r["pattern"]) for block in _blocks(p, most_patterns) for r in block.collect() if not _compiles(spark, r["pattern"])]
+    return spark.createDataFrame(bad, p.schema)
+
 
+def required(pattern: str) -> str:
+    """The longest run of ASCII letters, digits and spaces, lowered, that each match of a regular expression holds; '' if none is sure.
 
-def pattern_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    Groups and character classes count for nothing, nor does a character that may be left out; a pattern with alternatives, flags, quoting or
+    escapes other than of classes and signs has none.
+    """
+    if "|" in pattern or "(?" in pattern:
+        return ""
+    runs, run, depth, at = [], "", 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        at += 1
+        if c.isascii() and (c.isalnum() or c == " ") and not depth:
+            run += c.lower()
+            continue
+        if c in "?*{":
+            run = run[:-1]
+        runs.append(run)
+        run = ""
+        if c == "\\":
+            if pattern[at : at + 1].isalnum() and pattern[at] not in "dDwWsSbB":
+                return ""
+            at += 1
+        elif c == "{":
+            at = pattern.find("}", at) + 1 or len(pattern)
+        elif c == "[":
+            if "[" in pattern[at:].split("]")[0] or pattern[at : at + 1] in ("]", "^") or "\\" in pattern[at:].split("]")[0]:
+                return max(runs, key=len) if not depth else ""  # where such a class ends is left open
+            at = pattern.find("]", at) + 1 or len(pattern)
+        else:
+            depth += (c == "(") - (c == ")")
+    return max([*runs, run], key=len)
+
+
+#: Signs that are no ASCII letters but match some where case does not count.
+ALIKE = str.maketrans("İıſK", "iisk")
+
+
+def _suspects(shared):
+    """name, text, items (query_id, pattern): texts with the patterns whose required characters they hold."""
+
+    def build(rows):
+        import ahocorasick
+
+        words, numbers = ahocorasick.Automaton(), {}
+        for k, (_, _, word) in enumerate(rows):
+            numbers.setdefault(word, []).append(k)
+        for word, at in numbers.items():
+            words.add_word(word, at)
+        words.make_automaton()
+        return words, pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])
+
+    def run(batches):
+        words, ids, patterns = _once(shared.value, build)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                rows, met, ends = [], [], [0]
+                for r, text in enumerate(b.column("text").to_pylist()):
+                    found = {id(numbers): numbers for _, numbers in words.iter(text.translate(ALIKE).lower())}
+                    if found:
+                        rows.append(r)
+                        met += [k for numbers in found.values() for k in numbers]
+                        ends.append(len(met))
+                if rows:
+                    where, which = pa.array(rows, pa.int64()), pa.array(met, pa.int64())
+                    items = pa.StructArray.from_arrays([ids.take(which), patterns.take(which)], ["query_id", "pattern"])
+                    yield pa.record_batch([b.column("name").take(where), b.column("text").take(where), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["name", "text", "items"])
+
+    return run
+
+
+def pattern_search(texts: DataFrame, patterns: DataFrame, most_patterns: int = 50_000) -> DataFrame:
     """Texts that a regular expression (Java's, without case) matches: query_id, name, n_matched (characters of the first match).
 
-    patterns: query_id, pattern; null, blank and invalid ones (`invalid_patterns`) find nothing, and the others are searched all the same.
+    patterns: query_id, pattern; null, blank and invalid ones (`invalid_patterns`) find nothing, and the others are searched all the same. They
+    come to the driver, `most_patterns` at a time. One automaton of what patterns require (`required`) picks the texts to try each on; a pattern that
+    requires nothing is tried on every text.
     """
-    bad = invalid_patterns(patterns)
-    p = patterns.join(F.broadcast(bad.select("query_id").distinct()), "query_id", "left_anti") if not bad.isEmpty() else patterns
-    p = p.where(F.trim("pattern") != "").select("query_id", F.concat(F.lit("(?iu)"), "pattern").alias("pattern"))
-    hits = _meet(texts.select("name", "text"), p, ["query_id", "pattern"], lambda i: F.regexp_like(F.col("text"), i["pattern"]))
-    return hits.select("query_id", "name", F.length(F.regexp_substr("text", "pattern")).alias("n_matched"))
+    spark, p = texts.sparkSession, patterns.where(F.trim("pattern") != "").select("query_id", "pattern")
+    kind = p.schema["query_id"].dataType.simpleString()
+    as_type = "bigint" if kind in ("tinyint", "smallint", "int") else kind  # as Arrow infers it
+    t = texts.select("name", "text").where("text is not null")
+    matched = lambda i: F.regexp_like(F.col("text"), i["pattern"])
+    out = t.limit(0).select(F.lit(None).cast(as_type).alias("query_id"), "name", "text", F.lit(None).cast("string").alias("pattern"))
+    for block in _blocks(p, most_patterns):
+        rows = [(r["query_id"], f"(?iu){r['pattern']}", required(r["pattern"])) for r in block.collect() if _compiles(spark, r["pattern"])]
+        sure, open_ = [r for r in rows if r[2]], [r[:2] for r in rows if not r[2]]
+        if sure:
+            name = t.schema["name"].dataType.simpleString()
+            some = t.mapInArrow(_suspects(spark.sparkContext.broadcast(sure)), f"name {name}, text string, items array<struct<query_id: {as_type}, pattern: string>>")
+            hits = some.withColumn("items", F.filter("items", matched)).select("name", "text", F.inline("items"))
+            out = out.unionByName(hits)
+        if open_:
+            out = out.unionByName(_meet(t, spark.createDataFrame(open_, p.schema), ["query_id", "pattern"], matched).withColumn("query_id", F.col("query_id").cast(as_type)))
+    return out.select(F.col("query_id").cast(kind).alias("query_id"), "name", F.coalesce(F.length(F.regexp_substr("text", "pattern")), F.lit(0)).alias("n_matched"))
+
+
+def _entries(tokens_: pa.ListArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of a word, how often it stands there) for those of `words` in arrays of tokens."""
+    number = pc.index_in(tokens_.flatten(), value_set=words)
+    known = number.is_valid()
+    row = pc.list_parent_indices(tokens_).filter(known).to_numpy().astype(np.int64)
+    key, times = np.unique(row * len(words) + number.filter(known).to_numpy(), return_counts=True)
+    return key // len(words), key % len(words), times
+
+
+def _counter(shared):
+    """Of a task: (-2, texts), (-1, tokens), and of each word asked for (its number, texts that have it)."""
+
+    def run(batches):
+        words = shared.value
+        texts, length, df = 0, 0, np.zeros(len(words), dtype=np.int64)
+        for b in batches:
+            texts += b.num_rows
+            length += int(pc.sum(pc.list_value_length(b.column("tokens"))).as_py() or 0)
+            df += np.bincount(_entries(b.column("tokens"), words)[1], minlength=len(words))
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.concatenate([[-2, -1], some])), pa.array(np.concatenate([[texts, length], df[some]]))], names=["word", "n"])
+
+    return run
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score (six places) of documents with any token of a query. docs: doc_id, text; blank ones count for nothing."""
-    d = docs.where(F.trim("text") != "").select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    size = d.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+def _scorer(shared, k1: float, b: float):
+    def run(batches):
+        words, idf, start, asking, ids, mean = shared.value
+        for batch in batches:
+            row, word, times = _entries(batch.column("tokens"), words)
+            length = pc.list_value_length(batch.column("tokens")).to_numpy()[row]
+            part = idf[word] * times * (k1 + 1) / (times + k1 * (1 - b + b * length / mean))
+            many = start[word + 1] - start[word]  # queries that ask for the word
+            which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[word], many)
+            pair, place = np.unique(np.repeat(row, many) * len(ids) + asking[which], return_inverse=True)
+            if len(pair):
+                score = np.bincount(place, weights=np.repeat(part, many))
+                yield pa.record_batch([ids.take(pa.array(pair % len(ids))), batch.column("doc_id").take(pa.array(pair // len(ids))), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, most_words: int = 500_000) -> DataFrame:
+    """query_id, doc_id, score (six places) of documents with any token of a query. docs: doc_id, text; blank ones count for nothing.
+
+    The words of queries come to the driver, `most_words` at a time, and for each such block two passes go over the texts: counts of the words,
+    summed in each task, and scores, each made where its text is. Rows with one doc_id are documents of their own.
+    """
+    spark = docs.sparkSession
+    d = docs.where(F.trim("text") != "").select("doc_id", tokens(F.col("text")).alias("tokens"))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "doc_id": d.schema["doc_id"].dataType.simpleString()}
+    as_type = "bigint" if kinds["query_id"] in ("tinyint", "smallint", "int") else kinds["query_id"]  # as Arrow infers it
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    wanted = asked.select("token").distinct()
-    tf = d.select("doc_id", "dl", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighed = tf.join(df, "token").crossJoin(size)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return weighed.select("token", "doc_id", part.alias("part")).join(asked, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    out = d.limit(0).select(F.lit(None).cast(as_type).alias("query_id"), "doc_id", F.lit(None).cast("double").alias("score"))
+    for block in _blocks(asked, most_words):
+        rows = block.collect()
+        words, number = np.unique(np.array([r["token"] for r in rows], dtype=object), return_inverse=True)
+        if not len(words):
+            continue
+        ids = list(dict.fromkeys(r["query_id"] for r in rows))
+        place = {q: k for k, q in enumerate(ids)}
+        order = np.argsort(number, kind="stable")
+        asking = np.array([place[r["query_id"]] for r in rows], dtype=np.int64)[order]
+        start = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(words)))])
+        words = pa.array(words.tolist(), pa.string())
+        counts = d.select("tokens").mapInArrow(_counter(spark.sparkContext.broadcast(words)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        n = {r["word"]: r["n"] for r in counts.collect()}
+        df = np.array([n.get(k, 0) for k in range(len(words))])
+        idf = np.log(1 + (n.get(-2, 0) - df + 0.5) / (df + 0.5))
+        shared = spark.sparkContext.broadcast((words, idf, start, asking, pa.array(ids), n.get(-1, 0) / max(1, n.get(-2, 0))))
+        out = out.union(d.mapInArrow(_scorer(shared, k1, b), f"query_id {as_type}, doc_id {kinds['doc_id']}, score double"))
+    return out.select(F.col("query_id").cast(kinds["query_id"]).alias("query_id"), "doc_id", F.round("score", 6).alias("score"))
 
 
 def best_window(scores: DataFrame, windows: DataFrame) -> DataFrame:
