@@ -90,7 +90,7 @@ def _shown_with(texts: DataFrame, asked: DataFrame, corpus: DataFrame) -> DataFr
     one = lexical.two_tier_search(texts, asked.where("mode = 'substring' and not multi").select("query_id", F.col("terms")[0].alias("query")), corpus=corpus)
     one = one.select("query_id", "video", "name", "tier", F.array(F.struct(F.lit(0).alias("term"), F.col("tier").alias("tier"))).alias("found"), F.col("place").cast("long").alias("place"), "video_rank", "n_videos", F.col("is_phrase").alias("exact_phrase"))
     many = lexical.term_search(texts.select("name", "video", "text"), asked.where("mode = 'substring' and multi").select("query_id", "terms"), corpus=corpus)
-    many = many.join(lexical.video_ranks(many, "place"), ["query_id", "video"])
+    many = lexical.with_video_ranks(many, "place")
     many = many.select("query_id", "video", "name", F.when(F.col("worst_tier") == 2, "exact").otherwise("normalized").alias("tier"), F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tier"].alias("tier"))).alias("found"), F.col("place").cast("long").alias("place"), "video_rank", "n_videos", F.col("all_phrases").alias("exact_phrase"))
     matched = _matching(texts, asked, "frame_idx", found).select("*", _none("int").alias("video_rank"), _none("long").alias("n_videos"), _none("boolean").alias("exact_phrase"))
     return one.unionByName(many).unionByName(matched)

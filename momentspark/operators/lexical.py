@@ -195,18 +195,18 @@ def term_search(texts: DataFrame, queries: DataFrame, corpus: DataFrame | None =
     keys = [F.desc("n_terms"), F.desc("worst_tier"), F.desc("n_phrases"), "n", "name"]
     per_pass = lambda words, phrase: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.bit_count(words)), F.desc(F.bit_count(phrase)), "n", "name"))
     ranked = hits.withColumn("pass_rank", F.when(F.col("worst_tier") == 2, per_pass("exact", "exact_phrase")).otherwise(per_pass("folded", "folded_phrase")))
-    totals = hits.groupBy("query_id").agg(F.count_if(F.col("exact") > 0).alias("_exact"), F.count_if(F.col("folded") > 0).alias("_folded"))
-    ranked = ranked.join(totals, "query_id").withColumn("pass_total", F.when(F.col("worst_tier") == 2, F.col("_exact")).otherwise(F.col("_folded")))
+    total = lambda words: F.count_if(F.col(words) > 0).over(Window.partitionBy("query_id"))
+    ranked = ranked.withColumn("pass_total", F.when(F.col("worst_tier") == 2, total("exact")).otherwise(total("folded")))
     ranked = ranked if corpus is None else ranked.join(corpus.select("video").distinct(), "video", "left_semi")
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*keys)))
     return ranked.select(*shown, "query_id", "n_terms", "worst_tier", "n_phrases", (F.col("n_phrases") == F.col("n_terms")).alias("all_phrases"), "place", "pass_rank", "pass_total", _term_hits().alias("terms"))
 
 
-def video_ranks(hits: DataFrame, order: str) -> DataFrame:
-    """query_id, video, video_rank, n_videos: videos numbered by their first hit in `order`."""
-    first = hits.groupBy("query_id", "video").agg(F.min(order).alias("first"))
-    every = Window.partitionBy("query_id")
-    return first.select("query_id", "video", F.row_number().over(every.orderBy("first")).alias("video_rank"), F.count(F.lit(1)).over(every).alias("n_videos"))
+def with_video_ranks(hits: DataFrame, order: str) -> DataFrame:
+    """Adds video_rank, n_videos: the videos of a query numbered by their first hit in `order`, and how many there are."""
+    first = hits.withColumn("_first", F.min(order).over(Window.partitionBy("query_id", "video")))
+    numbered = first.withColumn("video_rank", F.dense_rank().over(Window.partitionBy("query_id").orderBy("_first"))).drop("_first")
+    return numbered.withColumn("n_videos", F.max("video_rank").over(Window.partitionBy("query_id")).cast("long"))
 
 
 def two_tier_search(texts: DataFrame, queries: DataFrame, most: int = 5000, corpus: DataFrame | None = None) -> DataFrame:
@@ -222,15 +222,13 @@ def two_tier_search(texts: DataFrame, queries: DataFrame, most: int = 5000, corp
         F.when(F.col("folded") > 0, F.struct(F.lit("normalized").alias("tier"), (F.col("folded_phrase") > 0).alias("is_phrase"))),
     )
     each = hits.select("query_id", "name", "video", "n", (F.col("exact") > 0).alias("is_exact"), F.inline(F.array_compact(passes)))
-    totals = each.groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("n_matched"))
     rank = F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(F.desc("is_phrase"), "n", "name"))
-    each = each.withColumn("rank", rank).where(F.col("rank") <= most)
+    each = each.withColumn("n_matched", F.count(F.lit(1)).over(Window.partitionBy("query_id", "tier"))).withColumn("rank", rank).where(F.col("rank") <= most)
     # of a text that both passes kept, the exact hit; one that the exact pass cut off may still be a normalised one
     once = each.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "name").orderBy("tier"))).where("first = 1")
     once = once if corpus is None else once.join(corpus.select("video").distinct(), "video", "left_semi")
     once = once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", "rank")))
-    out = once.join(video_ranks(once, "place"), ["query_id", "video"]).join(totals, ["query_id", "tier"])
-    return out.select("query_id", "name", "video", "tier", "is_phrase", "rank", "n_matched", "place", "video_rank", "n_videos")
+    return with_video_ranks(once, "place").select("query_id", "name", "video", "tier", "is_phrase", "rank", "n_matched", "place", "video_rank", "n_videos")
 
 
 def batch_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, most: int = 5000, corpus: DataFrame | None = None) -> DataFrame:
@@ -241,7 +239,7 @@ def batch_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, mos
 def batch_term_lookup(texts: DataFrame, queries: DataFrame, requested: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """`term_search` with video_rank and n_videos, for requested (query_id, video) only; ranks are over all videos (of the corpus). texts: name, video, text."""
     hits = term_search(texts.select("name", "video", "text"), queries, corpus)
-    return hits.join(video_ranks(hits, "place"), ["query_id", "video"]).join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
+    return with_video_ranks(hits, "place").join(requested.select("query_id", "video").distinct(), ["query_id", "video"], "left_semi")
 
 
 def _compiles(spark, pattern: str) -> bool:
