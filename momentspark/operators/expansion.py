@@ -54,9 +54,19 @@ def event_variants(anchors: DataFrame) -> DataFrame:
 
 
 def uniform_step(ranges: DataFrame, most: int = 2000) -> DataFrame:
-    """The greatest step in 1 to `most` that still gives a task its rows: ranges (task_id, half, need) to task_id, step (1 if none does)."""
-    tried = ranges.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("task_id", "step").agg(F.sum(2 * F.floor(F.col("half") / F.col("step"))).alias("rows"), F.max("need").alias("need"))
-    return tried.groupBy("task_id").agg(F.coalesce(F.max(F.when(F.col("rows") >= F.col("need"), F.col("step"))), F.lit(1)).alias("step"))
+    """The greatest step in 1 to `most` that still gives a task its rows: ranges (task_id, half, need) to task_id, step (1 if none does).
+
+    Steps are tried within a task's row, so that only its ranges are shuffled: by halving, as longer steps give no more rows, and one by one for
+    a task with a negative half.
+    """
+    tasks = ranges.groupBy("task_id").agg(F.collect_list("half").alias("halves"), F.max("need").alias("need"))
+    rows = lambda step: F.aggregate("halves", F.lit(0).cast("bigint"), lambda n, half: n + 2 * F.floor(half / step))
+    enough = lambda step: F.coalesce(rows(step) >= F.col("need"), F.lit(False))
+    bits = F.array(*[F.lit(2**i) for i in reversed(range(most.bit_length()))])
+    halved = F.aggregate(bits, F.lit(0), lambda step, bit: step + F.when((step + bit <= most) & enough(step + bit), bit).otherwise(0))
+    tried = F.array_max(F.filter(F.sequence(F.lit(1), F.lit(most)), enough))
+    best = F.when(F.exists("halves", lambda half: half < 0), tried).when(F.size("halves") > 0, F.nullif(halved, F.lit(0)))
+    return tasks.select("task_id", F.coalesce(best, F.lit(1)).alias("step"))
 
 
 def bisection(ranges: DataFrame, most: int = 64) -> DataFrame:
