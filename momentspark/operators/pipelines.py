@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentspark.functions.text import split_query_text
@@ -11,6 +11,11 @@ from momentspark.functions.vectors import dot, readable
 from . import search, temporal
 
 
+def score_of(qvec: Column, vec: Column) -> Column:
+    """The score of a frame for an event; -1 if its vector cannot be read or is not as long."""
+    return F.when(readable(vec, qvec), F.round(dot(qvec, vec), 6)).otherwise(-1.0)
+
+
 def score_in_videos(videos: DataFrame, events: DataFrame, frames: DataFrame) -> DataFrame:
     """Scores of the events of a group on the frames of its candidate videos only: the input of the alignments.
 
@@ -18,8 +23,7 @@ def score_in_videos(videos: DataFrame, events: DataFrame, frames: DataFrame) ->
     not as long as the event's, scores -1: it stays in the video but is chosen last.
     """
     scored = videos.join(events, "group_id").join(frames, "video")
-    score = F.when(readable(F.col("vec"), F.col("qvec")), F.round(dot(F.col("qvec"), F.col("vec")), 6)).otherwise(-1.0)
-    return scored.select("group_id", "event", "video", "name", "frame_idx", "fps", "pos", score.alias("score"))
+    return scored.select("group_id", "event", "video", "name", "frame_idx", "fps", "pos", score_of(F.col("qvec"), F.col("vec")).alias("score"))
 
 
 def discover_and_align(results: DataFrame, events: DataFrame, frames: DataFrame, n_events: int, gap_s: float = 60, top_videos: int = 5, min_score: float = 0.0, exact: bool = False, rates: tuple[float, ...] = (25.0, 30.0)) -> DataFrame:
@@ -39,7 +43,11 @@ def discover_pairs(results: DataFrame, events: DataFrame, frames: DataFrame, gap
     top = search.discover_videos(results, threshold, part="event").where(F.col("rank") <= top_videos)
     key = F.concat_ws("/", F.col("group_id").cast("string"), "video").alias("query_id")
     anchors = top.select("group_id", "video", F.col("anchor_name").alias("name")).join(frames.select("name", "frame_idx", "fps", "pos"), "name")
-    scored = score_in_videos(top.select("group_id", "video"), events, frames).join(anchors.select("group_id", "video", F.col("pos").alias("anchor_pos")), ["group_id", "video"])
+    # a pair lies within `max_frames` places of its anchor: only these frames are joined, by places, and scored
+    places = anchors.select("group_id", "video", F.col("pos").alias("anchor_pos"), F.explode(F.sequence(F.col("pos") - max_frames, F.col("pos") + max_frames)).alias("pos"))
+    side = F.when(F.col("event") == 0, F.col("pos") <= F.col("anchor_pos")).otherwise(F.col("pos") >= F.col("anchor_pos"))
+    near = places.join(frames, ["video", "pos"]).join(events.where("event in (0, 1)"), "group_id").where(side)
+    scored = near.select("group_id", "event", "video", "name", "frame_idx", "fps", "pos", "anchor_pos", score_of(F.col("qvec"), F.col("vec")).alias("score"))
     dist = F.abs(F.col("pos") - F.col("anchor_pos")).cast("int").alias("dist")
     start = scored.where("event = 0 and pos <= anchor_pos").select(key, F.lit("start").alias("side"), dist, "name", "frame_idx", "score")
     end = scored.where("event = 1 and pos >= anchor_pos").select(key, F.lit("end").alias("side"), dist, "name", "frame_idx", "score")
