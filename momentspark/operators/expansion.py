@@ -72,13 +72,15 @@ def uniform_step(ranges: DataFrame, most: int = 2000) -> DataFrame:
 def bisection(ranges: DataFrame, most: int = 64) -> DataFrame:
     """Both ends, then the middles of what lies between, level by level: ranges (range_id, lo, hi, k <= most) to range_id, order, frame.
 
-    The positions of a level are its odd binary fractions, so no recursion is needed; repeats drop, the first k stay.
+    The positions of a level are its odd binary fractions, so no recursion is needed; repeats drop, the first k stay. All of it
+    happens within a range's row.
     """
     levels = max(1, (most - 1).bit_length() + 1)
     fractions = [0.0, 1.0] + [(2 * i + 1) / 2**lv for lv in range(1, levels + 1) for i in range(2 ** (lv - 1))]
-    rows = ranges.select("range_id", "lo", "hi", "k", F.posexplode(F.array(*[F.lit(f) for f in fractions])).alias("i", "f")).withColumn("frame", F.floor(F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))))
-    first = rows.groupBy("range_id", "frame", "k").agg(F.min("i").alias("i"))
-    return first.withColumn("order", F.row_number().over(Window.partitionBy("range_id").orderBy("i"))).where(F.col("order") <= F.col("k")).select("range_id", "order", "frame")
+    ends = ranges.groupBy("range_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("ends"))
+    level = lambda f: F.transform(F.array_sort("ends"), lambda e: F.floor(e["lo"] + f * (e["hi"] - e["lo"])))
+    frames = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(f) for f in fractions]), level)))
+    return ends.select("range_id", F.posexplode(F.slice(frames, 1, F.greatest(F.col("k"), F.lit(0)))).alias("order", "frame")).withColumn("order", F.col("order") + 1).select("range_id", "order", "frame")
 
 
 def event_plan(anchors: DataFrame, ranges: DataFrame, existing: DataFrame) -> DataFrame:
