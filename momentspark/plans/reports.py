@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentspark.operators import reports, temporal
+from momentspark.operators import reports
 
 from . import fixtures as fx
 from .fixtures import read
@@ -49,7 +49,7 @@ def versioned_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def candidates_in_time_order(spark: SparkSession, d: str) -> DataFrame:
-    best = temporal.event_candidates(fx.event_scores(spark, d), 10)
+    best = fx.event_best(spark, d, 10)
     return reports.in_time_order(best, ["group_id", "event"]).select("group_id", "event", "name", "place")
 
 
