@@ -26,6 +26,29 @@ def score_in_videos(videos: DataFrame, events: DataFrame, frames: DataFrame) ->
     return scored.select("group_id", "event", "video", "name", "frame_idx", "fps", "pos", score_of(F.col("qvec"), F.col("vec")).alias("score"))
 
 
+def _first_in_videos(videos: DataFrame, events: DataFrame, frames: DataFrame) -> DataFrame:
+    """The best frame of event 0 in each candidate video (of equal ones the earliest): group_id, video, frame_idx, score. By a streamed top-M whose models
+    are the videos; a frame that scores -1 because it cannot be read, or is of another length, competes with what is found."""
+    asked = videos.join(events.where("event = 0"), "group_id").select(F.col("group_id").alias("query_id"), F.col("video").alias("model"), "qvec")
+    found = search.top_m(frames.select(F.col("video").alias("model"), "name", "video", F.col("frame_idx").alias("pos"), "vec"), asked, 1, tie="pos").select("query_id", "model", "score", F.col("pos").alias("frame_idx"))
+    length = F.when(readable(F.col("vec")), F.size("vec")).otherwise(-1)
+    earliest = frames.groupBy(F.col("video").alias("model"), length.alias("length")).agg(F.min("frame_idx").alias("frame_idx"))
+    unlike = asked.join(earliest, "model").where(~readable(F.col("qvec")) | (F.col("length") != F.size("qvec"))).select("query_id", "model", F.lit(-1.0).alias("score"), F.col("frame_idx").cast("long").alias("frame_idx"))
+    best = found.unionByName(unlike).groupBy("query_id", "model").agg(F.max(F.struct("score", (-F.col("frame_idx")).alias("early"))).alias("b"))
+    return best.select(F.col("query_id").alias("group_id"), F.col("model").alias("video"), (-F.col("b.early")).alias("frame_idx"), F.col("b.score").alias("score"))
+
+
+def score_after_first(videos: DataFrame, events: DataFrame, frames: DataFrame, n_events: int, gap_s: float) -> DataFrame:
+    """Of `score_in_videos`, what a greedy alignment can look at: the best frame of event 0, and frames of later events as far behind it as all gaps reach."""
+    first = _first_in_videos(videos, events, frames)
+    width = frames.groupBy("video").agg(F.greatest(gap_s * (n_events - 1) * F.max("fps"), F.lit(1.0)).alias("width"))
+    bucket = lambda c: F.floor(F.col(c) / F.col("width"))
+    starts = first.join(width, "video").select("group_id", "video", F.col("frame_idx").alias("start"), "width", F.explode(F.array(bucket("frame_idx"), bucket("frame_idx") + 1)).alias("bucket"))
+    near = starts.join(frames.join(width, "video").withColumn("bucket", bucket("frame_idx")).drop("width"), ["video", "bucket"]).where("frame_idx > start and frame_idx <= start + width")
+    later = near.join(events.where(f"event between 1 and {n_events - 1}"), "group_id").select("group_id", "event", "video", "frame_idx", "fps", score_of(F.col("qvec"), F.col("vec")).alias("score"))
+    return later.unionByName(first.select("group_id", F.lit(0).alias("event"), "video", "frame_idx", F.lit(None).cast("double").alias("fps"), "score"))
+
+
 def discover_and_align(results: DataFrame, events: DataFrame, frames: DataFrame, n_events: int, gap_s: float = 60, top_videos: int = 5, min_score: float = 0.0, exact: bool = False, rates: tuple[float, ...] = (25.0, 30.0)) -> DataFrame:
     """Ordered events without a given video: group_id, video, frequency, total, path.
 
@@ -33,8 +56,12 @@ def discover_and_align(results: DataFrame, events: DataFrame, frames: DataFrame,
     (`exact`) by dynamic programming; those where an event has no frame drop out.
     """
     top = search.discover_videos(results, min_score, part="event").where(F.col("rank") <= top_videos)
-    scored = score_in_videos(top.select("group_id", "video"), events, frames)
-    paths = temporal.align_dp(scored, n_events, gap_s, list(rates)) if exact else temporal.align_greedy(scored, n_events, gap_s)
+    videos = top.select("group_id", "video")
+    if exact:
+        paths = temporal.align_dp(score_in_videos(videos, events, frames), n_events, gap_s, list(rates))
+    else:
+        scored = score_after_first(videos, events, frames, n_events, gap_s) if gap_s else score_in_videos(videos, events, frames)
+        paths = temporal.align_greedy(scored, n_events, gap_s)
     return paths.join(top.select("group_id", "video", "frequency"), ["group_id", "video"])
 
 
