@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -60,8 +60,8 @@ DEEPEST = 200
 PLAIN_PARTS = set("list box container wrapper wrap section area block slot bar panel unit group inner outer link links item items post posts button buttons form thread count top bottom left right main primary secondary mobile desktop".split())
 PARTS = set("div section ul ol dl table figure details fieldset center address main".split())
 OWN_WORDS = set("byline author date dateline time published meta summary lead intro abstract title subtitle headline caption".split())
-#: Two lists of children longer than this in product are aligned by their common ends only.
-MOST_CELLS = 400_000
+#: Unfinished wrappers of a host in a task; further ones go out as they are and are aligned with the others later.
+OPEN_KINDS = 8
 
 
 class Node:
@@ -269,33 +269,55 @@ def _gather(groups: list, other: list) -> list:
 
 
 def common_sequence(x: list, y: list) -> list[tuple[int, int]]:
-    """Places of a longest common sequence. Equal ends are matched first; the table for what is between has at most `MOST_CELLS` cells, and
-    beyond that only items that stand once on both sides and in one order are matched."""
+    """Places of a longest common sequence. Equal ends are matched first.
+
+    What is between has no bound: a row of the table is one whole number, whose bit j tells that leaving out item j of `y` makes the longest
+    sequence shorter (Hyyroe, 2004). Every k-th row is kept, k being about the root of how many there are, and those between are made again on the way back.
+    """
     head = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
     tail = next((k for k, (a, b) in enumerate(zip(reversed(x[head:]), reversed(y[head:]))) if a != b), min(len(x), len(y)) - head)
-    n, m = len(x) - head - tail, len(y) - head - tail
-    pairs, i, j = [(k, k) for k in range(head)], 0, 0
-    a, b = x[head : head + n], y[head : head + m]
-    if n * m > MOST_CELLS:
-        once, last = Counter(a), -1
-        in_b, of_b = {k: p for p, k in enumerate(b)}, Counter(b)
-        for i, k in enumerate(a):
-            if once[k] == of_b[k] == 1 and in_b[k] > last:
-                last = in_b[k]
-                pairs.append((head + i, head + last))
-    elif n and m:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
+    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+    n, m = len(a), len(b)
+    pairs = [(k, k) for k in range(head)]
+    if n and m:
+        where: dict = {}  # from an item to its places in b, counted from its end
+        for j, item in enumerate(b):
+            where[item] = where.get(item, 0) | 1 << (m - 1 - j)
+        full, every = (1 << m) - 1, math.isqrt(n) + 1
+
+        def above(row: int, item) -> int:
+            met = row & where.get(item, 0)
+            return (row + met | row - met) & full
+
+        kept, row = {n: full}, full  # a bit is off where the sequence grows
         for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < n and j < m:
+            row = above(row, a[i])
+            if i % every == 0:
+                kept[i] = row
+        rows: dict[int, int] = {}
+
+        def at(i: int) -> int:
+            if i not in rows:
+                last = min(n, (i // every + 1) * every)
+                rows.clear()
+                rows[last] = kept[last]
+                for k in range(last - 1, i - 1, -1):
+                    rows[k] = above(rows[k + 1], a[k])
+            return rows[i]
+
+        length = lambda row, j: m - j - (row & (1 << (m - j)) - 1).bit_count()
+        i, j, below = 0, 0, length(at(1), 0)  # below: the longest of a[i + 1:] and b[j:]
+        here = length(kept[0], 0)
+        while i < n and j < m and here:
             if a[i] == b[j]:
                 pairs.append((head + i, head + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
+                i, j, here = i + 1, j + 1, here - 1
+                below = length(at(i + 1), j) if i < n else 0
+            elif below == here:
                 i += 1
+                below = length(at(i + 1), j) if i < n else 0
             else:
+                below -= at(i + 1) >> (m - 1 - j) & 1 ^ 1
                 j += 1
     return pairs + [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
 
@@ -450,23 +472,33 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """(host, wrapper string): from all pages of each host in each task, then aligned over tasks.
 
     Pages stay where they are; only wrappers are shuffled, first by (host, task group), then by host, so that a common host's
-    wrappers do not meet in one task at once. Null and empty pages teach nothing. A page of one host that would bring its wrapper in a task beyond
-    `most_groups` groups is left out there: it is of another kind than those before, and still is matched with the wrapper.
+    wrappers do not meet in one task at once. Null and empty pages teach nothing, all others do: a page that would bring its host's wrapper in a task beyond
+    `most_groups` groups is of another kind and begins one of its own. Of these `OPEN_KINDS` at most are held for a host; where there are more, the
+    one not met for longest goes out. All wrappers of a host are aligned with each other in the end, those of all kinds too.
     """
 
     def partial(batches):
         from pyspark import TaskContext
 
-        have: dict[str, list] = {}
+        part = TaskContext.get().partitionId()
+        rows = lambda found: pa.record_batch([pa.array([h for h, _ in found], pa.string()), pa.array([part] * len(found), pa.int32()), pa.array([json.dumps(w) for _, w in found], pa.string())], names=["host", "part", "wrapper"])
+        have: dict[str, list] = {}  # the kinds of a host, the one met last at the end
         for b in slices(batches, "h"):
+            gone = []
             for name, page in zip(b.column("host").to_pylist(), b.column("h").to_pylist(), strict=True):
                 if page:
-                    new = wrapper_of(parse(page))
-                    new = align(have[name], new) if name in have else new
-                    if name not in have or _size(new) <= most_groups:
-                        have[name] = new
-        part = TaskContext.get().partitionId()
-        yield pa.record_batch([pa.array(list(have), pa.string()), pa.array([part] * len(have), pa.int32()), pa.array([json.dumps(w) for w in have.values()], pa.string())], names=["host", "part", "wrapper"])
+                    new, kinds = wrapper_of(parse(page)), have.setdefault(name, [])
+                    for k in range(len(kinds) - 1, -1, -1):
+                        both = align(kinds[k], new)
+                        if _size(both) <= most_groups:
+                            del kinds[k]
+                            new = both
+                            break
+                    kinds.append(new)
+                    if len(kinds) > OPEN_KINDS:
+                        gone.append((name, kinds.pop(0)))
+            yield rows(gone)
+        yield rows([(name, w) for name, kinds in have.items() for w in kinds])
 
     def together(pdf):
         import pandas as pd
