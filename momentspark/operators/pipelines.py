@@ -57,7 +57,9 @@ def discover_and_align(results: DataFrame, events: DataFrame, frames: DataFrame,
     """
     top = search.discover_videos(results, min_score, part="event").where(F.col("rank") <= top_videos)
     videos = top.select("group_id", "video")
-    if exact:
+    if exact and gap_s:
+        paths = temporal.align_frames(videos, events, frames, n_events, gap_s)
+    elif exact:
         paths = temporal.align_dp(score_in_videos(videos, events, frames), n_events, gap_s, list(rates))
     else:
         scored = score_after_first(videos, events, frames, n_events, gap_s) if gap_s else score_in_videos(videos, events, frames)

@@ -7,9 +7,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from momentspark.functions.vectors import readable
+
 
 def take_while(scored: DataFrame, keys: list[str], threshold: float, order: str = "dist") -> DataFrame:
     """Rows of each key up to the first score below the threshold."""
@@ -65,6 +70,113 @@ def align_dp(scored: DataFrame, n_events: int, gap_s: float | None, rates: list[
     return total.groupBy(key, "video").agg(F.max("best").alias("b")).select(key, "video", F.col("b.total").alias("total"), F.col("b.path").alias("path"))
 
 
+def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """From a length to the rows of that length and their matrix; null rows are in none."""
+    n = pc.list_value_length(column).fill_null(0).to_numpy()
+    of = {int(size): np.flatnonzero(n == size) for size in np.unique(n[n > 0])}
+    return {size: (rows, column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), size)) for size, rows in of.items()}
+
+
+def _best_before(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest of rows lo to hi - 1 in each column and its row, the first of equal ones; -inf where there is none. By maxima of 1, 2, 4, ... rows, two to a range."""
+    out, row = np.full((len(lo), v.shape[1]), -np.inf), np.zeros((len(lo), v.shape[1]), dtype=np.int64)
+    at, width, size = np.repeat(np.arange(len(v))[:, None], v.shape[1], axis=1), 1, hi - lo
+    while (size >= width).any():
+        on = np.flatnonzero((size >= width) & (size < 2 * width))
+        left, right = lo[on], hi[on] - width
+        later = v[right] > v[left]
+        out[on], row[on] = np.where(later, v[right], v[left]), np.where(later, at[right], at[left])
+        later = v[width:] > v[:-width]
+        v, at = np.where(later, v[width:], v[:-width]), np.where(later, at[width:], at[:-width])
+        width *= 2
+    return out, row
+
+
+class _Paths:
+    """The best path of each group of a block while the frames of a video go by in order."""
+
+    def __init__(self, asked: pa.Table, n_events: int, gap_s: float, unread: float | None):
+        self.ids = np.unique(asked["group_id"].to_numpy())
+        place, event, self.gap_s, self.unread = np.searchsorted(self.ids, asked["group_id"].to_numpy()), asked["event"].to_numpy(), gap_s, -np.inf if unread is None else unread
+        vectors = [asked["vec"].combine_chunks().filter(pa.array(event == e)) for e in range(n_events)]
+        self.events = [[(size, place[event == e][rows], x) for size, (rows, x) in _matrices(v).items()] for e, v in enumerate(vectors)]
+        self.there = [np.isin(np.arange(len(self.ids)), place[event == e]) for e in range(n_events)]
+        shape = len(self.ids)
+        self.tails = [(np.zeros(0), np.zeros((0, shape)), np.zeros((0, shape, e + 1), dtype=np.int64)) for e in range(n_events - 1)]
+        self.total, self.path = np.full(shape, -np.inf), np.zeros((shape, n_events), dtype=np.int64)
+
+    def meet(self, frame: np.ndarray, reach: np.ndarray, vectors: pa.Array) -> None:
+        """Frames in order, how far a frame may lie behind the one before it, and their vectors."""
+        frames, best, path = _matrices(vectors), None, None
+        own = np.broadcast_to(frame[:, None, None], (len(frame), len(self.ids), 1))
+        for e, of_event in enumerate(self.events):
+            score = np.where(self.there[e], self.unread, -np.inf) * np.ones((len(frame), 1))
+            for size, groups, q in of_event:
+                if size in frames:
+                    score[np.ix_(frames[size][0], groups)] = np.round(frames[size][1] @ q.T, 6)
+            if e == 0:
+                best, path = score, own
+                continue
+            f, before, paths = (np.concatenate(x) for x in zip(self.tails[e - 1], (frame, best, path), strict=True))
+            keep = f >= frame[-1] - np.nanmax(reach, initial=0)
+            self.tails[e - 1] = f[keep], before[keep], paths[keep]
+            lo, hi = np.searchsorted(f, frame - reach), len(f) - len(frame) + np.arange(len(frame))
+            prev, row = _best_before(before, lo, hi)
+            best = np.round(prev + score, 6)
+            path = np.concatenate([paths[row, np.arange(len(self.ids))], own], axis=2)
+        last, column = best.argmax(axis=0), np.arange(len(self.ids))
+        new = best[last, column] > self.total
+        self.total[new], self.path[new] = best[last, column][new], path[last, column][new]
+
+
+def align_frames(videos: DataFrame, events: DataFrame, frames: DataFrame, n_events: int, gap_s: float, unread: float | None = -1.0, size: int = 500) -> DataFrame:
+    """`align_dp` from vectors, without a table of scores: group_id, video, total, path.
+
+    videos: group_id, video. events: group_id, event, qvec. frames: video, frame_idx, fps, vec (a video has one rate). The groups of a video are dealt into blocks
+    of about `size`; the video's frames go past each block once, in order (sorted by Spark), scores are matrix products, and of what went by only the frames
+    that a gap reaches are held. So what is shuffled is the frames once for each block, and what a task holds is bounded whatever the length
+    of a video. A frame that cannot be read or is not as long as the event's vector scores `unread` (None: it is left out).
+    """
+    schema = "group_id long, video string, total double, path array<bigint>"
+    sound = lambda c: F.when(readable(F.col(c)), F.transform(c, lambda x: x.cast("double"))).alias("vec")
+    blocks = videos.groupBy("video").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    asked = videos.join(blocks, "video").join(events.where(F.col("event").between(0, n_events - 1)), "group_id")
+    asked = asked.select("video", F.pmod(F.xxhash64("group_id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), F.col("group_id").cast("long").alias("group_id"), F.col("event").cast("int").alias("event"), none("long", "frame_idx"), none("double", "fps"), sound("qvec"))
+    shown = frames.join(blocks, "video").select("video", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), none("long", "group_id"), none("int", "event"), F.col("frame_idx").cast("long").alias("frame_idx"), F.col("fps").cast("double").alias("fps"), sound("vec"))
+
+    def run(batches):
+        now, asked, paths = None, [], None
+
+        def done():
+            if paths is not None:
+                on = np.flatnonzero(np.isfinite(paths.total))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * n_events, pa.int32()), pa.array(paths.path[on].reshape(-1)))
+                yield pa.record_batch([pa.array(paths.ids[on]), pa.array([now[0]] * len(on), pa.string()), pa.array(paths.total[on]), flat], names=["group_id", "video", "total", "path"])
+
+        for whole in batches:
+            keys = list(zip(whole.column("video").to_pylist(), whole.column("block").to_pylist(), whole.column("kind").to_pylist(), strict=True))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else [0]
+            for lo, hi in zip(edges, edges[1:]):
+                if keys[lo][:2] != now:
+                    yield from done()
+                    now, asked, paths = keys[lo][:2], [], None
+                part = whole.slice(lo, hi - lo)
+                if keys[lo][2] == 0:
+                    asked.append(part)
+                    continue
+                if paths is None and asked:
+                    paths = _Paths(pa.Table.from_batches(asked), n_events, gap_s, unread)
+                for at in range(0, part.num_rows if paths is not None else 0, 256):
+                    b = part.slice(at, 256)
+                    paths.meet(b.column("frame_idx").to_numpy(), gap_s * b.column("fps").to_numpy(zero_copy_only=False), b.column("vec"))
+        yield from done()
+
+    key = ["video", "block"]
+    tasks = 4 * frames.sparkSession.sparkContext.defaultParallelism
+    return asked.unionByName(shown.where("frame_idx is not null")).repartition(tasks, *key).sortWithinPartitions(*key, "kind", "frame_idx").mapInArrow(run, schema)
+
+
 def align_greedy(scored: DataFrame, n_events: int, gap_s: float | None, key: str = "group_id") -> DataFrame:
     """Event by event, the best frame after the one picked before, within the gap; ties go to the earliest. Videos where
     an event has no frame drop out: key, video, total, path."""
