@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _in_tasks(tasks: DataFrame, answer, schema: str) -> DataFrame:
+    """answer(row), a generator of tuples, for each row of `tasks` (one a task): task_id and the tuples, with their numbers from 1 as rank."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kind = tasks.schema["task_id"].dataType.simpleString()
+
+    def run(batches):
+        types = _arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                rows = b.drop_columns(["task_id"]).to_pylist()
+                found, of, rank = [], [], []
+                for k, row in enumerate(rows):
+                    n = len(found)
+                    found += answer(row)
+                    of += [k] * (len(found) - n)
+                    rank += range(1, len(found) - n + 1)
+                columns = zip(*found, strict=True) if found else [[]] * len(names)
+                yield pa.record_batch([b.column("task_id").take(pa.array(of, pa.int64())), *(pa.array(list(c), types.field(n).type) for n, c in zip(names, columns, strict=True)), pa.array(rank, pa.int32())], names=["task_id", *names, "rank"])
+
+    return tasks.mapInArrow(run, f"task_id {kind}, {schema}, rank int")
+
+
+def _arrow_schema(schema: str) -> pa.Schema:
+    """Of columns of longs, strings and arrays of longs."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+
+
+def _by_anchor(a: dict) -> tuple:
+    return a["anchor"] is not None, a["anchor"]
+
+
 def anchor_spread(anchors: DataFrame, existing: DataFrame) -> DataFrame:
     """task_id, anchor, video, frame, rank: frames at k steps from each anchor, for k = 1, 2, ..., then up before down, then anchor.
 
@@ -83,6 +117,59 @@ def bisection(ranges: DataFrame, most: int = 64) -> DataFrame:
     return ends.select("range_id", F.posexplode(F.slice(frames, 1, F.greatest(F.col("k"), F.lit(0)))).alias("order", "frame")).withColumn("order", F.col("order") + 1).select("range_id", "order", "frame")
 
 
+def _nearest_first(lo: int, hi: int, n: int, base: int):
+    """Of n whole numbers evenly from lo to hi (`even_positions`) those that are not base, nearest first, the lesser of two first."""
+    if n == hi - lo + 1 and n > 1:  # all of them, one by one
+        down, up = min(base - 1, hi), max(base + 1, lo)
+        while down >= lo or up <= hi:
+            if down >= lo and (up > hi or base - down <= up - base):
+                yield down
+                down -= 1
+            else:
+                yield up
+                up += 1
+        return
+    picks = {lo} if n == 1 or lo == hi else {round(lo + i * (hi - lo) / (n - 1)) for i in range(n)}
+    yield from sorted(picks - {base}, key=lambda x: (abs(x - base), x))
+
+
+def _plan(task: dict):
+    """(anchor, video, frames) of one task, pass by pass."""
+    anchors, windows, need = sorted(task["anchors"], key=_by_anchor), task["windows"] or [], task["need"]
+    reference, budget = anchors[0]["frames"], need * 8 + 64
+    there, left = {(e["video"], tuple(e["frames"])) for e in task["there"] or ()}, need
+    for want in (-(-need // (len(anchors) * max(1, len(windows)))), budget):
+        moves = []  # in the order of a level: by event, then by anchor
+        for event, w in enumerate(windows):
+            for a in anchors:
+                if w and event < len(a["frames"]) and a["frames"][event] is not None and w["lo"] is not None and w["hi"] is not None:
+                    base = a["frames"][event]
+                    shift = base - reference[event] if event < len(reference) and reference[event] is not None else 0
+                    lo, hi = sorted((w["lo"] + shift, w["hi"] + shift))
+                    lo, hi = max(0, lo, base if w["mode"] == "up" else 0), min(hi, base) if w["mode"] == "down" else hi
+                    if hi >= lo:
+                        moves.append((event, a, _nearest_first(lo, hi, min(want, hi - lo + 1), base)))
+        tried = 0
+        while moves and tried < budget:
+            going = []
+            for event, a, picks in moves:
+                new = next(picks, None)
+                if new is None:
+                    continue
+                going.append((event, a, picks))
+                tried += 1
+                if tried > budget:
+                    break
+                frames = (*a["frames"][:event], new, *a["frames"][event + 1 :])
+                if all(x is not None and x >= 0 for x in frames) and (a["video"], frames) not in there:
+                    there.add((a["video"], frames))
+                    yield a["anchor"], a["video"], frames
+                    left -= 1
+                    if not left:
+                        return
+            moves = going
+
+
 def event_plan(anchors: DataFrame, ranges: DataFrame, existing: DataFrame) -> DataFrame:
     """Answers that change one event of an anchor and keep the others: task_id, anchor, video, frames, rank.
 
@@ -91,23 +178,10 @@ def event_plan(anchors: DataFrame, ranges: DataFrame, existing: DataFrame) -> Da
     anchor and moves along with the frame of another one; events without a window stay. Each event first gets its share of `need`,
     evenly over its window, then, if that is not enough, a dense pass of 8 * need + 64. In both passes rows go by how near the change is
     among its event's, then event, then anchor; a pass gives no more than 8 * need + 64. What exists or came before is skipped.
+    Anchors and existing answers of a task are gathered in one row and changed there until the task has its rows, so that candidates are not shuffled.
     """
-    count = anchors.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_anchors"), F.min_by("frames", "anchor").alias("reference"))
-    events = anchors.join(ranges, "task_id").join(count, "task_id").where("need > 0").select("*", F.posexplode("frames").alias("event", "base")).where(F.col("event") < F.size("windows"))
-    shift = F.col("base") - F.coalesce(F.get("reference", F.col("event")), F.col("base"))
-    window, budget = F.get("windows", F.col("event")), F.col("need") * 8 + 64
-    quota = F.ceil(F.col("need") / (F.col("n_anchors") * F.greatest(F.size("windows"), F.lit(1))))
-    events = events.withColumn("dense", F.explode(F.array(F.lit(0), F.lit(1))))
-    asked = events.select(
-        F.struct("task_id", F.col("anchor").alias("of"), "dense").alias("task_id"), "event", F.col("base").alias("anchor"), (window["lo"] + shift).alias("lo"), (window["hi"] + shift).alias("hi"),
-        window["mode"].alias("direction"), F.when(F.col("dense") == 0, quota).otherwise(budget).cast("int").alias("want"),
-    )
-    found = event_variants(asked).select("task_id.task_id", F.col("task_id.of").alias("anchor"), "task_id.dense", "event", F.col("frame").alias("new"), F.col("order").alias("k"))
-    within = F.row_number().over(Window.partitionBy("task_id", "dense").orderBy("k", "event", "anchor"))
-    found = found.join(ranges.select("task_id", "need"), "task_id").withColumn("i", within).where(F.col("i") <= budget)
-    rows = found.join(anchors.select("task_id", "anchor", "video", "frames"), ["task_id", "anchor"])
-    changed = F.transform("frames", lambda x, i: F.when(i == F.col("event"), F.col("new")).otherwise(x))
-    rows = rows.withColumn("frames", changed).where(F.forall("frames", lambda x: x >= 0)).join(existing.select("task_id", "video", "frames").distinct(), ["task_id", "video", "frames"], "left_anti")
-    first = rows.groupBy("task_id", "video", "frames").agg(F.min(F.struct("dense", "k", "event", "anchor")).alias("place"), F.max("need").alias("need"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy("place")))
-    return ranked.where(F.col("rank") <= F.col("need")).select("task_id", F.col("place.anchor").alias("anchor"), "video", "frames", "rank")
+    tasks = anchors.groupBy("task_id").agg(F.collect_list(F.struct("anchor", "video", F.coalesce("frames", F.array().cast("array<bigint>")).alias("frames"))).alias("anchors"))
+    there = existing.where("video is not null and frames is not null").groupBy("task_id").agg(F.collect_set(F.struct("video", "frames")).alias("there"))
+    tasks = tasks.join(ranges.where("need > 0"), "task_id").join(there, "task_id", "left")
+    found = _in_tasks(tasks, _plan, "anchor long, video string, frames array<long>")
+    return found.withColumn("anchor", F.col("anchor").cast(dict(anchors.dtypes)["anchor"]))
