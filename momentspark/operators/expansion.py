@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,31 +42,45 @@ def _by_anchor(a: dict) -> tuple:
     return a["anchor"] is not None, a["anchor"]
 
 
+def _spread(task: dict):
+    """(anchor, video, frame) of one task, level by level, until it has its rows."""
+    there = {(e["video"], e["frame"]) for e in task["there"] or ()}
+    beside, left = Counter(v for v, _ in there), max(a["need"] for a in task["anchors"])
+    moves = []  # in the order of a level
+    for sign in (1, -1):
+        for a in sorted(task["anchors"], key=_by_anchor):
+            if a["direction"] not in (("down",) if sign > 0 else ("up",)):
+                last = a["need"] + beside[a["video"]]
+                last = min(last, a["reach"] // a["step"]) if (a["reach"] or 0) > 0 else last
+                moves.append((a["anchor"], a["video"], a["frame"], sign * a["step"], min(last, a["frame"] // a["step"]) if sign < 0 else last))
+    k = 1
+    while left and (moves := [m for m in moves if m[4] >= k]):
+        for anchor, video, frame, step, _ in moves:
+            spot = frame + k * step
+            if spot >= 0 and (video, spot) not in there:
+                there.add((video, spot))
+                yield anchor, video, spot
+                left -= 1
+                if not left:
+                    return
+        k += 1
+
+
 def anchor_spread(anchors: DataFrame, existing: DataFrame) -> DataFrame:
     """task_id, anchor, video, frame, rank: frames at k steps from each anchor, for k = 1, 2, ..., then up before down, then anchor.
 
     anchors: task_id, anchor, video, frame, step, direction ('both', 'up', 'down'), reach (0: none), need. An anchor stops beyond
     its reach, downwards at frame 0; negative frames, existing ones (task_id, video, frame) and repeats are skipped; a task gets `need` rows,
     or all there are. After need + n steps, n of the task's existing frames being in its video, an anchor alone has given `need` frames
-    in a direction that has no end; so no k beyond that is tried and no anchor needs a bound of its own. Only the levels of k that fill
-    a task are put in order.
+    in a direction that has no end; so no k beyond that is tried and no anchor needs a bound of its own. Anchors and existing frames of a task are gathered in one
+    row, and levels are tried there until the task is full: only what is given is shuffled, and what is found only made.
     """
-    there = existing.select("task_id", "video", "frame").distinct()
-    n_there = there.groupBy("task_id", "video").agg(F.count(F.lit(1)).alias("n_there"))
-    most = F.col("need") + F.coalesce("n_there", F.lit(0))
-    last = F.when(F.col("reach") > 0, F.least(most, F.floor(F.col("reach") / F.col("step")))).otherwise(most)
-    a = anchors.where("step > 0 and need > 0").join(n_there, ["task_id", "video"], "left").withColumn("last", last)
-    signs = F.when(F.col("direction") == "up", F.array(F.lit(1))).when(F.col("direction") == "down", F.array(F.lit(-1))).otherwise(F.array(F.lit(1), F.lit(-1)))
-    a = a.withColumn("sign", F.explode(signs)).withColumn("last", F.when(F.col("sign") < 0, F.least("last", F.floor(F.col("frame") / F.col("step")))).otherwise(F.col("last")))
-    k = a.where("last >= 1").withColumn("k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last").cast("bigint"))))
-    rows = k.select("task_id", "video", (F.col("frame") + F.col("sign") * F.col("k") * F.col("step")).alias("frame"), F.struct("k", (-F.col("sign")).alias("down"), "anchor").alias("place"), "need").where("frame >= 0")
-    first = rows.join(there, ["task_id", "video", "frame"], "left_anti").groupBy("task_id", "video", "frame").agg(F.min("place").alias("place"), F.max("need").alias("need"))
-    before = Window.partitionBy("task_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    levels = first.groupBy("task_id", F.col("place.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
-    levels = levels.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < F.col("need")).select("task_id", "k", "before")
-    inside = F.row_number().over(Window.partitionBy("task_id", "k").orderBy("place"))
-    ranked = first.withColumn("k", F.col("place.k")).join(levels, ["task_id", "k"]).withColumn("rank", (F.col("before") + inside).cast("int"))
-    return ranked.where(F.col("rank") <= F.col("need")).select("task_id", F.col("place.anchor").alias("anchor"), "video", "frame", "rank")
+    of_task = F.collect_list(F.struct("anchor", "video", "frame", "step", "direction", "reach", "need")).alias("anchors")
+    tasks = anchors.where("step > 0 and need > 0 and frame is not null").groupBy("task_id").agg(of_task)
+    there = existing.where("video is not null and frame is not null").groupBy("task_id").agg(F.collect_set(F.struct("video", "frame")).alias("there"))
+    kinds = dict(anchors.dtypes)
+    found = _in_tasks(tasks.join(there, "task_id", "left"), _spread, "anchor long, video string, frame long")
+    return found.withColumn("anchor", F.col("anchor").cast(kinds["anchor"]))
 
 
 def even_positions(lo: Column, hi: Column, n: Column) -> Column:
