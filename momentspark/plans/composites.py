@@ -44,7 +44,7 @@ def trake_unreadable(spark: SparkSession, d: str) -> DataFrame:
     groups = k.where("vec_id % 20 = 0").select(F.col("vec_id").alias("group_id"), "video")
     events = groups.select("group_id", F.posexplode(F.sequence(F.col("group_id"), F.col("group_id") + 2)).alias("event", "vec_id")).join(k.select("vec_id", F.col("embedding").alias("qvec")), "vec_id").drop("vec_id")
     vec = F.when(F.col("vec_id") % 9 == 4, F.lit(None)).when(F.col("vec_id") % 9 == 7, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
-    scored = pipelines.score_in_videos(groups, events, k.withColumn("vec", vec).select("video", "name", "frame_idx", "fps", "pos", "vec"))
+    scored = pipelines.score_after_first(groups, events, k.withColumn("vec", vec).select("video", "name", "frame_idx", "fps", "pos", "vec"), 3, 60)
     return temporal.align_greedy(scored, 3, 60).withColumn("path", F.array_join("path", ","))
 
 
